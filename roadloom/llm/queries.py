@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from roadloom.llm import bpe, dac
+from roadloom.llm import bpe, chat, dac, maxscore, mixing, sharding
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -18,9 +18,25 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), BYTE_BPE)
 
 
+def op2_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.read_back(chat.format_conversations(chat.with_probe(table(spark, sf_dir, "conversations"))))
+
+
+def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.taken(table(spark, sf_dir, "documents"))
+
+
 def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dac.round_trip(table(spark, sf_dir, "documents"), BYTE_BPE)
 
 
-QUERIES = {f.__name__: f for f in (op1_bpe, op7_token_files)}
-ORACLES: dict[str, str] = {}
+def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard_documents(table(spark, sf_dir, "documents"))
+
+
+def op10_maxscore(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return maxscore.search_every_50th(table(spark, sf_dir, "embeddings"))
+
+
+QUERIES = {f.__name__: f for f in (op1_bpe, op2_chat, op3_mixing, op7_token_files, op8_sharding, op10_maxscore)}
+ORACLES = {"op2_chat": chat.SQL, "op3_mixing": mixing.SQL, "op10_maxscore": maxscore.SQL}
