@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from roadloom.llm import bpe, chat, dac, maxscore, mixing, sharding
+from roadloom.llm import bpe, chat, dac, langid, maxscore, mixing, sharding
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -34,9 +34,13 @@ def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(table(spark, sf_dir, "documents"))
 
 
+def op9_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(table(spark, sf_dir, "documents"))
+
+
 def op10_maxscore(spark: SparkSession, sf_dir: str) -> DataFrame:
     return maxscore.search_every_50th(table(spark, sf_dir, "embeddings"))
 
 
-QUERIES = {f.__name__: f for f in (op1_bpe, op2_chat, op3_mixing, op7_token_files, op8_sharding, op10_maxscore)}
+QUERIES = {f.__name__: f for f in (op1_bpe, op2_chat, op3_mixing, op7_token_files, op8_sharding, op9_langid, op10_maxscore)}
 ORACLES = {"op2_chat": chat.SQL, "op3_mixing": mixing.SQL, "op10_maxscore": maxscore.SQL}
