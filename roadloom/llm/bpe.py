@@ -57,7 +57,7 @@ def encoder(spec: str) -> Encoder:
 class Encoder:
     """Encodes string columns; the pieces met lately keep their ids."""
 
-    def __init__(self, spec: str, memo: int = 300_000):
+    def __init__(self, spec: str, memo: int = 100_000):
         tok = Tokenizer.from_str(spec)
         self.model, self.limit, self.memo = tok.model, memo, {}
         self.added = {t["content"]: t["id"] for t in json.loads(spec)["added_tokens"]}

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from roadloom.llm.textops import LETTER, chunks, classes, flat
+from roadloom.llm.textops import LETTER, chunks, classes, flat, small_batches
 
 #: The sample that a model is fitted on: so many excerpts of so many characters for each language.
 EXCERPTS, EXCERPT_CHARS = 150, 160
@@ -176,6 +176,7 @@ def predict(docs: DataFrame, model: Model, text: str = "text", keep: list[str] |
     A text that is null or has no letter is ``und`` with score 0, and so is every text if the model has no language.
     With one language alone the score is 1. Ties go to the first language in order.
     """
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     added = T.StructType([T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("phrase_rate", T.DoubleType())])
     keep = [c for c in (docs.columns if keep is None else keep) if c not in added.names]
@@ -184,7 +185,7 @@ def predict(docs: DataFrame, model: Model, text: str = "text", keep: list[str] |
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
         for b in batches:
-            for at, part in chunks(b.column("text_to_parse"), 1 << 20):
+            for at, part in chunks(b.column("text_to_parse")):
                 found, size, letters = phrases(own, part)
                 n = len(size)
                 und = letters == 0

@@ -8,6 +8,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from roadloom.llm.textops import small_batches
+
 _open: list[Scratch] = []
 
 
@@ -25,6 +27,7 @@ class Scratch:
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
+        small_batches(spark)
         self.path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
         if not _open:
             atexit.register(lambda: [s.close() for s in list(_open)])

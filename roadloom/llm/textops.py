@@ -11,13 +11,16 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import regex
 import xxhash
+from pyspark.sql import SparkSession
 from tokenizers.pre_tokenizers import ByteLevel
 
 LETTER, NUMBER, SPACE, OTHER = 0, 1, 2, 3
 # The code points with Unicode's White_Space property.
 WHITE_SPACE = [*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
 #: Texts are worked on in pieces of about this many bytes, which bounds a task's memory; a longer text is a piece of its own.
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 1 << 20
+#: Rows of texts in an Arrow batch; Spark's default of 10,000 is too many for texts of several KB.
+BATCH_ROWS = 1000
 
 
 @functools.lru_cache(maxsize=1)
@@ -38,6 +41,14 @@ def classes() -> np.ndarray:
     return out
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Hand texts to Python workers in batches of BATCH_ROWS rows, unless the session asks for fewer."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    rows = int(spark.conf.get(key))
+    if rows <= 0 or rows > BATCH_ROWS:
+        spark.conf.set(key, BATCH_ROWS)
+
+
 def chunks(column: pa.Array, size: int = CHUNK_BYTES) -> Iterator[tuple[int, pa.Array]]:
     """Slices (offset, array) of a string column of about size bytes each."""
     if isinstance(column, pa.ChunkedArray):
