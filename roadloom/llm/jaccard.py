@@ -88,7 +88,8 @@ def prefixes(docs: DataFrame, common: np.ndarray) -> DataFrame:
 
 
 def join(docs: DataFrame) -> DataFrame:
-    """(doc_id, mark, node, n_shingles, component_id): component_id is the least doc_id reachable by links, its own included.
+    """(doc_id, mark, node, n_shingles, component_id, root): component_id is the least doc_id reachable by links, its own
+    included; root names the component (null: no words), mark the text.
 
     Words are runs of anything but ASCII white space, A-Z lower-cased. A text of one to four words is one shingle; a text
     without words, or null, has none and is linked with nothing. Rows that repeat a doc_id are texts each; a row without
@@ -113,10 +114,24 @@ def join(docs: DataFrame) -> DataFrame:
     slim = rows.select("doc_id", "mark", "node", F.col("n").alias("n_shingles"))
     linked = scratch.table(slim.filter("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("least")).join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"), "least"), "linked")
     least = scratch.table(linked.groupBy("root").agg(F.min("least").alias("component_id")), "least")
-    named = scratch.table(linked.join(least, "root").select("node", "component_id"), "named")
+    named = scratch.table(linked.join(least, "root").select("node", "component_id", "root"), "named")
     # A text without words is a component of its own: its rows join with nothing.
-    return slim.join(named, (slim.node == named.node) & (slim.n_shingles > 0), "left").select("doc_id", "mark", slim.node, "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    both = slim.join(named, (slim.node == named.node) & (slim.n_shingles > 0), "left")
+    return both.select("doc_id", "mark", slim.node, "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), "root")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
     return join(docs).select("doc_id", "n_shingles", "component_id")
+
+
+def representatives(docs: DataFrame) -> DataFrame:
+    """docs with one document of each component: that of the least doc_id (null last), the first by a hash of its text if
+    several rows share it. Documents without words are linked with nothing and stay."""
+    scratch = Scratch(docs.sparkSession, "representatives")
+    order = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "mark")
+    first = join(docs).filter("n_shingles > 0").groupBy("root").agg(F.min(order).alias("keep"))
+    kept = scratch.table(first.select(F.col("keep.doc_id").alias("kept_id"), F.col("keep.mark").alias("kept_mark")), "kept")
+    said = F.coalesce(F.col("text"), F.lit("")).rlike(r"[^\x20\x09-\x0D]")
+    spoken = docs.filter(said).withColumn("mark_of_text", F.xxhash64("text"))
+    chosen = spoken.join(kept, (F.col("mark_of_text") == F.col("kept_mark")) & F.col("doc_id").eqNullSafe(F.col("kept_id")), "left_semi")
+    return chosen.dropDuplicates(["doc_id", "mark_of_text"]).drop("mark_of_text").unionByName(docs.filter(~said))

@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from roadloom.llm import bpe, chat, dac, jaccard, langid, maxscore, mixing, sharding
+from roadloom.llm import bpe, chat, dac, imatch, jaccard, langid, maxscore, mixing, paragraphs, sharding
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -26,6 +26,14 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.taken(table(spark, sf_dir, "documents"))
 
 
+def op4_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return imatch.edited(table(spark, sf_dir, "documents"))
+
+
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return paragraphs.repeated_passages(table(spark, sf_dir, "documents"))
+
+
 def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -46,5 +54,5 @@ def op10_maxscore(spark: SparkSession, sf_dir: str) -> DataFrame:
     return maxscore.search_every_50th(table(spark, sf_dir, "embeddings"))
 
 
-QUERIES = {f.__name__: f for f in (op1_bpe, op2_chat, op3_mixing, op6_jaccard_join, op7_token_files, op8_sharding, op9_langid, op10_maxscore)}
+QUERIES = {f.__name__: f for f in (op1_bpe, op2_chat, op3_mixing, op4_imatch, op5_substring_dedup, op6_jaccard_join, op7_token_files, op8_sharding, op9_langid, op10_maxscore)}
 ORACLES = {"op2_chat": chat.SQL, "op3_mixing": mixing.SQL, "op10_maxscore": maxscore.SQL}
