@@ -55,6 +55,14 @@ def test_shingle_counts(texts):
     assert n.tolist() == [len(brute_sets(t)) for t in texts]
 
 
+def test_slices():
+    texts = ["é à  b" * k for k in range(40)] + [None, " ü"]
+    whole = T.words(pa.array(texts))
+    parts = [T.words(p) for _, p in T.chunks(pa.array(texts), 50)]
+    assert len(parts) > 5 and [w for p in parts for w in p[0].to_pylist()] == whole[0].to_pylist()
+    assert np.concatenate([p[1] for p in parts]).tolist() == whole[1].tolist()
+
+
 @pytest.mark.parametrize("texts", [[], [None], ["", None, ""]])
 def test_nothing(texts):
     assert T.pieces(pa.array(texts, pa.string()))[1].tolist() == [0] * len(texts)
