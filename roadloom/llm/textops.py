@@ -131,7 +131,7 @@ def hash64(words: list[str] | list[bytes], seed: int = 0) -> np.ndarray:
 
 def words(column: pa.Array, lower: bool = True) -> tuple[pa.Array, np.ndarray]:
     """Runs of anything but ASCII white space, A-Z lower-cased if asked, and how many each text has (null: 0)."""
-    raw, at = flat(column)  # the kernels below misread slices
+    raw, at = flat(column)  # ascii_lower misreads a large_string that was cast from a slice
     column = pa.LargeStringArray.from_buffers(len(at) - 1, pa.py_buffer(at), pa.py_buffer(raw))
     parts = pc.ascii_split_whitespace(pc.ascii_lower(column) if lower else column)
     at = parts.offsets.to_numpy().astype(np.int64)
