@@ -16,9 +16,17 @@ from roadloom.sources.rules import FAMILIES, Rules
 LOOP_M, LOOP_SEGMENTS = 50.0, 10
 BUCKETS = 10
 
-ALONG = Window.partitionBy("route_id").orderBy("seq")
-BACK = Window.partitionBy("route_id").orderBy(F.desc("seq"))
-WHOLE = Window.partitionBy("route_id")
+
+def along() -> Window:
+    return Window.partitionBy("route_id").orderBy("seq")
+
+
+def back() -> Window:
+    return Window.partitionBy("route_id").orderBy(F.desc("seq"))
+
+
+def whole() -> Window:
+    return Window.partitionBy("route_id")
 
 
 def totals(segments: DataFrame) -> DataFrame:
@@ -30,8 +38,8 @@ def tag_shares(segments: DataFrame) -> DataFrame:
     """(route_id, family, value, len_m, percentage): the route's length by each tag; what has none is ``unknown``."""
     pairs = F.array(*(F.struct(F.lit(f).alias("family"), F.coalesce(f, F.lit("unknown")).alias("value")) for f in FAMILIES))
     by = segments.select("route_id", "len_m", F.explode(pairs).alias("t")).groupBy("route_id", "t.family", "t.value").agg(F.sum("len_m").alias("len_m"))
-    whole = F.sum("len_m").over(Window.partitionBy("route_id", "family"))
-    return by.withColumn("percentage", F.when(whole > 0, F.col("len_m") / whole * 100))
+    total = F.sum("len_m").over(Window.partitionBy("route_id", "family"))
+    return by.withColumn("percentage", F.when(total > 0, F.col("len_m") / total * 100))
 
 
 def reverse_bearing(start_lat="start_lat", start_lon="start_lon", end_lat="end_lat", end_lon="end_lon") -> Column:
@@ -53,7 +61,7 @@ def scores(segments: DataFrame, rules: Rules | None = None) -> DataFrame:
     rules = rules or Rules()
     reset = F.col("junction") | F.coalesce((F.col("highway") == "residential") | (F.col("residential") & F.col("highway").isNotNull()), F.lit(False))
     seen = segments.withColumn("b", reverse_bearing()).withColumn("held", F.when(~reset, F.col("b")))
-    turn = F.abs(F.lag("held").over(ALONG) - F.col("b"))
+    turn = F.abs(F.lag("held").over(along()) - F.col("b"))
     more = 1 + sum((_priority(rules, f) for f in FAMILIES), F.lit(0.0))
     bends = seen.withColumn("bend", F.when(turn < 90, turn * more).otherwise(0.0))
     return bends.groupBy("route_id").agg((F.sum("bend") / F.nullif(F.sum("len_m"), F.lit(0.0)) * 1000).alias("score"))
@@ -77,9 +85,9 @@ def loops(segments: DataFrame) -> DataFrame:
 def detours(segments: DataFrame, forks: DataFrame, within_m: float) -> DataFrame:
     """(route_id, back): whether a fork (route_id, fork_ref, fork_name) leads back to a road that the route left no further
     than within_m ago."""
-    step = haversine(F.col("end_lat"), F.col("end_lon"), F.lead("end_lat").over(ALONG), F.lead("end_lon").over(ALONG))
+    step = haversine(F.col("end_lat"), F.col("end_lon"), F.lead("end_lat").over(along()), F.lead("end_lon").over(along()))
     each = segments.withColumn("step", F.coalesce(step, F.lit(0.0)))
-    each = each.withColumn("run", F.sum("step").over(BACK)).withColumn("place", F.row_number().over(BACK))
+    each = each.withColumn("run", F.sum("step").over(back())).withColumn("place", F.row_number().over(back()))
     each = each.join(forks, "route_id")
     on = same_road(F.col("ref"), F.col("fork_ref"), F.col("name"), F.col("fork_name"))
     first = F.min(F.when(on, F.struct("place", "run")))
@@ -89,33 +97,33 @@ def detours(segments: DataFrame, forks: DataFrame, within_m: float) -> DataFrame
 def junctions_back(segments: DataFrame, k: int) -> DataFrame:
     """(route_id, seq, end_point): the segment at the k-th junction from the end; routes of k segments or fewer, or of fewer
     junctions, have none."""
-    counted = segments.withColumn("n", F.sum(F.col("junction").cast("int")).over(BACK)).withColumn("size", F.count("*").over(WHOLE))
+    counted = segments.withColumn("n", F.sum(F.col("junction").cast("int")).over(back())).withColumn("size", F.count("*").over(whole()))
     return counted.filter((F.col("junction")) & (F.col("n") == k) & (F.col("size") > k)).select("route_id", "seq", "end_point")
 
 
 def segments_back(segments: DataFrame, k: int) -> DataFrame:
     """(route_id, seq, end_point): the segment k before the last."""
-    return segments.withColumn("n", F.row_number().over(BACK)).filter(F.col("n") == k + 1).select("route_id", "seq", "end_point")
+    return segments.withColumn("n", F.row_number().over(back())).filter(F.col("n") == k + 1).select("route_id", "seq", "end_point")
 
 
 def last_chunk(segments: DataFrame) -> DataFrame:
     """segments from the last junction that isn't the route's end on; the whole route if there is none."""
-    end = F.last("end_point").over(ALONG.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    end = F.last("end_point").over(along().rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
     marked = segments.withColumn("z", end)
-    since = F.coalesce(F.max(F.when(F.col("junction") & (F.col("end_point") != F.col("z")), F.col("seq"))).over(WHOLE), F.lit(-1))
+    since = F.coalesce(F.max(F.when(F.col("junction") & (F.col("end_point") != F.col("z")), F.col("seq"))).over(whole()), F.lit(-1))
     return marked.withColumn("since", since).filter(F.col("seq") >= F.col("since")).drop("z", "since")
 
 
 def since_point(segments: DataFrame, points: DataFrame) -> DataFrame:
     """segments from the first one that ends in the route's point (route_id, point) on; all, if none does."""
     each = segments.join(points, "route_id")
-    first = F.coalesce(F.min(F.when(F.col("end_point") == F.col("point"), F.col("seq"))).over(WHOLE), F.lit(-1))
+    first = F.coalesce(F.min(F.when(F.col("end_point") == F.col("point"), F.col("seq"))).over(whole()), F.lit(-1))
     return each.withColumn("from_seq", first).filter(F.col("seq") >= F.col("from_seq")).drop("from_seq", "point")
 
 
 def approximation(segments: DataFrame, buckets: int = BUCKETS) -> DataFrame:
     """(route_id, bucket, lat, lon): the mean end points of ``buckets`` even parts of a route; short routes lack some."""
-    ordered = segments.withColumn("i", F.row_number().over(ALONG) - 1).withColumn("n", F.count("*").over(WHOLE))
+    ordered = segments.withColumn("i", F.row_number().over(along()) - 1).withColumn("n", F.count("*").over(whole()))
     # Part b holds the places from int(b * n / buckets) to before int((b + 1) * n / buckets).
     part = F.floor(((F.col("i") + 1) * buckets - 1) / F.col("n")).cast("int")
     return ordered.groupBy("route_id", part.alias("bucket")).agg(F.avg("end_lat").alias("lat"), F.avg("end_lon").alias("lon"))
