@@ -70,7 +70,7 @@ def parsed_relations(relations: DataFrame) -> DataFrame:
     vias = F.filter("members", lambda m: m["role"] == "via")
     found = relations.filter(T.relation_ok()).select(F.col("id").alias("rel_id"), T.restriction_value().alias("value"), vias.alias("vias"), "members")
     found = found.withColumn("kind", T.restriction_kind(F.col("value"))).withColumn("via_count", F.size("vias"))
-    problem = F.when(F.col("kind").isNull(), "unknown restriction").when(F.col("via_count") == 0, "no via").when(F.col("via_count") > 1, "several vias").when(F.col("vias")[0]["type"] != "node", "via is no node")
+    problem = F.when(F.col("kind").isNull(), "unknown restriction").when(F.col("via_count") == 0, "no via").when(F.col("via_count") > 1, "several vias").when(F.get("vias", 0)["type"] != "node", "via is no node")
     return found.withColumn("problem", problem)
 
 
@@ -79,7 +79,7 @@ def restrictions(relations: DataFrame, lines_: DataFrame, nodes: DataFrame, brok
 
     Restrictions without usable from or to ways, or whose via isn't there, are left out.
     """
-    ok = parsed_relations(relations).filter("problem is null").withColumn("via", F.col("vias")[0]["ref"])
+    ok = parsed_relations(relations).filter("problem is null").withColumn("via", F.get("vias", 0)["ref"])
     ok = ok.join(nodes.select(F.col("id").alias("via")), "via", "left_semi")
     members = ok.select("rel_id", "via", "kind", F.explode("members").alias("m")).filter(F.col("m.role").isin("from", "to") & (F.col("m.type") == "way"))
     usable = lines_ if broken is None else lines_.join(broken, "way_id", "left_anti")

@@ -31,7 +31,7 @@ WAY_TAGS_SQL = """SELECT o_orderkey AS id,
     ELSE CASE WHEN o_orderkey % 3 = 0 THEN 'path' ELSE 'residential' END END AS highway,
   CASE WHEN o_orderstatus = 'F' THEN 'yes' END AS oneway,
   CASE WHEN o_orderkey % 97 = 0 THEN 'roundabout' END AS junction,
-  CASE o_custkey % 4 WHEN 0 THEN 'asphalt' WHEN 1 THEN 'gravel' WHEN 3 THEN 'dirt' END AS surface,
+  CASE WHEN o_orderkey % 83 = 0 THEN 'mud' ELSE CASE o_custkey % 4 WHEN 0 THEN 'asphalt' WHEN 1 THEN 'gravel' WHEN 3 THEN 'dirt' END END AS surface,
   CASE o_custkey % 3 WHEN 0 THEN 'good' WHEN 1 THEN 'bad' END AS smoothness,
   concat('road_', CAST(o_custkey % 50 AS VARCHAR(20)), CASE WHEN o_custkey % 9 = 0 THEN '_link' ELSE '' END) AS name,
   CASE WHEN o_custkey % 5 = 0 THEN concat('P', CAST(o_custkey % 20 AS VARCHAR(20))) END AS ref,

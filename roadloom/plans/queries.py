@@ -225,10 +225,10 @@ def knn_closest(spark, sf_dir):
     return proximity.nearest(_places(spark, sf_dir), proximity.grid(net.nodes, lines)).select("query_id", "id", whole(F.col("dist_m")).alias("dist_cm"))
 
 
-@query(_nearest_sql("NOT pt.residential AND NOT list_has_any(pt.hw, ['residential']) AND NOT list_has_any(pt.sf, ['dirt']) AND list_has_any(pt.hw, ['motorway', 'trunk', 'primary', 'secondary', 'tertiary', 'unclassified'])"))
+@query(_nearest_sql("NOT pt.residential AND NOT list_has_any(pt.sf, ['mud']) AND list_has_any(pt.hw, ['motorway', 'trunk', 'primary', 'secondary', 'tertiary', 'unclassified'])"))
 def knn_closest_rules(spark, sf_dir):
     net, lines = order_lines(spark, sf_dir)
-    found = proximity.nearest(_places(spark, sf_dir), proximity.grid(net.nodes, lines), RULES, True, itineraries.WAYPOINT_HIGHWAYS)
+    found = proximity.nearest(_places(spark, sf_dir), proximity.grid(net.nodes, lines), from_dict({"surface": {"mud": {"action": "avoid"}}}), True, itineraries.WAYPOINT_HIGHWAYS)
     return found.select("query_id", "id", whole(F.col("dist_m")).alias("dist_cm"))
 
 

@@ -55,7 +55,8 @@ def network(found: DataFrame, strict: bool = False) -> Network:
     fail the query that meets them. A node that is there twice is the one of the greatest (lat, lon)."""
     found = found.withColumn("problem", problem())
     if strict:
-        found = found.withColumn("id", F.when(F.col("problem").isNotNull(), F.raise_error(F.concat(F.lit("map data: "), "problem", F.lit(" in element "), F.coalesce("id", F.lit("without id"))))).otherwise(F.col("id")))
+        stop = F.raise_error(F.concat(F.lit("map data: "), "problem", F.lit(" in element "), F.coalesce("id", F.lit("without id"))))
+        found = found.filter(F.when(F.col("problem").isNull(), True).otherwise(stop.cast("boolean")))
     ok = found.filter("problem is null")
     place = F.max(F.struct(F.col("lat").cast("double").alias("lat"), F.col("lon").cast("double").alias("lon")))
     nodes = ok.filter("type = 'node'").groupBy(F.col("id").cast("bigint").alias("id")).agg(place.alias("p")).select("id", "p.lat", "p.lon", F.lit(False).alias("residential"), F.lit(False).alias("nogo"))

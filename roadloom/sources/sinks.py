@@ -18,7 +18,8 @@ def response_frame(routes: DataFrame, request_id: str = "default-request-id") ->
     """One row ``response``: the JSON of all routes (coords, len_m, junctions, families, score, label)."""
     stats = F.struct("len_m", F.col("junctions").alias("junction_count"), *FAMILIES, "score", F.col("label").alias("cluster"))
     each = F.struct(F.transform("coords", lambda p: F.array(p["lat"], p["lon"])).alias("coords"), stats.alias("stats"))
-    listed = routes.agg(F.array_sort(F.collect_list(F.struct("route_id", each.alias("r")))).alias("all"))
+    by_name = lambda a, b: F.when(a["route_id"] < b["route_id"], -1).when(a["route_id"] > b["route_id"], 1).otherwise(0)
+    listed = routes.agg(F.array_sort(F.collect_list(F.struct("route_id", each.alias("r"))), by_name).alias("all"))
     return listed.select(F.to_json(F.struct(F.lit(request_id).alias("id"), F.struct(F.struct(F.transform("all", lambda x: x["r"]).alias("routes")).alias("ok")).alias("result"))).alias("response"))
 
 
