@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import tempfile
 import uuid
 
@@ -45,6 +46,12 @@ class Scratch:
         at = jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}" if name else self.path)
         at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
+    def settle(self) -> None:
+        """Let Spark delete the shuffle files of plans that nothing refers to any more; it does so when the driver collects
+        its garbage, which a driver with little to do puts off."""
+        gc.collect()
+        self.spark.sparkContext._jvm.System.gc()
+
     def close(self) -> None:
         if self in _open:
             _open.remove(self)

@@ -231,14 +231,20 @@ def link(scratch: Scratch, postings: DataFrame, info: DataFrame, texts_of) -> Da
     postings: (grp, node); info: (node, n, vec), a row for each node; texts_of: from nodes to (node, text).
     """
     groups = scratch.table(grouped(postings), "groups")
+    scratch.settle()
     stars = scratch.table(bounded(groups.filter("kind = 0").select("a", "b"), info), "stars")
     members = groups.filter("kind = 1").select(F.col("a").alias("grp"), F.col("b").alias("node"), "size")
     nodes = groups.filter("kind = 0").selectExpr("explode(array(a, b)) AS node").distinct()
     texts = scratch.table(texts_of(nodes), "texts")
+    scratch.settle()
     links = scratch.table(verified(stars, texts), "links-0")
     for turn, best in ((1, True), (2, False)):
         roots = components(links, scratch, f"roots-{turn}")
         more = scratch.table(open_pairs(members, info, roots, best), f"open-{turn}")
+        scratch.settle()
+        if more.isEmpty():
+            break
         links = links.unionByName(scratch.table(verified(more, texts), f"links-{turn}"))
     scratch.remove("texts")
+    scratch.settle()
     return links

@@ -151,40 +151,65 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+@functools.lru_cache(maxsize=1)
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first n powers of an odd base modulo 2^64, and of its inverse."""
+    base = 0xD6E8FEB86659FD93
+    step = np.array([base, pow(base, -1, 1 << 64)], np.uint64)
+    out = np.ones((2, n), np.uint64)
+    out[:, 1:] = step[:, None]
+    return tuple(np.cumprod(out, axis=1))
+
+
+#: A random number for each byte.
+BYTES = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+
+
 def word_hashes(flat_words: pa.Array) -> np.ndarray:
-    """A 64-bit hash of each word; each distinct word is hashed once."""
+    """A 64-bit hash of each word: a polynomial of its bytes, scrambled."""
     if len(flat_words) == 0:
         return np.zeros(0, np.uint64)
-    coded = flat_words.dictionary_encode()
-    return hash64(coded.dictionary.to_pylist())[np.asarray(coded.indices)]
+    raw, at = flat(flat_words)
+    data = np.frombuffer(raw, np.uint8)
+    size = max(CHUNK_BYTES, 1 << (len(data)).bit_length())
+    up, down = powers(size)
+    total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(BYTES[data] * up[: len(data)], dtype=np.uint64)))
+    return mix((total[at[1:]] - total[at[:-1]]) * down[at[:-1]] ^ np.diff(at).astype(np.uint64))
+
+
+#: Texts whose shingles are sorted at once: their numbers take the bits that a hash gives up.
+OWNERS, OWNER_BITS = 4096, 12
 
 
 def shingle_sets(hashes: np.ndarray, counts: np.ndarray, k: int = 5) -> tuple[np.ndarray, np.ndarray]:
-    """The distinct k-word shingles of each text, as sorted 64-bit hashes, and how many each text has.
+    """The distinct k-word shingles of each text, as sorted hashes, and how many each has. Hashes have 52 bits, the highest
+    of 64.
 
     A text of fewer than k words has one: the whole sequence. A text without words has none.
     """
-    ends = np.cumsum(counts)
-    begins = ends - counts
+    if len(counts) > OWNERS:
+        cut = np.concatenate(([0], np.cumsum(counts)))
+        parts = [shingle_sets(hashes[cut[a] : cut[min(a + OWNERS, len(counts))]], counts[a : a + OWNERS], k) for a in range(0, len(counts), OWNERS)]
+        return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
     n = len(hashes)
-    h = np.full(n, 0x9E3779B97F4A7C15, np.uint64)
-    padded = np.concatenate((hashes, np.zeros(k, np.uint64)))
-    owner = np.repeat(np.arange(len(counts)), counts)
-    left = np.repeat(ends, counts) - np.arange(n)  # words from here to the text's end
+    step = np.uint64(0xA0761D6478BD642F)
+    h = np.zeros(n, np.uint64)
     for j in range(k):
-        h = mix(h ^ np.where(left > j, padded[j : j + n], np.uint64(j)) * np.uint64(2 * j + 1))
-    keep = left >= k
-    short = (counts > 0) & (counts < k)
-    if short.any():
-        at = begins[short]
-        keep[at] = True
-        h[at] = mix(h[at] ^ counts[short].astype(np.uint64))
-    h, owner = h[keep], owner[keep]
-    order = np.lexsort((h, owner))
-    h, owner = h[order], owner[order]
-    fresh = np.ones(len(h), bool)
-    fresh[1:] = (h[1:] != h[:-1]) | (owner[1:] != owner[:-1])
-    return h[fresh], np.bincount(owner[fresh], minlength=len(counts)).astype(np.int64)
+        h *= step
+        h[: max(n - j, 0)] += hashes[j:]
+    ends = np.cumsum(counts)
+    owner = np.repeat(np.arange(len(counts), dtype=np.uint64), counts)
+    keep = np.repeat(ends, counts) - np.arange(n) >= k  # as many words from here to the text's end
+    for size in range(1, k):
+        at = (ends - counts)[counts == size]
+        whole = np.full(len(at), size, np.uint64)
+        for j in range(size):
+            whole = whole * step + hashes[at + j]
+        h[at], keep[at] = whole, True
+    key = np.sort(owner[keep] << np.uint64(64 - OWNER_BITS) | mix(h[keep]) >> np.uint64(OWNER_BITS))
+    if len(key):
+        key = key[np.concatenate(([True], key[1:] != key[:-1]))]
+    return key << np.uint64(OWNER_BITS), np.bincount((key >> np.uint64(64 - OWNER_BITS)).astype(np.int64), minlength=len(counts)).astype(np.int64)
 
 
 def gather(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
