@@ -105,7 +105,7 @@ def join(docs: DataFrame) -> DataFrame:
     info = scratch.table(rows.filter("n > 0").groupBy("node").agg(F.min(F.struct("doc_id", "mark")).alias("at"), F.first("n").alias("n"), F.first("vec").alias("vec")), "info")
 
     def texts_of(nodes: DataFrame) -> DataFrame:
-        wanted = info.join(nodes, "node").select("node", F.col("at.doc_id").alias("id"), F.col("at.mark").alias("m"))
+        wanted = simjoin.small(info.join(nodes, "node").select("node", F.col("at.doc_id").alias("id"), F.col("at.mark").alias("m")))
         there = docs.withColumn("mark", F.xxhash64("text"))
         return there.join(wanted, (there.mark == wanted.m) & there.doc_id.eqNullSafe(wanted.id)).groupBy("node").agg(F.first("text").alias("text"))
 

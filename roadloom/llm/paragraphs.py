@@ -226,7 +226,7 @@ def repeats(docs: DataFrame) -> DataFrame:
     info = scratch.table(found.filter("n > 0").groupBy("node").agg(F.first("n").alias("n"), F.first("vec").alias("vec")), "info")
 
     def texts_of(nodes: DataFrame) -> DataFrame:
-        return found.join(nodes, "node").groupBy("node").agg(F.first("paragraph").alias("text"))
+        return found.join(simjoin.small(nodes), "node").groupBy("node").agg(F.first("paragraph").alias("text"))
 
     links = simjoin.link(scratch, band_keys(found, *bands()), info, texts_of)
     roots = components(links, scratch)

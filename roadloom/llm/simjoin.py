@@ -26,6 +26,7 @@ from roadloom.llm.scratch import Scratch
 from roadloom.llm.textops import chunks, mix, shingle_sets, word_hashes, words
 
 GROUPS, BLOCK, LEAF = 64, 2048, 16
+BROADCAST_ROWS = 300_000
 FULL = 0xFFFF
 
 
@@ -225,26 +226,37 @@ def open_pairs(members: DataFrame, info: DataFrame, roots: DataFrame, best: bool
     return rows.repartition(*key).sortWithinPartitions(*key).mapInArrow(work, "a bigint, b bigint").distinct()
 
 
+def small(rows: DataFrame) -> DataFrame:
+    """rows, to be broadcast if there are BROADCAST_ROWS at most (some 30 bytes each), else to be joined as Spark chooses."""
+    return F.broadcast(rows) if rows.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else rows
+
+
 def link(scratch: Scratch, postings: DataFrame, info: DataFrame, texts_of) -> DataFrame:
     """Links (a, b) that connect all texts which similar pairs within the groups connect, written to a table.
 
-    postings: (grp, node); info: (node, n, vec), a row for each node; texts_of: from nodes to (node, text).
+    postings: (grp, node); info: (node, n, vec), a row for each node; texts_of: from nodes to (node, text). Only texts of
+    pairs that pass the bound are fetched.
     """
+
+    def checked(pairs: DataFrame, turn: int) -> DataFrame:
+        nodes = scratch.table(pairs.selectExpr("explode(array(a, b)) AS node").distinct(), f"nodes-{turn}")
+        texts = scratch.table(texts_of(nodes), f"texts-{turn}")
+        scratch.settle()
+        out = scratch.table(verified(pairs, texts), f"links-{turn}")
+        scratch.remove(f"texts-{turn}")
+        scratch.settle()
+        return out
+
     groups = scratch.table(grouped(postings), "groups")
     scratch.settle()
     stars = scratch.table(bounded(groups.filter("kind = 0").select("a", "b"), info), "stars")
     members = groups.filter("kind = 1").select(F.col("a").alias("grp"), F.col("b").alias("node"), "size")
-    nodes = groups.filter("kind = 0").selectExpr("explode(array(a, b)) AS node").distinct()
-    texts = scratch.table(texts_of(nodes), "texts")
-    scratch.settle()
-    links = scratch.table(verified(stars, texts), "links-0")
+    links = checked(stars, 0)
     for turn, best in ((1, True), (2, False)):
         roots = components(links, scratch, f"roots-{turn}")
         more = scratch.table(open_pairs(members, info, roots, best), f"open-{turn}")
         scratch.settle()
         if more.isEmpty():
             break
-        links = links.unionByName(scratch.table(verified(more, texts), f"links-{turn}"))
-    scratch.remove("texts")
-    scratch.settle()
+        links = links.unionByName(checked(more, turn))
     return links
