@@ -27,6 +27,8 @@ from roadloom.llm.textops import chunks, mix, shingle_sets, word_hashes, words
 
 GROUPS, BLOCK, LEAF = 64, 2048, 16
 BROADCAST_ROWS = 300_000
+#: Set sizes from which on vectors have four times as many groups.
+TIERS = (384, 1536, 6144)
 FULL = 0xFFFF
 
 
@@ -43,12 +45,37 @@ def node_ids(hashes: np.ndarray, n: np.ndarray) -> np.ndarray:
     return np.fromiter((xxhash.xxh3_64_intdigest(raw[8 * a : 8 * b]) for a, b in zip((ends - n).tolist(), ends.tolist(), strict=True)), np.uint64, len(n)).view(np.int64)
 
 
-def vectors(hashes: np.ndarray, n: np.ndarray) -> np.ndarray:
-    """How many shingles of each set fall into each group; a set with FULL or more in one has FULL everywhere."""
-    owner = np.repeat(np.arange(len(n)), n)
-    out = np.bincount(owner * GROUPS + (hashes >> np.uint64(58)).astype(np.int64), minlength=len(n) * GROUPS).reshape(len(n), GROUPS)
-    out[out.max(axis=1) >= FULL] = FULL
-    return out.astype(np.uint16)
+def vectors(hashes: np.ndarray, n: np.ndarray) -> list[np.ndarray]:
+    """How many shingles of each set fall into each group. Sets of more shingles have more groups, four times as many at each
+    of TIERS, as a bound over few groups tells large sets apart badly; fine groups are parts of coarse ones. A set with FULL
+    or more in a group has FULL everywhere."""
+    ends = np.cumsum(n)
+    tier = np.searchsorted(TIERS, n, side="right")
+    out = []
+    for a, b, t in zip((ends - n).tolist(), ends.tolist(), tier.tolist(), strict=True):
+        v = np.bincount((hashes[a:b] >> np.uint64(58 - 2 * t)).astype(np.int64), minlength=GROUPS << 2 * t)
+        out.append((v if v.max(initial=0) < FULL else np.full(len(v), FULL)).astype(np.uint16))
+    return out
+
+
+def counts_of(raw: list[bytes], n: np.ndarray) -> list[np.ndarray]:
+    """Vectors read back; where one is FULL, its set's size stands in."""
+    out = []
+    for v, size in zip(raw, n.tolist(), strict=True):
+        c = np.frombuffer(v, np.uint16).astype(np.int32)
+        out.append(np.full(len(c), size, np.int32) if len(c) and c[0] == FULL else c)
+    return out
+
+
+def coarse(v: np.ndarray, groups: int, n: int) -> np.ndarray:
+    """A vector over fewer groups."""
+    return v if len(v) == groups else np.minimum(v.reshape(groups, -1).sum(axis=1), n)
+
+
+def overlap(a: np.ndarray, b: np.ndarray, na: int, nb: int) -> int:
+    """The most shingles that two sets can share, by the finest groups that both have."""
+    g = min(len(a), len(b))
+    return int(np.minimum(coarse(a, g, na), coarse(b, g, nb)).sum())
 
 
 def needed(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -57,11 +84,11 @@ def needed(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 class Tree:
-    """An R-tree of two levels over count vectors: leaves of LEAF points, packed in order of size, then of the vectors."""
+    """An R-tree of two levels over count vectors of GROUPS groups: leaves of LEAF points, packed in order of size, then of the vectors."""
 
     def __init__(self, n: np.ndarray, counts: np.ndarray):
         self.n = n
-        self.points = np.where(counts == FULL, n[:, None], counts).astype(np.int32)
+        self.points = counts
         band = np.searchsorted(np.unique(n)[:: max(1, len(np.unique(n)) // 16)], n, side="right")
         self.order = np.lexsort((self.points[:, 2], self.points[:, 1], self.points[:, 0], band))
         cut = np.arange(0, len(n), LEAF)
@@ -119,9 +146,9 @@ def bounded(pairs: DataFrame, info: DataFrame) -> DataFrame:
             if not b.num_rows:
                 continue
             n = [b.column(k).to_numpy().astype(np.int64) for k in (2, 4)]
-            v = [np.frombuffer(b"".join(b.column(k).to_pylist()), np.uint16).reshape(-1, GROUPS) for k in (3, 5)]
-            v = [np.where(x == FULL, m[:, None], x) for x, m in zip(v, n, strict=True)]
-            ok = (np.minimum(*v).sum(axis=1) >= needed(*n)) & (4 * np.minimum(*n) >= 3 * np.maximum(*n))
+            v = [counts_of(b.column(k).to_pylist(), m) for k, m in zip((3, 5), n, strict=True)]
+            most = np.array([overlap(*x) for x in zip(*v, *(m.tolist() for m in n), strict=True)])
+            ok = (most >= needed(*n)) & (4 * np.minimum(*n) >= 3 * np.maximum(*n))
             yield pa.RecordBatch.from_arrays([b.column(k).filter(pa.array(ok)) for k in (0, 1)], ["a", "b"])
 
     left = info.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("vec").alias("va"))
@@ -160,20 +187,25 @@ def open_pairs(members: DataFrame, info: DataFrame, roots: DataFrame, best: bool
     """Pairs (a, b) of a group's texts in different components that could be similar enough; with ``best``, for each two
     components of a group only the pair of the greatest bound. members: (grp, node, size)."""
 
-    def pairs(keys: np.ndarray, node: np.ndarray, root: np.ndarray, n: np.ndarray, vec: np.ndarray, block: np.ndarray) -> np.ndarray:
+    def pairs(keys: np.ndarray, node: np.ndarray, root: np.ndarray, n: np.ndarray, raw: list[bytes], block: np.ndarray) -> np.ndarray:
         if len(node) < 2 or (root == root[0]).all():
             return np.zeros((2, 0), np.int64)
         cross = keys[1] != keys[2]
         mine = np.flatnonzero(block == keys[1])
         other = np.flatnonzero(block == keys[2])
-        tree = Tree(n[other], vec[other])
-        points = np.where(vec == FULL, n[:, None], vec).astype(np.int32)
+        fine = counts_of(raw, n)
+        points = np.stack([coarse(v, GROUPS, int(m)) for v, m in zip(fine, n, strict=True)])
+        tree = Tree(n[other], points[other])
         out = []
         for i in mine.tolist():
             rows, bound = tree.near(points[i], int(n[i]))
             rows = other[rows]
             keep = (root[rows] != root[i]) & (cross | (rows > i))
             rows, bound = rows[keep], bound[keep]
+            if len(fine[i]) > GROUPS and len(rows):  # a closer look at large sets
+                bound = np.array([overlap(fine[i], fine[j], int(n[i]), int(n[j])) for j in rows.tolist()])
+                keep = bound >= needed(n[i], n[rows])
+                rows, bound = rows[keep], bound[keep]
             if len(rows):
                 out.append(np.stack((np.full(len(rows), i), rows, bound * 1_000_000 // (n[i] + n[rows] - bound))))
         if not out:
@@ -192,7 +224,7 @@ def open_pairs(members: DataFrame, info: DataFrame, roots: DataFrame, best: bool
         def done(t: pa.Table) -> pa.RecordBatch:
             keys = np.stack([t.column(k).to_numpy() for k in range(3)])
             node, root, n, block = (t.column(k).to_numpy().astype(np.int64) for k in (3, 4, 5, 7))
-            vec = np.frombuffer(b"".join(t.column(6).to_pylist()), np.uint16).reshape(-1, GROUPS)
+            vec = t.column(6).to_pylist()
             start = np.flatnonzero(np.concatenate(([True], (keys[:, 1:] != keys[:, :-1]).any(axis=0))))
             found = [pairs(keys[:, p], node[p:q], root[p:q], n[p:q], vec[p:q], block[p:q]) for p, q in zip(start, np.append(start[1:], len(node)), strict=True)]
             a, b = np.unique(np.concatenate(found, axis=1), axis=1)

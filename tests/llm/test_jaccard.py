@@ -80,13 +80,26 @@ def test_documents(spark):
     assert jaccard.near_duplicates(docs.limit(0)).count() == 0
 
 
+def check_bounds(sets, n, tiers):
+    old, simjoin.TIERS = simjoin.TIERS, tiers
+    try:
+        fine = simjoin.counts_of([v.tobytes() for v in simjoin.vectors(np.concatenate(sets), n)], n)
+    finally:
+        simjoin.TIERS = old
+    for a in range(0, 300, 7):
+        for b in range(0, 300, 11):
+            assert simjoin.overlap(fine[a], fine[b], n[a], n[b]) >= len(np.intersect1d(sets[a], sets[b]))
+    return fine
+
+
 def test_tree():
     rng = np.random.default_rng(4)
     base = rng.integers(0, 2**63, (40, 300)).astype(np.uint64) * np.uint64(2)
     sets = [np.unique(np.where(rng.random(300) < rng.random() * 0.4, rng.integers(0, 2**63, 300).astype(np.uint64) * np.uint64(2), base[k % 40])) for k in range(300)]
     n = np.array([len(s) for s in sets])
-    v = simjoin.vectors(np.concatenate(sets), n)
-    tree = simjoin.Tree(n, v)
+    for tiers in ((10_000,), (100, 200)):
+        fine = check_bounds(sets, n, tiers)
+    tree = simjoin.Tree(n, np.stack([simjoin.coarse(v, simjoin.GROUPS, 300) for v in fine]))
     for k in range(300):
         rows, bound = tree.near(tree.points[k], int(n[k]))
         assert {j for j in range(300) if 7 * len(np.intersect1d(sets[k], sets[j])) >= 3 * (n[k] + n[j])} <= set(rows.tolist())
