@@ -1,13 +1,21 @@
 """Substring dedup: passages that several documents share, by paragraph MinHash banding.
 
-1. Texts are cut into sentences (at line ends and after . ! ?; very long ones also at words chosen by their hash), and the
-   sentences that occur in two documents or more are found by hash.
-2. In each document, paragraphs are runs of such sentences of MIN_WORDS words or more. One sentence that only this
-   document has, or few have, may lie between two that are shared; a run ends where sentences become shared by much more
-   or fewer documents, as a passage inside a copied document is; and a long run is cut at sentences chosen by their hash.
-3. Distinct paragraphs are banded by MinHash (bands tuned for recall at the threshold), joined, verified by exact Jaccard
+Exact repeats, wherever they begin and end:
+
+1. Seeds of SEED words are chosen by their hash, one at least in any MIN_WORDS words; those of two documents or more are kept.
+2. Every stretch of MIN_WORDS words around such a seed is counted by its hash. Stretches of two documents or more, one word
+   apart, join into passages, which so end at the very word. The first document that has a stretch keeps it.
+
+Near copies:
+
+3. Texts are cut into sentences (at line ends and after . ! ?; very long ones also at words chosen by their hash).
+4. Paragraphs are lines of MIN_WORDS words or more; shorter ones are joined until they have as many, and a long one is cut at
+   sentences chosen by their hash. Every document gives its paragraphs, whatever others hold.
+5. Distinct paragraphs are banded by MinHash (bands tuned for recall at the threshold), joined, verified by exact Jaccard
    similarity of five-word shingles, and clustered by connected components.
-4. A cluster that reaches two documents keeps its first occurrence; the others are removals.
+6. A cluster that reaches two documents keeps its first occurrence; the others are removals.
+
+What lies inside another passage of the same document is not listed besides.
 """
 
 from __future__ import annotations
@@ -25,12 +33,14 @@ from roadloom.llm.components import components
 from roadloom.llm.jaccard import Seen, of_texts
 from roadloom.llm.scratch import Scratch
 from roadloom.llm.simjoin import node_ids, sets, vectors
-from roadloom.llm.textops import chunks, flat, mix, word_hashes, words
+from roadloom.llm.textops import CHUNK_BYTES, chunks, flat, mix, powers, word_hashes, words
 
 #: Words that a paragraph has at least; that a sentence has at least to count; over which a sentence is cut, and at one
 #: word in how many; that a sentence between shared ones has at most; the similarity, and the recall that bands aim at.
 MIN_WORDS, SHORT, LONG, ONE_IN, BRIDGE, SIMILAR, RECALL = 40, 5, 30, 8, 30, 0.75, 0.999
 PIECE = 50
+#: Words of a seed.
+SEED = 16
 
 
 def bands(similar: float = SIMILAR, recall: float = RECALL, budget: int = 64) -> tuple[int, int]:
@@ -73,6 +83,10 @@ class Sentences:
         self.unit = np.flatnonzero(first[:n])  # the first word of each sentence
         self.length = np.diff(np.append(self.unit, n))
         place = np.arange(n) - np.repeat(self.unit, self.length)
+        head = np.zeros(n + 1, bool)
+        head[self.text_word] = True
+        head[1:n] |= lines[self.start[1:]] > lines[self.end[:-1]]
+        self.line = head[self.unit]  # whether a sentence begins a line
         self.name = mix(np.add.reduceat(mix(self.hashes ^ mix(place.astype(np.uint64))), self.unit)) if n else np.zeros(0, np.uint64)
         self.text_unit = np.searchsorted(self.unit, self.text_word)
 
@@ -81,27 +95,130 @@ class Sentences:
         return len(self.raw[self.text_at[text] : byte].decode())
 
 
-def shared_sentences(docs: DataFrame, scratch: Scratch) -> DataFrame:
-    """(mark, hits: array of (idx, docs)): of each document, the sentences that others have too, and how many have each."""
+def rolling(hashes: np.ndarray, size: int) -> np.ndarray:
+    """A hash of the size words from each word on, as far as there are as many. Texts are not told apart."""
+    up, down = powers(max(CHUNK_BYTES, 1 << len(hashes).bit_length()))
+    total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(hashes * up[: len(hashes)], dtype=np.uint64)))
+    n = max(len(hashes) - size + 1, 0)
+    return mix((total[size : size + n] - total[:n]) * down[:n])
+
+
+def chosen(hashes: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """Where the seeds begin: of any MIN_WORDS words in a row, the SEED words of the least hash (the last of equal ones). Equal
+    stretches of MIN_WORDS words have the same seed, whatever stands around them."""
+    end = np.repeat(np.cumsum(counts), counts)
+    start = np.flatnonzero(end - np.arange(len(hashes)) >= MIN_WORDS)
+    if not len(start):
+        return start
+    span = MIN_WORDS - SEED + 1
+    seen = np.lib.stride_tricks.sliding_window_view(rolling(hashes, SEED), span)[start]
+    return np.unique(start + span - 1 - seen[:, ::-1].argmin(axis=1))
+
+
+def seeds(docs: DataFrame, scratch: Scratch) -> DataFrame:
+    """(mark, hits: array of words): of each document, where seeds begin that another one has too."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = Seen()
+        done = Seen()
         for b in batches:
             for at, part in chunks(b.column(1)):
+                marks = b.column(0).slice(at, len(part)).to_numpy()
+                flat_words, counts = words(part)
+                h = word_hashes(flat_words)
+                first = chosen(h, counts)
+                owner = np.repeat(np.arange(len(marks)), counts)[first]
+                new = done.fresh(marks)[owner]
+                first, owner = first[new], owner[new]
+                begin = (np.cumsum(counts) - counts)[owner]
+                yield pa.RecordBatch.from_arrays([pa.array(marks[owner]), pa.array((first - begin).astype(np.int32)), pa.array(rolling(h, SEED)[first].view(np.int64))], ["mark", "at", "seed"])
+
+    found = scratch.table(docs.select("mark", "text").mapInArrow(work, "mark bigint, at int, seed bigint"), "seeds")
+    many = found.groupBy("seed").agg(F.min("mark").alias("a"), F.max("mark").alias("b")).filter("a <> b").select("seed")
+    many = scratch.table(many, "shared-seeds")
+    return found.join(many, "seed").groupBy("mark").agg(F.collect_set("at").alias("hits"))
+
+
+def stretches(docs: DataFrame, hits: DataFrame) -> DataFrame:
+    """(mark, doc_id, at, first, last, stretch): every MIN_WORDS words in a row that hold a seed which others have; at is the
+    first word, first and last are code points, stretch is a hash of the words."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        done = Seen()
+        for b in batches:
+            for at, part in chunks(b.column(2)):
                 marks = b.column(0).slice(at, len(part)).to_numpy()
                 s = Sentences(part)
-                owner = np.repeat(np.arange(len(marks)), np.diff(s.text_unit))
-                ok = (s.length >= SHORT) & seen.fresh(marks)[owner]
-                idx = np.arange(len(owner)) - s.text_unit[:-1][owner]
-                key = np.stack((owner[ok].astype(np.uint64), s.name[ok]))
-                first = np.zeros(key.shape[1], bool)
-                first[np.unique(key, axis=1, return_index=True)[1]] = True
-                yield pa.RecordBatch.from_arrays([pa.array(marks[owner[ok]]), pa.array(idx[ok].astype(np.int32)), pa.array(s.name[ok].view(np.int64)), pa.array(first)], ["mark", "idx", "sentence", "first"])
+                whole = rolling(s.hashes, MIN_WORDS)
+                turn = np.zeros(len(s.hashes) + 1, np.int64)
+                for t, hit in enumerate(b.column(3).slice(at, len(part))):
+                    p, q = int(s.text_word[t]), int(s.text_word[t + 1])
+                    seed = p + hit.values.to_numpy()
+                    np.add.at(turn, np.maximum(seed + SEED - MIN_WORDS, p), 1)
+                    np.add.at(turn, np.minimum(seed, q - MIN_WORDS) + 1, -1)
+                owner = np.repeat(np.arange(len(marks)), s.counts)
+                w = np.flatnonzero((np.cumsum(turn)[:-1] > 0) & done.fresh(marks)[owner])
+                owner = owner[w]
+                # Code points before each byte: all bytes but those that go on with one.
+                point = np.concatenate(([0], np.cumsum((np.frombuffer(s.raw, np.uint8) & 0xC0) != 0x80)))
+                base = point[s.text_at[owner]]
+                first, last = point[s.start[w]] - base, point[s.end[w + MIN_WORDS - 1]] - base
+                yield pa.RecordBatch.from_arrays([pa.array(marks[owner]), b.column(1).slice(at, len(part)).take(pa.array(owner)), pa.array((w - s.text_word[owner]).astype(np.int32)), pa.array(first), pa.array(last), pa.array(whole[w].view(np.int64))], names)
+
+    names = ["mark", "doc_id", "at", "first", "last", "stretch"]
+    rows = docs.join(hits, "mark").select("mark", "doc_id", "text", "hits")
+    return rows.mapInArrow(work, "mark bigint, doc_id bigint, at int, first bigint, last bigint, stretch bigint")
+
+
+def spans(at: list[int], first: list[int], last: list[int], keeper: list[tuple], mark: int) -> list[tuple]:
+    """From a document's shared stretches in order: (first, last, n_words, component, removed) of the passages that they make.
+    keeper: (doc_id, mark, at) of each stretch's first occurrence. A passage has one keeping document. In the keeping
+    document itself, what doesn't overlap the first occurrence is removed."""
+    out, a, before = [], 0, None
+    for i, (doc, own, word) in enumerate(keeper):
+        kind = (doc, own, own != mark or at[i] >= word + MIN_WORDS)
+        if i and (kind != before or at[i] != at[i - 1] + 1):
+            out.append((first[a], last[i - 1], at[i - 1] + MIN_WORDS - at[a], before[0], before[2]))
+            a = i
+        before = kind
+    out.append((first[a], last[-1], at[-1] + MIN_WORDS - at[a], before[0], before[2]))
+    return out
 
-    found = scratch.table(docs.select("mark", "text").mapInArrow(work, "mark bigint, idx int, sentence bigint, first boolean"), "sentences")
-    many = found.filter("first").groupBy("sentence").agg(F.approx_count_distinct("mark", 0.05).alias("about"), F.min("mark").alias("a"), F.max("mark").alias("b")).filter("a <> b")
-    many = scratch.table(many.select("sentence", F.greatest("about", F.lit(2)).cast("int").alias("docs")), "shared")
-    return found.join(many, "sentence").groupBy("mark").agg(F.array_distinct(F.collect_list(F.struct("idx", "docs"))).alias("hits"))
+
+def united(found: list[tuple]) -> list[tuple]:
+    """A document's passages (first, last, n_words, component, removed) without those that lie inside others: removed ones
+    come first, then long ones. No two begin at the same place."""
+    out: list[tuple] = []
+    for x in sorted(set(found), key=lambda x: (not x[4], x[0] - x[1], x[0])):
+        if any(y[0] <= x[0] and x[1] <= y[1] for y in out):
+            continue
+        for y in sorted(out):
+            if y[0] == x[0]:  # y is removed, and a part of x: the rest of x stays
+                x = (y[1], x[1], x[2] - y[2], *x[3:])
+        out.append(x)
+    return out
+
+
+def exact_and_near(shared: DataFrame, near: DataFrame) -> DataFrame:
+    """(doc_id, mark, first, last, n_words, component_id, removed) from shared: (mark, doc_id, at, first, last, keeper) and
+    near, of the columns that are returned."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = []
+            for mark, doc, exact, other in zip(*(b.column(k).to_pylist() for k in range(4)), strict=True):
+                found = [(x["first"], x["last"], x["n_words"], x["component_id"], x["removed"]) for x in other or ()]
+                if exact:
+                    exact.sort(key=lambda x: x["at"])
+                    found += spans(*([x[c] for x in exact] for c in ("at", "first", "last")), [tuple(x["keeper"][c] for c in ("doc_id", "mark", "at")) for x in exact], mark)
+                out += [(doc, mark, *x) for x in united(found)]
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), (*[pa.int64()] * 6, pa.bool_()), strict=True)], names)
+
+    names = ["doc_id", "mark", "first", "last", "n_words", "component_id", "removed"]
+    a = shared.groupBy("mark").agg(F.first("doc_id").alias("x"), F.collect_list(F.struct("at", "first", "last", "keeper")).alias("exact"))
+    b = near.groupBy("mark").agg(F.first("doc_id").alias("y"), F.collect_set(F.struct("first", "last", "n_words", "component_id", "removed")).alias("near"))
+    both = a.join(b, "mark", "full").select("mark", F.coalesce("x", "y").alias("doc_id"), "exact", "near")
+    return both.mapInArrow(work, "doc_id bigint, mark bigint, first bigint, last bigint, n_words bigint, component_id bigint, removed boolean")
 
 
 def runs(length: np.ndarray, names: np.ndarray, docs: np.ndarray) -> list[tuple[int, int]]:
@@ -149,9 +266,28 @@ def runs(length: np.ndarray, names: np.ndarray, docs: np.ndarray) -> list[tuple[
     return out
 
 
-def paragraphs(docs: DataFrame, hits: DataFrame) -> DataFrame:
-    """(mark, doc_id, first, last, n_words, node, n, vec, paragraph): the paragraphs that may repeat; first and last are code
-    points of the text. hits: (mark, hits)."""
+def blocks(s: Sentences, text: int) -> list[tuple[int, int]]:
+    """The paragraphs of a text, as (first sentence, after the last): its lines, short ones joined until they have MIN_WORDS
+    words, and long ones cut at sentences chosen by their hash. What other documents hold plays no part."""
+    p, q = int(s.text_unit[text]), int(s.text_unit[text + 1])
+    if s.counts[text] < MIN_WORDS:
+        return []
+    heads = np.append(p + np.flatnonzero(s.line[p:q]), q)
+    out, a, held = [], p, 0
+    for b, z in zip(heads[:-1].tolist(), heads[1:].tolist(), strict=True):
+        n = int(s.length[b:z].sum())
+        if n >= MIN_WORDS:  # what short lines came before it are not part of it
+            a, held = b, 0
+        held += n
+        if held >= MIN_WORDS:
+            out += [(a + x, a + y) for x, y in runs(s.length[a:z], s.name[a:z], np.ones(z - a, np.int64))]
+            a, held = z, 0
+    return out
+
+
+def paragraphs(docs: DataFrame) -> DataFrame:
+    """(mark, doc_id, first, last, n_words, node, n, vec, paragraph): the paragraphs of all documents; first and last are code
+    points of the text."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -159,13 +295,9 @@ def paragraphs(docs: DataFrame, hits: DataFrame) -> DataFrame:
                 rows = b.slice(at, len(part))
                 s = Sentences(part)
                 out: list[tuple] = []
-                for t, (mark, doc, hit) in enumerate(zip(rows.column(0).to_pylist(), rows.column(1).to_pylist(), rows.column(3), strict=True)):
-                    p, q = int(s.text_unit[t]), int(s.text_unit[t + 1])
-                    known = np.zeros(q - p, np.int64)
-                    flat_hits = hit.values
-                    known[flat_hits.field(0).to_numpy()] = flat_hits.field(1).to_numpy()
-                    for a, z in runs(s.length[p:q], s.name[p:q], known):
-                        w, x = int(s.unit[p + a]), int(s.unit[p + z - 1] + s.length[p + z - 1]) - 1
+                for t, (mark, doc) in enumerate(zip(rows.column(0).to_pylist(), rows.column(1).to_pylist(), strict=True)):
+                    for a, z in blocks(s, t):
+                        w, x = int(s.unit[a]), int(s.unit[z - 1] + s.length[z - 1]) - 1
                         i, j = int(s.start[w]), int(s.end[x])
                         text = s.raw[i:j].decode()
                         begin = s.points(t, i)
@@ -178,8 +310,7 @@ def paragraphs(docs: DataFrame, hits: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([*columns, pa.array(node_ids(h, n)), pa.array(n), pa.array([v.tobytes() for v in vectors(h, n)], pa.binary()), text], names)
 
     names = ["mark", "doc_id", "first", "last", "n_words", "node", "n", "vec", "paragraph"]
-    rows = docs.join(hits, "mark").select("mark", "doc_id", "text", "hits")
-    return rows.mapInArrow(work, "mark bigint, doc_id bigint, first bigint, last bigint, n_words bigint, node bigint, n bigint, vec binary, paragraph string")
+    return docs.select("mark", "doc_id", "text").mapInArrow(work, "mark bigint, doc_id bigint, first bigint, last bigint, n_words bigint, node bigint, n bigint, vec binary, paragraph string")
 
 
 def band_keys(found: DataFrame, n_bands: int, rows: int) -> DataFrame:
@@ -220,9 +351,17 @@ def repeats(docs: DataFrame) -> DataFrame:
     """
     scratch = Scratch(docs.sparkSession, "paragraphs")
     slim = marked(docs.select("doc_id", "text"))
-    hits = shared_sentences(slim, scratch)
-    found = scratch.table(paragraphs(slim, hits), "paragraphs")
-    scratch.remove("sentences")
+    place = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "mark", "at")
+    hits = scratch.table(seeds(slim, scratch), "hits")
+    scratch.remove("seeds")
+    every = scratch.table(stretches(slim, hits), "stretches")
+    many = every.groupBy("stretch").agg(F.min("mark").alias("a"), F.max("mark").alias("b"), F.min(place).alias("keeper")).filter("a <> b")
+    many = scratch.table(many.select("stretch", "keeper"), "shared")
+    scratch.settle()
+    shared = scratch.table(every.join(many, "stretch").select("mark", "doc_id", "at", "first", "last", "keeper"), "passages")
+    scratch.remove("stretches")
+    scratch.settle()
+    found = scratch.table(paragraphs(slim), "paragraphs")
     info = scratch.table(found.filter("n > 0").groupBy("node").agg(F.first("n").alias("n"), F.first("vec").alias("vec")), "info")
 
     def texts_of(nodes: DataFrame) -> DataFrame:
@@ -236,7 +375,8 @@ def repeats(docs: DataFrame) -> DataFrame:
     kept = scratch.table(nodes.groupBy("root").agg(F.min("a").alias("a"), F.max("b").alias("b"), F.min("keeper").alias("keeper")).filter("a <> b"), "kept")
     named = scratch.table(nodes.select("node", "root").join(kept.select("root", "keeper"), "root").select("node", "keeper"), "named")
     stays = (F.col("mark") == F.col("keeper.mark")) & (F.col("first") == F.col("keeper.first"))
-    return found.join(named, "node").select("doc_id", "mark", "first", "last", "n_words", F.col("keeper.doc_id").alias("component_id"), (~stays).alias("removed"))
+    near = found.join(named, "node").select("doc_id", "mark", "first", "last", "n_words", F.col("keeper.doc_id").alias("component_id"), (~stays).alias("removed"))
+    return exact_and_near(shared, scratch.table(near, "near"))
 
 
 def repeated_passages(docs: DataFrame) -> DataFrame:

@@ -88,3 +88,29 @@ def test_documents(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     got = P.repeated_passages(docs)
     assert got.count() == got.select("doc_id", "first").distinct().count()
+
+
+def found_in(spark, rows):
+    """The documents with a removed passage, and those with any."""
+    got = P.repeated_passages(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    return {r.doc_id for r in got if r.removed}, {r.doc_id for r in got}
+
+
+def test_near_copies_without_a_run_of_shared_sentences(spark):
+    rng = random.Random(7)
+    rows = [(k, prose(rng, 150)) for k in range(20)]
+    for k, lengths in enumerate(((30, 28), (18, 18, 18))):
+        passage = " ".join(sentence(rng, n) for n in lengths)
+        words = passage.split()
+        words[1] = "another"
+        rows += [(100 + k, "\n".join((prose(rng, 60), passage, prose(rng, 60)))), (200 + k, "\n".join((prose(rng, 60), " ".join(words), prose(rng, 60))))]
+    assert found_in(spark, rows) == ({200, 201}, {100, 101, 200, 201})
+
+
+def test_passages_of_an_odd_cut(spark):
+    rng = random.Random(8)
+    plain = lambda n: " ".join("w" + "".join(rng.choices("abcdefgh", k=5)) for _ in range(n))
+    passage, three = plain(51), " ".join(sentence(rng, 17) for _ in range(3))
+    rows = [(1, f"{plain(70)} {passage} {plain(70)}"), (2, f"{plain(33)} {passage} {plain(90)}"), (3, f"{plain(50)} {three} {plain(50)}"), (4, f"{plain(44)} {three} {plain(61)}")]
+    got = {r.doc_id: r for r in P.repeated_passages(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert {k: (dict(rows)[k][r.first : r.last], r.n_words, r.component_id, r.removed) for k, r in got.items()} == {1: (passage, 51, 1, False), 2: (passage, 51, 1, True), 3: (three, 51, 3, False), 4: (three, 51, 3, True)}
