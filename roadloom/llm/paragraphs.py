@@ -4,7 +4,8 @@ Exact repeats, wherever they begin and end:
 
 1. Seeds of SEED words are chosen by their hash, one at least in any MIN_WORDS words; those of two documents or more are kept.
 2. Every stretch of MIN_WORDS words around such a seed is counted by its hash. Stretches of two documents or more, one word
-   apart, join into passages, which so end at the very word. The first document that has a stretch keeps it.
+   apart, join into passages, which so end at the very word. The first document that has a stretch keeps it. Of equal texts, only
+   the least document is looked at, and what is found in it holds for the others.
 
 Near copies:
 
@@ -139,7 +140,7 @@ def seeds(docs: DataFrame, scratch: Scratch) -> DataFrame:
 
 
 def stretches(docs: DataFrame, hits: DataFrame) -> DataFrame:
-    """(mark, doc_id, at, first, last, stretch): every MIN_WORDS words in a row that hold a seed which others have; at is the
+    """(mark, doc_id, copied, at, first, last, stretch): every MIN_WORDS words in a row that hold a seed which others have; at is the
     first word, first and last are code points, stretch is a hash of the words."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -162,11 +163,11 @@ def stretches(docs: DataFrame, hits: DataFrame) -> DataFrame:
                 point = np.concatenate(([0], np.cumsum((np.frombuffer(s.raw, np.uint8) & 0xC0) != 0x80)))
                 base = point[s.text_at[owner]]
                 first, last = point[s.start[w]] - base, point[s.end[w + MIN_WORDS - 1]] - base
-                yield pa.RecordBatch.from_arrays([pa.array(marks[owner]), b.column(1).slice(at, len(part)).take(pa.array(owner)), pa.array((w - s.text_word[owner]).astype(np.int32)), pa.array(first), pa.array(last), pa.array(whole[w].view(np.int64))], names)
+                yield pa.RecordBatch.from_arrays([pa.array(marks[owner]), *(b.column(k).slice(at, len(part)).take(pa.array(owner)) for k in (1, 4)), pa.array((w - s.text_word[owner]).astype(np.int32)), pa.array(first), pa.array(last), pa.array(whole[w].view(np.int64))], names)
 
-    names = ["mark", "doc_id", "at", "first", "last", "stretch"]
-    rows = docs.join(hits, "mark").select("mark", "doc_id", "text", "hits")
-    return rows.mapInArrow(work, "mark bigint, doc_id bigint, at int, first bigint, last bigint, stretch bigint")
+    names = ["mark", "doc_id", "copied", "at", "first", "last", "stretch"]
+    rows = docs.join(hits, "mark").select("mark", "doc_id", "text", "hits", "copied")
+    return rows.mapInArrow(work, "mark bigint, doc_id bigint, copied boolean, at int, first bigint, last bigint, stretch bigint")
 
 
 def spans(at: list[int], first: list[int], last: list[int], keeper: list[tuple], mark: int) -> list[tuple]:
@@ -198,27 +199,44 @@ def united(found: list[tuple]) -> list[tuple]:
     return out
 
 
-def exact_and_near(shared: DataFrame, near: DataFrame) -> DataFrame:
-    """(doc_id, mark, first, last, n_words, component_id, removed) from shared: (mark, doc_id, at, first, last, keeper) and
-    near, of the columns that are returned."""
+ROWS = "doc_id bigint, mark bigint, first bigint, last bigint, n_words bigint, component_id bigint, removed boolean"
+
+
+def passages_of(shared: DataFrame) -> DataFrame:
+    """ROWS from shared: (mark, doc_id, at, first, last, keeper)."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out = []
-            for mark, doc, exact, other in zip(*(b.column(k).to_pylist() for k in range(4)), strict=True):
-                found = [(x["first"], x["last"], x["n_words"], x["component_id"], x["removed"]) for x in other or ()]
-                if exact:
-                    exact.sort(key=lambda x: x["at"])
-                    found += spans(*([x[c] for x in exact] for c in ("at", "first", "last")), [tuple(x["keeper"][c] for c in ("doc_id", "mark", "at")) for x in exact], mark)
-                out += [(doc, mark, *x) for x in united(found)]
+            for mark, doc, exact in zip(*(b.column(k).to_pylist() for k in range(3)), strict=True):
+                exact.sort(key=lambda x: x["at"])
+                found = spans(*([x[c] for x in exact] for c in ("at", "first", "last")), [tuple(x["keeper"][c] for c in ("doc_id", "mark", "at")) for x in exact], mark)
+                out += [(doc, mark, *x) for x in found]
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), (*[pa.int64()] * 6, pa.bool_()), strict=True)], names)
+                yield as_rows(out)
+
+    each = shared.groupBy("mark").agg(F.first("doc_id").alias("doc_id"), F.collect_list(F.struct("at", "first", "last", "keeper")).alias("exact"))
+    return each.mapInArrow(work, ROWS)
+
+
+def as_rows(out: list[tuple]) -> pa.RecordBatch:
+    names = [c.split()[0] for c in ROWS.split(", ")]
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), (*[pa.int64()] * 6, pa.bool_()), strict=True)], names)
 
-    names = ["doc_id", "mark", "first", "last", "n_words", "component_id", "removed"]
-    a = shared.groupBy("mark").agg(F.first("doc_id").alias("x"), F.collect_list(F.struct("at", "first", "last", "keeper")).alias("exact"))
-    b = near.groupBy("mark").agg(F.first("doc_id").alias("y"), F.collect_set(F.struct("first", "last", "n_words", "component_id", "removed")).alias("near"))
-    both = a.join(b, "mark", "full").select("mark", F.coalesce("x", "y").alias("doc_id"), "exact", "near")
-    return both.mapInArrow(work, "doc_id bigint, mark bigint, first bigint, last bigint, n_words bigint, component_id bigint, removed boolean")
+
+def one_list(found: DataFrame) -> DataFrame:
+    """ROWS without those that lie inside others of their document."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = []
+            for mark, doc, rows in zip(*(b.column(k).to_pylist() for k in range(3)), strict=True):
+                out += [(doc, mark, *x) for x in united([tuple(r.values()) for r in rows])]
+            if out:
+                yield as_rows(out)
+
+    each = found.groupBy("mark").agg(F.first("doc_id").alias("doc_id"), F.collect_set(F.struct("first", "last", "n_words", "component_id", "removed")).alias("rows"))
+    return each.mapInArrow(work, ROWS)
 
 
 def runs(length: np.ndarray, names: np.ndarray, docs: np.ndarray) -> list[tuple[int, int]]:
@@ -351,16 +369,30 @@ def repeats(docs: DataFrame) -> DataFrame:
     """
     scratch = Scratch(docs.sparkSession, "paragraphs")
     slim = marked(docs.select("doc_id", "text"))
-    place = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "mark", "at")
-    hits = scratch.table(seeds(slim, scratch), "hits")
+    # Of equal texts, the least document stands for all.
+    order = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "mark")
+    named = scratch.table(slim.filter("text is not null").select("doc_id", "mark", F.xxhash64("text").alias("body")), "bodies")
+    least = named.groupBy("body").agg(F.min(order).alias("least"), (F.min("mark") < F.max("mark")).alias("copied"))
+    least = scratch.table(least.select("body", F.col("least.mark").alias("original"), "copied"), "originals")
+    copies = scratch.table(named.join(least.filter("copied"), "body").filter("mark <> original").select("doc_id", "mark", "original").distinct(), "copies")
+    hits = scratch.table(seeds(slim, scratch).join(least.select(F.col("original").alias("mark"), "copied"), "mark"), "hits")
     scratch.remove("seeds")
+    scratch.settle()
     every = scratch.table(stretches(slim, hits), "stretches")
-    many = every.groupBy("stretch").agg(F.min("mark").alias("a"), F.max("mark").alias("b"), F.min(place).alias("keeper")).filter("a <> b")
+    scratch.settle()
+    place = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "mark", "at")
+    many = every.groupBy("stretch").agg(F.min("mark").alias("a"), F.max("mark").alias("b"), F.max("copied").alias("copied"), F.min(place).alias("keeper")).filter("a <> b or copied")
     many = scratch.table(many.select("stretch", "keeper"), "shared")
     scratch.settle()
     shared = scratch.table(every.join(many, "stretch").select("mark", "doc_id", "at", "first", "last", "keeper"), "passages")
     scratch.remove("stretches")
+    scratch.remove("shared")
+    scratch.settle()
+    exact = scratch.table(passages_of(shared), "exact")
+    scratch.remove("passages")
     scratch.settle()
+    again = exact.withColumnRenamed("mark", "original").drop("doc_id", "removed").join(copies, "original").withColumn("removed", F.lit(True))
+    exact = exact.unionByName(again.select(*exact.columns))
     found = scratch.table(paragraphs(slim), "paragraphs")
     info = scratch.table(found.filter("n > 0").groupBy("node").agg(F.first("n").alias("n"), F.first("vec").alias("vec")), "info")
 
@@ -376,7 +408,7 @@ def repeats(docs: DataFrame) -> DataFrame:
     named = scratch.table(nodes.select("node", "root").join(kept.select("root", "keeper"), "root").select("node", "keeper"), "named")
     stays = (F.col("mark") == F.col("keeper.mark")) & (F.col("first") == F.col("keeper.first"))
     near = found.join(named, "node").select("doc_id", "mark", "first", "last", "n_words", F.col("keeper.doc_id").alias("component_id"), (~stays).alias("removed"))
-    return exact_and_near(shared, scratch.table(near, "near"))
+    return one_list(exact.unionByName(scratch.table(near.select(*exact.columns), "near")))
 
 
 def repeated_passages(docs: DataFrame) -> DataFrame:

@@ -114,3 +114,13 @@ def test_passages_of_an_odd_cut(spark):
     rows = [(1, f"{plain(70)} {passage} {plain(70)}"), (2, f"{plain(33)} {passage} {plain(90)}"), (3, f"{plain(50)} {three} {plain(50)}"), (4, f"{plain(44)} {three} {plain(61)}")]
     got = {r.doc_id: r for r in P.repeated_passages(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
     assert {k: (dict(rows)[k][r.first : r.last], r.n_words, r.component_id, r.removed) for k, r in got.items()} == {1: (passage, 51, 1, False), 2: (passage, 51, 1, True), 3: (three, 51, 3, False), 4: (three, 51, 3, True)}
+
+
+def test_passages_whose_parts_are_elsewhere(spark):
+    rng = random.Random(9)
+    part, stock = [sentence(rng, 20) for _ in range(2)], sentence(rng, 15)
+    x, y = (" ".join(sentence(rng, 15) for _ in range(4)) for _ in range(2))
+    rows = [(k, f"{prose(rng, 30)} {part[0]} {stock} {part[1]} {prose(rng, 30)}") for k in range(3)]
+    rows += [(100 + k, f"{prose(rng, 50)} {stock} {prose(rng, 50)}") for k in range(40)]
+    rows += [(200 + k, f"{prose(rng, 50)} {p} {prose(rng, 50)}") for k, p in enumerate((f"{x} {y}", x, y))]
+    assert found_in(spark, rows) == ({1, 2, 201, 202}, {0, 1, 2, 200, 201, 202})
