@@ -124,3 +124,10 @@ def test_passages_whose_parts_are_elsewhere(spark):
     rows += [(100 + k, f"{prose(rng, 50)} {stock} {prose(rng, 50)}") for k in range(40)]
     rows += [(200 + k, f"{prose(rng, 50)} {p} {prose(rng, 50)}") for k, p in enumerate((f"{x} {y}", x, y))]
     assert found_in(spark, rows) == ({1, 2, 201, 202}, {0, 1, 2, 200, 201, 202})
+
+
+def test_passages_of_short_lines(spark):
+    rng = random.Random(10)
+    menu = "\n".join(sentence(rng, 3 + k % 2) for k in range(20))
+    rows = [(k, "\n".join((prose(rng, 60), menu, prose(rng, 60)))) for k in range(3)] + [(9, prose(rng, 200))]
+    assert found_in(spark, rows) == ({1, 2}, {0, 1, 2})
