@@ -1,10 +1,15 @@
 """N-gram Jaccard join of whole texts: five-word shingles, similarity 0.75 or more, exact.
 
-Candidates share a shingle of their prefixes: in one order of all shingles, any two similar sets have one in common among
-the first |A| - ceil(3|A| / 4) + 1 of each. Shingles that many texts share come last in that order (which ones is learnt
-from the corpus; any choice gives the same result), so that common passages don't make groups. Within a group, a count
-vector R-tree and exact checks do the rest; see ``simjoin``. An R-tree over the whole corpus alone would not do: in 64 or
-more dimensions its boxes overlap too much to keep the search below all pairs.
+A count-vector R-tree over a whole corpus can't keep a search below all pairs: in 64 or more dimensions its boxes overlap. So
+texts are put into clusters that no similar pair crosses, and each cluster has its R-tree; see ``simjoin``. The clusters:
+
+1. A text that is similar to another lacks a quarter of its shingles at most in that one. So texts of which too many shingles
+   are in no other text drop out. Half of all shingles (chosen by a bit of their hash) are enough for a first count: a
+   block's hashes are sorted, packed as differences, and dealt by ranges of hashes. What a block has twice is known to be
+   shared there, and two of its texts stand for it, so that no range gets more than two rows a block of a hot shingle.
+2. What stays (one text in ten, in prose) is counted in full, as joins and sums over the shingles' hashes.
+3. In one order of all shingles, the rarest first, similar sets have one in common among the first |A| - ceil(3|A| / 4) + 1
+   of each. Texts with such a shingle in common are tied, and ties make the clusters.
 """
 
 from __future__ import annotations
@@ -13,78 +18,156 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from roadloom.llm import simjoin
 from roadloom.llm.components import components
 from roadloom.llm.scratch import Scratch
-from roadloom.llm.simjoin import node_ids, sets, vectors
-from roadloom.llm.textops import chunks
+from roadloom.llm.simjoin import node_ids, sets
+from roadloom.llm.textops import OWNER_BITS, chunks
 
-#: Most shingles that are put last, and in how many texts of a chunk one must occur to be considered.
-COMMON, IN_CHUNK = 50_000, 4
+#: Chosen shingles that a task packs at once, and that a range has about.
+PACKED, IN_RANGE = 1 << 21, 1 << 19
+HASH_BITS = 64 - OWNER_BITS
 
 
-class Seen:
-    """Which sets a task has met; only the first of each is worked on."""
-
-    def __init__(self) -> None:
-        self.names: set[int] = set()
-
-    def fresh(self, nodes: np.ndarray) -> np.ndarray:
-        out = np.zeros(len(nodes), bool)
-        for i, x in enumerate(nodes.tolist()):
-            if x not in self.names:
-                self.names.add(x)
-                out[i] = True
-        return out
-
-
-def of_texts(hashes: np.ndarray, n: np.ndarray, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The sets of some texts only."""
-    return hashes[np.repeat(chosen, n)], n[chosen]
+def halved(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which shingles are in the chosen half, and their numbers of HASH_BITS - 1 bits."""
+    x = hashes >> np.uint64(OWNER_BITS)
+    chosen = (x & np.uint64(1)) == 0
+    return chosen, x[chosen] >> np.uint64(1)
 
 
 def signatures(docs: DataFrame) -> DataFrame:
-    """(kind 0, doc_id, mark, node, n, vec) of every text, and (kind 1, .., node: a shingle, n: texts) of common shingles."""
+    """(doc_id, mark, node, n, half) of every text: its set's name and size, and how many shingles are in the chosen half."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = Seen()
         for b in batches:
             for at, part in chunks(b.column(2)):
                 h, n = sets(part)
-                nodes = node_ids(h, n)
-                yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(n), np.int32)), b.column(0).slice(at, len(n)), b.column(1).slice(at, len(n)), pa.array(nodes), pa.array(n), pa.array([v.tobytes() for v in vectors(h, n)], pa.binary())], names)
-                shingle, count = np.unique(of_texts(h, n, seen.fresh(nodes))[0], return_counts=True)
-                shingle, count = shingle[count >= IN_CHUNK].view(np.int64), count[count >= IN_CHUNK].astype(np.int64)
-                none = pa.nulls(len(count), pa.int64())
-                yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(count), np.int32)), none, none, pa.array(shingle), pa.array(count), pa.nulls(len(count), pa.binary())], names)
+                half = np.bincount(np.repeat(np.arange(len(n)), n)[halved(h)[0]], minlength=len(n))
+                yield pa.RecordBatch.from_arrays([*(b.column(k).slice(at, len(n)) for k in (0, 1)), pa.array(node_ids(h, n)), pa.array(n), pa.array(half)], names)
+
+    names = ["doc_id", "mark", "node", "n", "half"]
+    return docs.select("doc_id", F.xxhash64("text").alias("mark"), "text").mapInArrow(work, "doc_id bigint, mark bigint, node bigint, n bigint, half bigint")
+
+
+def pack(x: np.ndarray, nodes: np.ndarray) -> bytes:
+    """Ascending numbers as differences, byte by byte, and their texts' names."""
+    step = np.diff(x, prepend=x[:1] * np.uint64(0))
+    width = max(1, (int(step.max()).bit_length() + 7) // 8)
+    return bytes([width]) + step.view(np.uint8).reshape(-1, 8)[:, :width].tobytes() + nodes.tobytes()
+
+
+def unpack(body: bytes) -> tuple[np.ndarray, np.ndarray]:
+    width = body[0]
+    count = (len(body) - 1) // (width + 8)
+    step = np.zeros((count, 8), np.uint8)
+    step[:, :width] = np.frombuffer(body, np.uint8, count * width, 1).reshape(count, width)
+    return np.cumsum(step.view(np.uint64).ravel(), dtype=np.uint64), np.frombuffer(body, np.int64, count, 1 + count * width)
+
+
+def shared(docs: DataFrame, ranges: int) -> DataFrame:
+    """(node, c): of how many shingles of the chosen half it is known that another text has them too. A text that several
+    blocks have may be counted more than once in what its blocks know by themselves, never less."""
+    shift = np.uint64(HASH_BITS - 1 - (ranges.bit_length() - 1))
+
+    def block(x: np.ndarray, node: np.ndarray) -> Iterator[pa.RecordBatch]:
+        order = np.lexsort((node, x))
+        x, node = x[order], node[order]
+        fresh = np.concatenate(([True], (x[1:] != x[:-1]) | (node[1:] != node[:-1])))
+        x, node = x[fresh], node[fresh]
+        start = np.flatnonzero(np.concatenate(([True], x[1:] != x[:-1])))
+        size = np.diff(np.append(start, len(x)))
+        place = np.arange(len(x)) - np.repeat(start, size)
+        known, c = np.unique(node[place > 1], return_counts=True)
+        x, node = x[place <= 1], node[place <= 1]
+        cut = np.searchsorted(x, np.arange(ranges + 1, dtype=np.uint64) << shift)
+        full = np.flatnonzero(np.diff(cut))
+        bodies = [pack(x[cut[r] : cut[r + 1]] - (np.uint64(r) << shift), node[cut[r] : cut[r + 1]]) for r in full.tolist()]
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate((full, known % ranges)).astype(np.int32)), pa.array(np.concatenate((np.zeros(len(full), np.int64), known))), pa.array(np.concatenate((np.zeros(len(full), np.int64), c))), pa.array(bodies + [None] * len(known), pa.binary())], ["r", "node", "c", "body"])
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, many = [], 0
+        for b in batches:
+            for _, part in chunks(b.column(0)):
+                h, n = sets(part)
+                chosen, x = halved(h)
+                held.append((x, np.repeat(node_ids(h, n), n)[chosen]))
+                many += len(x)
+                if many >= PACKED:
+                    yield from block(*(np.concatenate(c) for c in zip(*held, strict=True)))
+                    held, many = [], 0
+        if many:
+            yield from block(*(np.concatenate(c) for c in zip(*held, strict=True)))
+
+    def count(bodies: list[bytes]) -> pa.RecordBatch:
+        x, node = (np.concatenate(c) for c in zip(*map(unpack, bodies), strict=True))
+        order = np.lexsort((node, x))
+        x, node = x[order], node[order]
+        fresh = np.concatenate(([True], (x[1:] != x[:-1]) | (node[1:] != node[:-1])))
+        x, node = x[fresh], node[fresh]
+        same = x[1:] == x[:-1]
+        known, c = np.unique(node[np.concatenate((same, [False])) | np.concatenate(([False], same))], return_counts=True)
+        return pa.RecordBatch.from_arrays([pa.array(known), pa.array(c)], ["node", "c"])
+
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held = None, []
+        for b in batches:
+            own = b.column(3).is_null()
+            yield pa.RecordBatch.from_arrays([b.column(k).filter(own) for k in (1, 2)], ["node", "c"])
+            for r, body in zip(b.column(0).to_pylist(), b.column(3).to_pylist(), strict=True):
+                if body is None:
+                    continue
+                if r != now and held:
+                    yield count(held)
+                    held = []
+                now = r
+                held.append(body)
+        if held:
+            yield count(held)
+
+    packed = docs.select("text").mapInArrow(deal, "r int, node bigint, c bigint, body binary")
+    each = packed.repartition("r").sortWithinPartitions("r").mapInArrow(gather, "node bigint, c bigint")
+    return each.groupBy("node").agg(F.sum("c").alias("c"))
+
+
+def set_table(texts: DataFrame) -> DataFrame:
+    """(node, n, hashes) from (node, text)."""
 
-    names = ["kind", "doc_id", "mark", "node", "n", "vec"]
-    return docs.select("doc_id", F.xxhash64("text").alias("mark"), "text").mapInArrow(work, "kind int, doc_id bigint, mark bigint, node bigint, n bigint, vec binary")
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for at, part in chunks(b.column(1)):
+                h, n = sets(part)
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(at, len(n)), pa.array(n), pa.array(simjoin.split(h, n), pa.binary())], ["node", "n", "hashes"])
 
+    return texts.select("node", "text").mapInArrow(work, "node bigint, n bigint, hashes binary")
 
-def prefixes(docs: DataFrame, common: np.ndarray) -> DataFrame:
-    """(grp: a shingle of the text's prefix, node); a task names each set once."""
-    shared = docs.sparkSession.sparkContext.broadcast(np.sort(common))
+
+def each_shingle(of: DataFrame) -> DataFrame:
+    """(grp: a shingle, node, n) from (node, n, hashes)."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen, last = Seen(), shared.value
         for b in batches:
-            for _, part in chunks(b.column(0)):
-                h, n = sets(part)
-                nodes = node_ids(h, n)
-                new = seen.fresh(nodes) & (n > 0)
-                h, n = of_texts(h, n, new)
-                owner = np.repeat(np.arange(len(n)), n)
-                late = last[np.minimum(np.searchsorted(last, h), len(last) - 1)] == h if len(last) else np.zeros(len(h), bool)
-                h = h[np.lexsort((h, late, owner))]
-                place = np.arange(len(h)) - np.repeat(np.cumsum(n) - n, n)
-                keep = place < np.repeat(n - (3 * n + 3) // 4 + 1, n)
-                yield pa.RecordBatch.from_arrays([pa.array(h[keep].view(np.int64)), pa.array(nodes[new][owner[keep]])], ["grp", "node"])
+            for at, part in chunks(b.column(2)):
+                n = b.column(1).slice(at, len(part)).to_numpy()
+                h = np.frombuffer(b"".join(part.to_pylist()), np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(np.repeat(b.column(0).slice(at, len(part)).to_numpy(), n)), pa.array(np.repeat(n, n).astype(np.int32))], ["grp", "node", "n"])
+
+    return of.select("node", "n", "hashes").mapInArrow(work, "grp bigint, node bigint, n int")
+
 
-    return docs.select("text").mapInArrow(work, "grp bigint, node bigint")
+def prefixes(of: DataFrame, scratch: Scratch) -> DataFrame:
+    """(grp, node): the shingles of each set's prefix that another one has; the rarest come first."""
+    every = each_shingle(of)
+    many = scratch.table(every.groupBy("grp").agg(F.count("*").alias("texts")).filter("texts > 1"), "frequency")
+    known = every.join(many, "grp")
+    alone = Window.partitionBy("node")
+    # Shingles that no other set has come before all others, and take up their part of the prefix.
+    place = F.row_number().over(alone.orderBy("texts", "grp")) + F.col("n") - F.count("*").over(alone)
+    out = known.withColumn("place", place).filter(F.col("place") <= F.floor(F.col("n") / 4) + 1)
+    return scratch.table(out.select("grp", "node"), "prefixes")
 
 
 def join(docs: DataFrame) -> DataFrame:
@@ -95,22 +178,23 @@ def join(docs: DataFrame) -> DataFrame:
     without words, or null, has none and is linked with nothing. Rows that repeat a doc_id are texts each; a row without
     doc_id links like others but never names a component (null if there is none else). An empty table gives no rows.
     """
-    spark = docs.sparkSession
-    scratch = Scratch(spark, "jaccard")
+    scratch = Scratch(docs.sparkSession, "jaccard")
     docs = docs.select("doc_id", "text")
-    found = scratch.table(signatures(docs), "signatures")
-    top = found.filter("kind = 1").groupBy("node").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "node").limit(COMMON).select("node").toArrow()
-    common = top.column(0).to_numpy().view(np.uint64) if top.num_rows else np.zeros(0, np.uint64)
-    rows = found.filter("kind = 0").select("doc_id", "mark", "node", "n", "vec")
-    info = scratch.table(rows.filter("n > 0").groupBy("node").agg(F.min(F.struct("doc_id", "mark")).alias("at"), F.first("n").alias("n"), F.first("vec").alias("vec")), "info")
-
-    def texts_of(nodes: DataFrame) -> DataFrame:
-        wanted = simjoin.small(info.join(nodes, "node").select("node", F.col("at.doc_id").alias("id"), F.col("at.mark").alias("m")))
-        there = docs.withColumn("mark", F.xxhash64("text"))
-        return there.join(wanted, (there.mark == wanted.m) & there.doc_id.eqNullSafe(wanted.id)).groupBy("node").agg(F.first("text").alias("text"))
-
-    links = simjoin.link(scratch, prefixes(docs, common), info.select("node", "n", "vec"), texts_of)
-    roots = components(links, scratch)
+    rows = scratch.table(signatures(docs), "signatures")
+    info = scratch.table(rows.filter("n > 0").groupBy("node").agg(F.min(F.struct("doc_id", "mark")).alias("at"), F.first("n").alias("n"), F.first("half").alias("half")), "info")
+    total = rows.agg(F.sum("half")).first()[0] or 0
+    counts = scratch.table(shared(docs, 1 << (total // IN_RANGE).bit_length()), "shared")
+    scratch.settle()
+    # Of a set of n shingles, floor(n / 4) at most may be missing in a similar one.
+    alive = info.join(counts, "node", "left").filter(F.col("half") - F.coalesce("c", F.lit(0)) <= F.floor(F.col("n") / 4))
+    wanted = simjoin.small(scratch.table(alive.select("node", F.col("at.doc_id").alias("id"), F.col("at.mark").alias("m")), "alive"))
+    there = docs.withColumn("mark", F.xxhash64("text"))
+    texts = there.join(wanted, (there.mark == wanted.m) & there.doc_id.eqNullSafe(wanted.id)).groupBy("node").agg(F.first("text").alias("text"))
+    of = scratch.table(set_table(texts), "sets")
+    scratch.settle()
+    edges = simjoin.stars(prefixes(of, scratch), scratch)
+    scratch.settle()
+    roots = components(simjoin.link(scratch, edges, of), scratch)
     slim = rows.select("doc_id", "mark", "node", F.col("n").alias("n_shingles"))
     linked = scratch.table(slim.filter("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("least")).join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"), "least"), "linked")
     least = scratch.table(linked.groupBy("root").agg(F.min("least").alias("component_id")), "least")

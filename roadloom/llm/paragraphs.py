@@ -31,9 +31,9 @@ from pyspark.sql import functions as F
 
 from roadloom.llm import simjoin
 from roadloom.llm.components import components
-from roadloom.llm.jaccard import Seen, of_texts
+from roadloom.llm.jaccard import set_table
 from roadloom.llm.scratch import Scratch
-from roadloom.llm.simjoin import node_ids, sets, vectors
+from roadloom.llm.simjoin import node_ids, sets
 from roadloom.llm.textops import CHUNK_BYTES, chunks, flat, mix, powers, word_hashes, words
 
 #: Words that a paragraph has at least; that a sentence has at least to count; over which a sentence is cut, and at one
@@ -96,6 +96,26 @@ class Sentences:
         return len(self.raw[self.text_at[text] : byte].decode())
 
 
+class Seen:
+    """Which names a task has met; only the first of each is worked on."""
+
+    def __init__(self) -> None:
+        self.names: set[int] = set()
+
+    def fresh(self, nodes: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(nodes), bool)
+        for i, x in enumerate(nodes.tolist()):
+            if x not in self.names:
+                self.names.add(x)
+                out[i] = True
+        return out
+
+
+def of_texts(hashes: np.ndarray, n: np.ndarray, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The sets of some texts only."""
+    return hashes[np.repeat(chosen, n)], n[chosen]
+
+
 def rolling(hashes: np.ndarray, size: int) -> np.ndarray:
     """A hash of the size words from each word on, as far as there are as many. Texts are not told apart."""
     up, down = powers(max(CHUNK_BYTES, 1 << len(hashes).bit_length()))
@@ -304,7 +324,7 @@ def blocks(s: Sentences, text: int) -> list[tuple[int, int]]:
 
 
 def paragraphs(docs: DataFrame) -> DataFrame:
-    """(mark, doc_id, first, last, n_words, node, n, vec, paragraph): the paragraphs of all documents; first and last are code
+    """(mark, doc_id, first, last, n_words, node, n, paragraph): the paragraphs of all documents; first and last are code
     points of the text."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -325,10 +345,10 @@ def paragraphs(docs: DataFrame) -> DataFrame:
                 columns = [pa.array(c) for c in list(zip(*out, strict=True))[:1]] + [pa.array([r[1] for r in out], pa.int64())] + [pa.array([r[k] for r in out], pa.int64()) for k in (2, 3, 4)]
                 text = pa.array([r[5] for r in out], pa.string())
                 h, n = sets(text)
-                yield pa.RecordBatch.from_arrays([*columns, pa.array(node_ids(h, n)), pa.array(n), pa.array([v.tobytes() for v in vectors(h, n)], pa.binary()), text], names)
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(node_ids(h, n)), pa.array(n), text], names)
 
-    names = ["mark", "doc_id", "first", "last", "n_words", "node", "n", "vec", "paragraph"]
-    return docs.select("mark", "doc_id", "text").mapInArrow(work, "mark bigint, doc_id bigint, first bigint, last bigint, n_words bigint, node bigint, n bigint, vec binary, paragraph string")
+    names = ["mark", "doc_id", "first", "last", "n_words", "node", "n", "paragraph"]
+    return docs.select("mark", "doc_id", "text").mapInArrow(work, "mark bigint, doc_id bigint, first bigint, last bigint, n_words bigint, node bigint, n bigint, paragraph string")
 
 
 def band_keys(found: DataFrame, n_bands: int, rows: int) -> DataFrame:
@@ -394,12 +414,10 @@ def repeats(docs: DataFrame) -> DataFrame:
     again = exact.withColumnRenamed("mark", "original").drop("doc_id", "removed").join(copies, "original").withColumn("removed", F.lit(True))
     exact = exact.unionByName(again.select(*exact.columns))
     found = scratch.table(paragraphs(slim), "paragraphs")
-    info = scratch.table(found.filter("n > 0").groupBy("node").agg(F.first("n").alias("n"), F.first("vec").alias("vec")), "info")
-
-    def texts_of(nodes: DataFrame) -> DataFrame:
-        return found.join(simjoin.small(nodes), "node").groupBy("node").agg(F.first("paragraph").alias("text"))
-
-    links = simjoin.link(scratch, band_keys(found, *bands()), info, texts_of)
+    edges = simjoin.stars(band_keys(found, *bands()), scratch)
+    some = simjoin.small(scratch.table(edges.selectExpr("explode(array(a, b)) AS node").distinct(), "banded"))
+    texts = found.join(some, "node").groupBy("node").agg(F.first("paragraph").alias("text"))
+    links = simjoin.link(scratch, edges, scratch.table(set_table(texts), "sets"))
     roots = components(links, scratch)
     place = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "mark", "first")
     nodes = found.groupBy("node").agg(F.min("mark").alias("a"), F.max("mark").alias("b"), F.min(place).alias("keeper"))

@@ -1,14 +1,16 @@
-"""Pairs of texts whose sets of word shingles have a Jaccard similarity of 0.75 or more, up to connection.
+"""Links between sets of word shingles with a Jaccard similarity of 0.75 or more, by R-trees over count vectors.
 
-Texts come in groups that share something (a shingle, a band of a MinHash). What is looked for is not every pair but
-enough links that no two texts which belong together stay apart: pairs that are connected already need no check.
+Texts come in groups that share something (a rare shingle, a band of a MinHash); any two similar ones share a group. Each text
+is tied to the least of each of its groups (a star), and the components of these ties are the clusters: similar texts are in
+one cluster. A cluster's texts meet in one task, with their sets:
 
-1. In each group, every text is paired with the group's least one (a star); distinct pairs are bounded, then verified.
-2. Groups whose texts are all in one component by now are done. In the others, an R-tree over the texts' count vectors
-   (shingles hashed into GROUPS groups, and counted) finds the pairs of different components whose overlap, bounded by the
-   sum of the coordinates' minima, could still suffice: first the best for each two components, then all that are left.
+1. Shingles are hashed into groups, and the groups' counts are a text's point in an R-tree.
+2. For a text, the tree gives those whose overlap, bounded by the sum of the coordinates' minima, could suffice.
+3. These are verified on the sets, best bound first, and only as long as they aren't connected yet.
 
-Groups over BLOCK texts are cut into blocks of texts; each two blocks are a task's work, so none holds a whole group.
+A task returns the links of a spanning forest, never all pairs. Clusters over a block's size are dealt to blocks by hash,
+twice, and each block is linked within itself. What is in the largest component by then needs no comparison within it; the
+rest of the cluster meets all blocks, two blocks a task, so that no link between components is lost.
 """
 
 from __future__ import annotations
@@ -23,13 +25,15 @@ from pyspark.sql import functions as F
 
 from roadloom.llm.components import components
 from roadloom.llm.scratch import Scratch
-from roadloom.llm.textops import chunks, mix, shingle_sets, word_hashes, words
+from roadloom.llm.textops import shingle_sets, word_hashes, words
 
-GROUPS, BLOCK, LEAF = 64, 2048, 16
+#: Texts and shingles of a block; points of a leaf.
+BLOCK, BLOCK_SHINGLES, LEAF = 1024, 1 << 22, 16
+#: Groups that shingles are hashed into, and the set sizes from which on there are four times as many: a bound over few groups tells large sets apart badly.
+GROUPS, TIERS = 64, (384, 1536, 6144)
+#: Rows that ``small`` broadcasts at most, of some 30 bytes each.
 BROADCAST_ROWS = 300_000
-#: Set sizes from which on vectors have four times as many groups.
-TIERS = (384, 1536, 6144)
-FULL = 0xFFFF
+NONE = np.zeros((2, 0), np.int64)
 
 
 def sets(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -38,68 +42,54 @@ def sets(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return shingle_sets(word_hashes(flat_words), counts)
 
 
-def node_ids(hashes: np.ndarray, n: np.ndarray) -> np.ndarray:
-    """A 64-bit name of each set. Two of D different sets share one with odds of D * D / 2^65."""
+def split(hashes: np.ndarray, n: np.ndarray) -> list[bytes]:
+    """The set of each text, as bytes."""
     ends = np.cumsum(n)
     raw = memoryview(np.ascontiguousarray(hashes)).cast("B")
-    return np.fromiter((xxhash.xxh3_64_intdigest(raw[8 * a : 8 * b]) for a, b in zip((ends - n).tolist(), ends.tolist(), strict=True)), np.uint64, len(n)).view(np.int64)
+    return [raw[8 * a : 8 * b].tobytes() for a, b in zip((ends - n).tolist(), ends.tolist(), strict=True)]
 
 
-def vectors(hashes: np.ndarray, n: np.ndarray) -> list[np.ndarray]:
-    """How many shingles of each set fall into each group. Sets of more shingles have more groups, four times as many at each
-    of TIERS, as a bound over few groups tells large sets apart badly; fine groups are parts of coarse ones. A set with FULL
-    or more in a group has FULL everywhere."""
+def node_ids(hashes: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """A 64-bit name of each set. Two of D different sets share one with odds of D * D / 2^65."""
     ends = np.cumsum(n)
-    tier = np.searchsorted(TIERS, n, side="right")
-    out = []
-    for a, b, t in zip((ends - n).tolist(), ends.tolist(), tier.tolist(), strict=True):
-        v = np.bincount((hashes[a:b] >> np.uint64(58 - 2 * t)).astype(np.int64), minlength=GROUPS << 2 * t)
-        out.append((v if v.max(initial=0) < FULL else np.full(len(v), FULL)).astype(np.uint16))
-    return out
-
-
-def counts_of(raw: list[bytes], n: np.ndarray) -> list[np.ndarray]:
-    """Vectors read back; where one is FULL, its set's size stands in."""
-    out = []
-    for v, size in zip(raw, n.tolist(), strict=True):
-        c = np.frombuffer(v, np.uint16).astype(np.int32)
-        out.append(np.full(len(c), size, np.int32) if len(c) and c[0] == FULL else c)
-    return out
+    raw = memoryview(np.ascontiguousarray(hashes)).cast("B")
+    return np.fromiter((xxhash.xxh3_64_intdigest(raw[8 * a : 8 * b]) for a, b in zip((ends - n).tolist(), ends.tolist(), strict=True)), np.uint64, len(n)).view(np.int64)
 
 
-def coarse(v: np.ndarray, groups: int, n: int) -> np.ndarray:
-    """A vector over fewer groups."""
-    return v if len(v) == groups else np.minimum(v.reshape(groups, -1).sum(axis=1), n)
+def needed(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The least overlap of sets of sizes a and b for 100 * overlap >= 75 * union."""
+    return (3 * (a + b) + 6) // 7
 
 
-def overlap(a: np.ndarray, b: np.ndarray, na: int, nb: int) -> int:
-    """The most shingles that two sets can share, by the finest groups that both have."""
-    g = min(len(a), len(b))
-    return int(np.minimum(coarse(a, g, na), coarse(b, g, nb)).sum())
+def similar(a: np.ndarray, b: np.ndarray) -> bool:
+    """Whether two sorted sets are similar enough."""
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return both > 0 and 100 * both >= 75 * (len(a) + len(b) - both)
 
 
-def needed(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """The least overlap of sets of sizes a and b for 100 * overlap >= 75 * union."""
-    return (3 * (a + b) + 6) // 7
+def points(members: list[np.ndarray], groups: int) -> np.ndarray:
+    """The count vector of each set."""
+    shift = np.uint64(64 - groups.bit_length() + 1)
+    return np.stack([np.bincount((h >> shift).astype(np.int64), minlength=groups) for h in members]).astype(np.int32)
 
 
 class Tree:
-    """An R-tree of two levels over count vectors of GROUPS groups: leaves of LEAF points, packed in order of size, then of the vectors."""
+    """An R-tree of two levels over count vectors: leaves of LEAF points, packed in order of size, then of the vectors."""
 
     def __init__(self, n: np.ndarray, counts: np.ndarray):
         self.n = n
         self.points = counts
         band = np.searchsorted(np.unique(n)[:: max(1, len(np.unique(n)) // 16)], n, side="right")
-        self.order = np.lexsort((self.points[:, 2], self.points[:, 1], self.points[:, 0], band))
+        self.order = np.lexsort((counts[:, 2], counts[:, 1], counts[:, 0], band))
         cut = np.arange(0, len(n), LEAF)
-        packed = self.points[self.order]
-        self.high = np.maximum.reduceat(packed, cut, axis=0)
+        self.high = np.maximum.reduceat(counts[self.order], cut, axis=0)
         self.least, self.most = np.minimum.reduceat(n[self.order], cut), np.maximum.reduceat(n[self.order], cut)
 
     def near(self, point: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
         """Points that could overlap enough with one of ``size`` shingles, and the bounds on their overlap."""
-        bound = np.minimum(self.high, point).sum(axis=1)
-        leaves = np.flatnonzero((bound >= needed(np.maximum(self.least, -(-3 * size // 4)), size)) & (4 * self.most >= 3 * size) & (3 * self.least <= 4 * size))
+        leaves = np.flatnonzero((4 * self.most >= 3 * size) & (3 * self.least <= 4 * size))
+        bound = np.minimum(self.high[leaves], point).sum(axis=1)
+        leaves = leaves[bound >= needed(np.maximum(self.least[leaves], -(-3 * size // 4)), size)]
         at = (leaves[:, None] * LEAF + np.arange(LEAF)).ravel()
         rows = self.order[at[at < len(self.n)]]
         bound = np.minimum(self.points[rows], point).sum(axis=1)
@@ -107,188 +97,121 @@ class Tree:
         return rows[ok], bound[ok]
 
 
-def grouped(postings: DataFrame) -> DataFrame:
-    """From (grp, node): (kind 0, a, b, 0), each node with its group's least; (kind 1, a group's name, a node, the group's
-    size) for groups of three or more. Groups of the same nodes are one."""
-
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts = [(b.column(0).to_numpy(), b.column(1).to_numpy()) for b in batches if b.num_rows]
-        if not parts:
-            return
-        grp, node = (np.concatenate(x) for x in zip(*parts, strict=True))
-        parts.clear()
-        order = np.lexsort((node, grp))
-        grp, node = grp[order], node[order]
-        fresh = np.ones(len(grp), bool)
-        fresh[1:] = (grp[1:] != grp[:-1]) | (node[1:] != node[:-1])
-        grp, node = grp[fresh], node[fresh]
-        start = np.flatnonzero(np.concatenate(([True], grp[1:] != grp[:-1])))
-        size = np.diff(np.append(start, len(grp)))
-        name = np.add.reduceat(mix(node.view(np.uint64)), start).view(np.int64)
-        _, first = np.unique(name, return_index=True)
-        first = first[size[first] > 1]
-        for some in np.array_split(first, max(1, int(size[first].sum()) // 200_000)):
-            rows = np.concatenate([np.arange(start[g], start[g] + size[g]) for g in some]) if len(some) else np.zeros(0, int)
-            owner = np.repeat(some, size[some])
-            star, big = rows != start[owner], size[owner] > 2
-            pairs = np.unique(np.stack((node[rows[star]], node[start[owner[star]]])), axis=1)
-            n, m = pairs.shape[1], int(big.sum())
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat([0, 1], [n, m]).astype(np.int32)), pa.array(np.concatenate((pairs[0], name[owner[big]]))), pa.array(np.concatenate((pairs[1], node[rows[big]]))), pa.array(np.concatenate((np.zeros(n, np.int64), size[owner[big]])))], ["kind", "a", "b", "size"])
-
-    return postings.select("grp", "node").repartition("grp").mapInArrow(work, "kind int, a bigint, b bigint, size bigint").distinct()
-
-
-def bounded(pairs: DataFrame, info: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose vectors leave room for enough overlap. info: (node, n, vec)."""
-
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            if not b.num_rows:
-                continue
-            n = [b.column(k).to_numpy().astype(np.int64) for k in (2, 4)]
-            v = [counts_of(b.column(k).to_pylist(), m) for k, m in zip((3, 5), n, strict=True)]
-            most = np.array([overlap(*x) for x in zip(*v, *(m.tolist() for m in n), strict=True)])
-            ok = (most >= needed(*n)) & (4 * np.minimum(*n) >= 3 * np.maximum(*n))
-            yield pa.RecordBatch.from_arrays([b.column(k).filter(pa.array(ok)) for k in (0, 1)], ["a", "b"])
-
-    left = info.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("vec").alias("va"))
-    right = info.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("vec").alias("vb"))
-    both = pairs.join(left, "a").join(right, "b").select("a", "b", "na", "va", "nb", "vb")
-    return both.mapInArrow(work, "a bigint, b bigint")
-
-
-def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose texts' shingle sets are similar enough. texts: (node, text), a row for each node."""
-
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at, part in chunks(batch.column(3), 1 << 19):
-                b = batch.slice(at, len(part))
-                uniq = b.column(1).dictionary_encode()  # rows come in order of b
-                codes = np.asarray(uniq.indices)
-                _, where = np.unique(codes, return_index=True)
-                hb, nb = sets(part.take(pa.array(where)))
-                ha, na = sets(b.column(2))
-                eb, ea = np.concatenate(([0], np.cumsum(nb))), np.concatenate(([0], np.cumsum(na)))
-                ok = np.zeros(len(part), bool)
-                for i, c in enumerate(codes.tolist()):
-                    x, y = ha[ea[i] : ea[i + 1]], hb[eb[c] : eb[c + 1]]
-                    both = len(np.intersect1d(x, y, assume_unique=True))
-                    ok[i] = both > 0 and 100 * both >= 75 * (len(x) + len(y) - both)
-                yield pa.RecordBatch.from_arrays([b.column(k).filter(pa.array(ok)) for k in (0, 1)], ["a", "b"])
-
-    left = texts.select(F.col("node").alias("a"), F.col("text").alias("ta"))
-    right = texts.select(F.col("node").alias("b"), F.col("text").alias("tb"))
-    both = pairs.join(left, "a").join(right, "b").select("a", "b", "ta", "tb")
-    return both.mapInArrow(work, "a bigint, b bigint")
-
-
-def open_pairs(members: DataFrame, info: DataFrame, roots: DataFrame, best: bool) -> DataFrame:
-    """Pairs (a, b) of a group's texts in different components that could be similar enough; with ``best``, for each two
-    components of a group only the pair of the greatest bound. members: (grp, node, size)."""
-
-    def pairs(keys: np.ndarray, node: np.ndarray, root: np.ndarray, n: np.ndarray, raw: list[bytes], block: np.ndarray) -> np.ndarray:
-        if len(node) < 2 or (root == root[0]).all():
-            return np.zeros((2, 0), np.int64)
-        cross = keys[1] != keys[2]
-        mine = np.flatnonzero(block == keys[1])
-        other = np.flatnonzero(block == keys[2])
-        fine = counts_of(raw, n)
-        points = np.stack([coarse(v, GROUPS, int(m)) for v, m in zip(fine, n, strict=True)])
-        tree = Tree(n[other], points[other])
-        out = []
-        for i in mine.tolist():
-            rows, bound = tree.near(points[i], int(n[i]))
-            rows = other[rows]
-            keep = (root[rows] != root[i]) & (cross | (rows > i))
-            rows, bound = rows[keep], bound[keep]
-            if len(fine[i]) > GROUPS and len(rows):  # a closer look at large sets
-                bound = np.array([overlap(fine[i], fine[j], int(n[i]), int(n[j])) for j in rows.tolist()])
-                keep = bound >= needed(n[i], n[rows])
-                rows, bound = rows[keep], bound[keep]
-            if len(rows):
-                out.append(np.stack((np.full(len(rows), i), rows, bound * 1_000_000 // (n[i] + n[rows] - bound))))
-        if not out:
-            return np.zeros((2, 0), np.int64)
-        i, j, like = np.concatenate(out, axis=1)
-        if best:
-            order = np.lexsort((-like, np.maximum(root[i], root[j]), np.minimum(root[i], root[j])))
-            i, j = i[order], j[order]
-            lo, hi = np.minimum(root[i], root[j]), np.maximum(root[i], root[j])
-            first = np.ones(len(i), bool)
-            first[1:] = (lo[1:] != lo[:-1]) | (hi[1:] != hi[:-1])
-            i, j = i[first], j[first]
-        return np.stack((np.maximum(node[i], node[j]), np.minimum(node[i], node[j])))
+def forest(node: np.ndarray, root: np.ndarray, n: np.ndarray, members: list[np.ndarray], side: np.ndarray) -> np.ndarray:
+    """Links that connect what similar pairs of the texts connect, besides what has a root in common already. side: 0 or 1, if
+    only texts of different sides are to be compared or in different components; all alike if any may be."""
+    _, part = np.unique(root, return_inverse=True)
+    if len(node) < 2 or part.max() == 0:
+        return NONE
+    ask, there = (np.flatnonzero(side == 0), np.flatnonzero(side == 1)) if side.any() else (np.arange(len(node)),) * 2
+    if not len(there):
+        return NONE
+    groups = GROUPS << 2 * int(np.searchsorted(TIERS, np.median(n), side="right"))
+    counts = points(members, groups)
+    tree = Tree(n[there], counts[there])
+    out = []
+    for i in ask[np.argsort(n[ask], kind="stable")].tolist():
+        rows, bound = tree.near(counts[i], int(n[i]))
+        rows = there[rows]
+        like = bound / (n[i] + n[rows] - bound)
+        rows = rows[np.argsort(-like, kind="stable")]
+        while len(rows := rows[part[rows] != part[i]]):
+            j, rows = int(rows[0]), rows[1:]
+            if similar(members[i], members[j]):
+                out.append((max(node[i], node[j]), min(node[i], node[j])))
+                part[part == part[j]] = part[i]
+    return np.array(out, np.int64).reshape(-1, 2).T
+
+
+def linked(rows: DataFrame) -> DataFrame:
+    """Links (a, b) of a spanning forest in each (grp, lo, hi). rows: (grp, lo, hi, block, node, root, n, hashes)."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def done(t: pa.Table) -> pa.RecordBatch:
-            keys = np.stack([t.column(k).to_numpy() for k in range(3)])
-            node, root, n, block = (t.column(k).to_numpy().astype(np.int64) for k in (3, 4, 5, 7))
-            vec = t.column(6).to_pylist()
-            start = np.flatnonzero(np.concatenate(([True], (keys[:, 1:] != keys[:, :-1]).any(axis=0))))
-            found = [pairs(keys[:, p], node[p:q], root[p:q], n[p:q], vec[p:q], block[p:q]) for p, q in zip(start, np.append(start[1:], len(node)), strict=True)]
-            a, b = np.unique(np.concatenate(found, axis=1), axis=1)
+            grp, lo, hi, block, node, root, n = (t.column(k).to_numpy().astype(np.int64) for k in range(7))
+            raw = t.column(7).to_pylist()
+            start = np.flatnonzero(np.concatenate(([True], (grp[1:] != grp[:-1]) | (lo[1:] != lo[:-1]) | (hi[1:] != hi[:-1]))))
+            found = [NONE]
+            for p, q in zip(start.tolist(), [*start[1:].tolist(), len(node)], strict=True):
+                side = ((block[p:q] == hi[p]) & (lo[p] != hi[p])).astype(np.int8)
+                found.append(forest(node[p:q], root[p:q], n[p:q], [np.frombuffer(x, np.uint64) for x in raw[p:q]], side))
+            a, b = np.concatenate(found, axis=1)
             return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
         held: list[pa.RecordBatch] = []
-        rows = 0
         for x in batches:
             if not x.num_rows:
                 continue
-            held.append(x)
-            rows += x.num_rows
-            if rows < 20_000:
-                continue
-            t = pa.Table.from_batches(held)
-            keys = np.stack([t.column(k).to_numpy() for k in range(3)])
-            turn = np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(axis=0))
+            keys = [x.column(k).to_numpy() for k in range(3)]
+            turn = np.flatnonzero(np.logical_or.reduce([k[1:] != k[:-1] for k in keys]))
+            if held and any(held[-1].column(k)[-1].as_py() != x.column(k)[0].as_py() for k in range(3)):
+                yield done(pa.Table.from_batches(held))
+                held = []
             if len(turn):
                 cut = int(turn[-1]) + 1
-                yield done(t.slice(0, cut))
-                held, rows = t.slice(cut).combine_chunks().to_batches(), t.num_rows - cut
+                yield done(pa.Table.from_batches([*held, x.slice(0, cut)]))
+                held, x = [], x.slice(cut)
+            held.append(x)
         if held:
             yield done(pa.Table.from_batches(held))
 
-    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
-    rows = members.join(info.select("node", "n", "vec"), "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    rows = rows.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    rows = rows.withColumn("to", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows = rows.select("grp", F.least("block", "to").alias("lo"), F.greatest("block", "to").alias("hi"), "node", "root", "n", "vec", "block")
     key = ["grp", "lo", "hi"]
-    return rows.repartition(*key).sortWithinPartitions(*key).mapInArrow(work, "a bigint, b bigint").distinct()
+    rows = rows.select(*key, "block", "node", "root", "n", "hashes")
+    return rows.repartition(*key).sortWithinPartitions(*key).mapInArrow(work, "a bigint, b bigint")
 
 
 def small(rows: DataFrame) -> DataFrame:
-    """rows, to be broadcast if there are BROADCAST_ROWS at most (some 30 bytes each), else to be joined as Spark chooses."""
+    """rows, to be broadcast if there are BROADCAST_ROWS at most, else to be joined as Spark chooses."""
     return F.broadcast(rows) if rows.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else rows
 
 
-def link(scratch: Scratch, postings: DataFrame, info: DataFrame, texts_of) -> DataFrame:
-    """Links (a, b) that connect all texts which similar pairs within the groups connect, written to a table.
+def stars(postings: DataFrame, scratch: Scratch, name: str = "stars") -> DataFrame:
+    """(a, b): each text with the least of each of its groups, once. postings: (grp, node)."""
+    least = scratch.table(postings.groupBy("grp").agg(F.min("node").alias("b"), F.max("node").alias("last")).filter("b < last").select("grp", "b"), f"{name}-least")
+    edges = scratch.table(postings.join(least, "grp").filter("node <> b").select(F.col("node").alias("a"), "b").distinct(), name)
+    scratch.remove(f"{name}-least")
+    return edges
 
-    postings: (grp, node); info: (node, n, vec), a row for each node; texts_of: from nodes to (node, text). Only texts of
-    pairs that pass the bound are fetched.
-    """
 
-    def checked(pairs: DataFrame, turn: int) -> DataFrame:
-        nodes = scratch.table(pairs.selectExpr("explode(array(a, b)) AS node").distinct(), f"nodes-{turn}")
-        texts = scratch.table(texts_of(nodes), f"texts-{turn}")
-        scratch.settle()
-        out = scratch.table(verified(pairs, texts), f"links-{turn}")
-        scratch.remove(f"texts-{turn}")
-        scratch.settle()
-        return out
+def link(scratch: Scratch, edges: DataFrame, of: DataFrame) -> DataFrame:
+    """Links (a, b) that connect all texts which similar pairs within a cluster connect, written to tables.
 
-    groups = scratch.table(grouped(postings), "groups")
+    edges: (a, b), whose components are the clusters; of: (node, n, hashes), a row for each text in edges at least.
+    """
+    roots = components(edges, scratch, "clusters")
+    clusters = roots.select("node", F.col("root").alias("grp")).unionByName(roots.select(F.col("root").alias("node"), F.col("root").alias("grp")).distinct())
+    slim = scratch.table(of.select("node", "n").join(clusters, "node"), "in-clusters")
+    enough = F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int")
+    large = scratch.table(slim.groupBy("grp").agg(enough.alias("blocks")).filter("blocks > 1"), "large")
+    dealt = slim.join(small(large), "grp", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    members = scratch.table(of.join(dealt.select("node", "grp", "blocks"), "node"), "members")
     scratch.settle()
-    stars = scratch.table(bounded(groups.filter("kind = 0").select("a", "b"), info), "stars")
-    members = groups.filter("kind = 1").select(F.col("a").alias("grp"), F.col("b").alias("node"), "size")
-    links = checked(stars, 0)
-    for turn, best in ((1, True), (2, False)):
-        roots = components(links, scratch, f"roots-{turn}")
-        more = scratch.table(open_pairs(members, info, roots, best), f"open-{turn}")
-        scratch.settle()
-        if more.isEmpty():
-            break
-        links = links.unionByName(checked(more, turn))
-    return links
+
+    def in_blocks(rows: DataFrame, turn: int) -> DataFrame:
+        block = F.pmod(F.xxhash64("node", F.lit(turn)), "blocks").cast("int")
+        rows = rows.withColumn("block", block)
+        return scratch.table(linked(rows.withColumn("lo", F.col("block")).withColumn("hi", F.col("block"))), f"links-{turn}")
+
+    links = in_blocks(members.withColumn("root", F.col("node")), 0)
+    if large.isEmpty():
+        return links
+    big = members.filter("blocks > 1")
+
+    def rooted(turn: int) -> DataFrame:
+        return big.join(components(links, scratch, f"roots-{turn}"), "node", "left").withColumn("root", F.coalesce("root", "node"))
+
+    links = links.unionByName(in_blocks(rooted(1), 1))
+    now = scratch.table(rooted(2), "big")
+    main = now.groupBy("grp", "root").agg(F.count("*").alias("m"), F.sum("n").alias("size")).groupBy("grp")
+    main = main.agg(F.max(F.struct("m", "size", "root")).alias("main"), F.sum("m").alias("all"), F.sum("size").alias("size")).filter("all > main.m")
+
+    def parts(count: str, size: str) -> F.Column:
+        return F.greatest(F.ceil(F.expr(count) / BLOCK), F.ceil(F.expr(size) / BLOCK_SHINGLES)).cast("int")
+
+    main = main.select("grp", F.col("main.root").alias("main"), parts("all - main.m", "size - main.size").alias("few"), parts("main.m", "main.size").alias("many"))
+    now = now.join(small(scratch.table(main, "main")), "grp").withColumn("rest", F.col("root") != F.col("main"))
+    at = F.xxhash64("node", F.lit(2))
+    now = now.withColumn("block", F.when(F.col("rest"), F.pmod(at, "few")).otherwise(F.col("few") + F.pmod(at, "many")).cast("int"))
+    now = now.withColumn("to", F.explode(F.sequence(F.lit(0), F.when(F.col("rest"), F.col("few") + F.col("many") - 1).otherwise(F.col("few") - 1))))
+    now = now.withColumn("lo", F.least("block", "to")).withColumn("hi", F.greatest("block", "to"))
+    return links.unionByName(scratch.table(linked(now), "links-2"))

@@ -80,30 +80,40 @@ def test_documents(spark):
     assert jaccard.near_duplicates(docs.limit(0)).count() == 0
 
 
-def check_bounds(sets, n, tiers):
-    old, simjoin.TIERS = simjoin.TIERS, tiers
-    try:
-        fine = simjoin.counts_of([v.tobytes() for v in simjoin.vectors(np.concatenate(sets), n)], n)
-    finally:
-        simjoin.TIERS = old
-    for a in range(0, 300, 7):
-        for b in range(0, 300, 11):
-            assert simjoin.overlap(fine[a], fine[b], n[a], n[b]) >= len(np.intersect1d(sets[a], sets[b]))
-    return fine
-
-
 def test_tree():
     rng = np.random.default_rng(4)
     base = rng.integers(0, 2**63, (40, 300)).astype(np.uint64) * np.uint64(2)
     sets = [np.unique(np.where(rng.random(300) < rng.random() * 0.4, rng.integers(0, 2**63, 300).astype(np.uint64) * np.uint64(2), base[k % 40])) for k in range(300)]
     n = np.array([len(s) for s in sets])
-    for tiers in ((10_000,), (100, 200)):
-        fine = check_bounds(sets, n, tiers)
-    tree = simjoin.Tree(n, np.stack([simjoin.coarse(v, simjoin.GROUPS, 300) for v in fine]))
-    for k in range(300):
-        rows, bound = tree.near(tree.points[k], int(n[k]))
-        assert {j for j in range(300) if 7 * len(np.intersect1d(sets[k], sets[j])) >= 3 * (n[k] + n[j])} <= set(rows.tolist())
-        assert all(b >= len(np.intersect1d(sets[k], sets[j])) for j, b in zip(rows, bound))
+    for groups in (64, 256):
+        tree = simjoin.Tree(n, simjoin.points(sets, groups))
+        assert (tree.points.sum(axis=1) == n).all() and tree.points.shape[1] == groups
+        for k in range(300):
+            rows, bound = tree.near(tree.points[k], int(n[k]))
+            assert {j for j in range(300) if 7 * len(np.intersect1d(sets[k], sets[j])) >= 3 * (n[k] + n[j])} <= set(rows.tolist())
+            assert all(b >= len(np.intersect1d(sets[k], sets[j])) for j, b in zip(rows, bound))
+
+
+def test_packed():
+    rng = np.random.default_rng(5)
+    for top in (2, 10**6, 2**51):
+        x = np.sort(rng.integers(0, top, 1000).astype(np.uint64))
+        node = rng.integers(-(2**62), 2**62, 1000)
+        again = jaccard.unpack(jaccard.pack(x, node))
+        assert (again[0] == x).all() and (again[1] == node).all()
+
+
+def test_large_group(spark, monkeypatch):
+    """A large group of near copies: a spanning forest's links, not its pairs; small blocks and ranges give the same result."""
+    monkeypatch.setattr(simjoin, "BLOCK", 50)
+    monkeypatch.setattr(jaccard, "PACKED", 5000)
+    monkeypatch.setattr(jaccard, "IN_RANGE", 1000)
+    rng = random.Random(6)
+    hot = [f"v{rng.randrange(400)}" for _ in range(60)]
+    rows = list(enumerate([edited(rng, hot, rng.choice((0, 1, 2, 2, 3, 4))) for _ in range(600)] + [edited(rng, hot[:30] + hot, 1) for _ in range(60)], 1))
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(7)
+    got = sorted((str(r.doc_id), r.n_shingles, str(r.component_id)) for r in jaccard.near_duplicates(df).collect())
+    assert got == brute(rows)
 
 
 def test_components(spark):
