@@ -1,22 +1,18 @@
 """Substring dedup: passages that several documents share, by paragraph MinHash banding.
 
-Exact repeats, wherever they begin and end:
-
-1. Seeds of SEED words are chosen by their hash, one at least in any MIN_WORDS words; those of two documents or more are kept.
-2. Every stretch of MIN_WORDS words around such a seed is counted by its hash. Stretches of two documents or more, one word
-   apart, join into passages, which so end at the very word. The first document that has a stretch keeps it. Of equal texts, only
-   the least document is looked at, and what is found in it holds for the others.
-
-Near copies:
-
-3. Texts are cut into sentences (at line ends and after . ! ?; very long ones also at words chosen by their hash).
-4. Paragraphs are lines of MIN_WORDS words or more; shorter ones are joined until they have as many, and a long one is cut at
-   sentences chosen by their hash. Every document gives its paragraphs, whatever others hold.
-5. Distinct paragraphs are banded by MinHash (bands tuned for recall at the threshold), joined, verified by exact Jaccard
-   similarity of five-word shingles, and clustered by connected components.
-6. A cluster that reaches two documents keeps its first occurrence; the others are removals.
-
-What lies inside another passage of the same document is not listed besides.
+Paragraphs of two kinds are banded, of every distinct text and whatever others hold:
+
+1. Windows of MIN_WORDS words. Where one begins is chosen by the words themselves: of any SURE - MIN_WORDS + 1 places in a row,
+   that of the least hash. So two texts that share SURE words in a row, wherever these stand, share a window. A window is one
+   band as a whole: windows meet if they are equal. Each is stretched, word by word, over what surrounds it in the first
+   document that has it too; windows of a document that touch make a passage, which so ends at the very word.
+2. Natural paragraphs, for near copies: lines of MIN_WORDS words or more; shorter ones are joined until they have as many, and
+   a long one is cut at sentences chosen by their hash. Bands of a MinHash are tuned for recall at the threshold, paragraphs
+   that collide are joined, exact Jaccard similarity of five-word shingles is verified, and components make the clusters.
+
+The first document (least doc_id) that has a passage keeps it; the others' occurrences are removals. A copy of a whole text is one.
+Words that repeat one phrase over and over (under half of the shingles distinct) are no passage: junk of that kind is alike
+without being copied. What lies inside another passage of the same document is not listed besides.
 """
 
 from __future__ import annotations
@@ -26,22 +22,24 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from roadloom.llm import simjoin
 from roadloom.llm.components import components
-from roadloom.llm.jaccard import set_table
 from roadloom.llm.scratch import Scratch
-from roadloom.llm.simjoin import node_ids, sets
-from roadloom.llm.textops import CHUNK_BYTES, chunks, flat, mix, powers, word_hashes, words
+from roadloom.llm.simjoin import node_ids
+from roadloom.llm.textops import CHUNK_BYTES, chunks, flat, gather, mix, powers, shingle_sets, word_hashes, words
 
-#: Words that a paragraph has at least; that a sentence has at least to count; over which a sentence is cut, and at one
-#: word in how many; that a sentence between shared ones has at most; the similarity, and the recall that bands aim at.
-MIN_WORDS, SHORT, LONG, ONE_IN, BRIDGE, SIMILAR, RECALL = 40, 5, 30, 8, 30, 0.75, 0.999
-PIECE = 50
-#: Words of a seed.
-SEED = 16
+#: Words of a window, and that a natural paragraph has at least; words in a row that are sure to hold a window; words that
+#: choose where a window begins; words of a shingle.
+MIN_WORDS, SURE, GRAM, SHINGLE = 40, 51, 8, 5
+#: Sentences over LONG words are cut at one word in ONE_IN; lines are cut into pieces of PIECE words at least, at one sentence in four.
+LONG, ONE_IN, PIECE = 30, 8, 50
+#: The similarity, and the recall that bands aim at.
+SIMILAR, RECALL = 0.75, 0.999
+#: Places where a window may begin, of which one is chosen; and how far it is stretched on either side, at most.
+SPAN, REACH = SURE - MIN_WORDS + 1, SURE - MIN_WORDS
 
 
 def bands(similar: float = SIMILAR, recall: float = RECALL, budget: int = 64) -> tuple[int, int]:
@@ -111,11 +109,6 @@ class Seen:
         return out
 
 
-def of_texts(hashes: np.ndarray, n: np.ndarray, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The sets of some texts only."""
-    return hashes[np.repeat(chosen, n)], n[chosen]
-
-
 def rolling(hashes: np.ndarray, size: int) -> np.ndarray:
     """A hash of the size words from each word on, as far as there are as many. Texts are not told apart."""
     up, down = powers(max(CHUNK_BYTES, 1 << len(hashes).bit_length()))
@@ -124,84 +117,125 @@ def rolling(hashes: np.ndarray, size: int) -> np.ndarray:
     return mix((total[size : size + n] - total[:n]) * down[:n])
 
 
-def chosen(hashes: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """Where the seeds begin: of any MIN_WORDS words in a row, the SEED words of the least hash (the last of equal ones). Equal
-    stretches of MIN_WORDS words have the same seed, whatever stands around them."""
-    end = np.repeat(np.cumsum(counts), counts)
-    start = np.flatnonzero(end - np.arange(len(hashes)) >= MIN_WORDS)
-    if not len(start):
-        return start
-    span = MIN_WORDS - SEED + 1
-    seen = np.lib.stride_tricks.sliding_window_view(rolling(hashes, SEED), span)[start]
-    return np.unique(start + span - 1 - seen[:, ::-1].argmin(axis=1))
+def distinct_shingles(hashes: np.ndarray, counts: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """How many distinct shingles each window has that begins at one of the words at."""
+    owner = np.repeat(np.arange(len(counts), dtype=np.uint64), counts)
+    g = rolling(hashes, SHINGLE)
+    g ^= mix(owner[: len(g)])
+    order = np.argsort(g, kind="stable")
+    before = np.full(len(g), -1)
+    same = g[order[1:]] == g[order[:-1]]
+    before[order[1:][same]] = order[:-1][same]
+    fresh = np.zeros(len(at), np.int32)
+    for j in range(MIN_WORDS - SHINGLE + 1):
+        fresh += before[at + j] < at
+    return fresh
 
 
-def seeds(docs: DataFrame, scratch: Scratch) -> DataFrame:
-    """(mark, hits: array of words): of each document, where seeds begin that another one has too."""
+def chosen(hashes: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The words at which windows begin (the last of equal ones)."""
+    end = np.cumsum(counts)
+    left = np.repeat(end, counts) - np.arange(len(hashes))
+    key = rolling(hashes, GRAM)
+    start = np.flatnonzero(left >= SURE)
+    out = [np.zeros(0, np.int64)]
+    if len(start):
+        seen = np.lib.stride_tricks.sliding_window_view(key, SPAN)[start]
+        out.append(start + SPAN - 1 - seen[:, ::-1].argmin(axis=1))
+    for t in np.flatnonzero((counts >= MIN_WORDS) & (counts < SURE)).tolist():  # fewer places than SPAN
+        a, b = end[t] - counts[t], end[t] - MIN_WORDS + 1
+        out.append(np.array([b - 1 - key[a:b][::-1].argmin()]))
+    at = np.unique(np.concatenate(out))
+    return at[2 * distinct_shingles(hashes, counts, at) >= MIN_WORDS - SHINGLE + 1] if len(at) else at
+
+
+def windows(texts: DataFrame) -> DataFrame:
+    """(body, at: the first word, node: a hash of the words). A task looks at each text once."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         done = Seen()
         for b in batches:
             for at, part in chunks(b.column(1)):
-                marks = b.column(0).slice(at, len(part)).to_numpy()
+                body = b.column(0).slice(at, len(part)).to_numpy()
                 flat_words, counts = words(part)
                 h = word_hashes(flat_words)
                 first = chosen(h, counts)
-                owner = np.repeat(np.arange(len(marks)), counts)[first]
-                new = done.fresh(marks)[owner]
+                owner = np.repeat(np.arange(len(body)), counts)[first]
+                new = done.fresh(body)[owner]
                 first, owner = first[new], owner[new]
                 begin = (np.cumsum(counts) - counts)[owner]
-                yield pa.RecordBatch.from_arrays([pa.array(marks[owner]), pa.array((first - begin).astype(np.int32)), pa.array(rolling(h, SEED)[first].view(np.int64))], ["mark", "at", "seed"])
+                yield pa.RecordBatch.from_arrays([pa.array(body[owner]), pa.array((first - begin).astype(np.int32)), pa.array(rolling(h, MIN_WORDS)[first].view(np.int64))], ["body", "at", "node"])
 
-    found = scratch.table(docs.select("mark", "text").mapInArrow(work, "mark bigint, at int, seed bigint"), "seeds")
-    many = found.groupBy("seed").agg(F.min("mark").alias("a"), F.max("mark").alias("b")).filter("a <> b").select("seed")
-    many = scratch.table(many, "shared-seeds")
-    return found.join(many, "seed").groupBy("mark").agg(F.collect_set("at").alias("hits"))
+    return texts.select("body", "text").mapInArrow(work, "body bigint, at int, node bigint")
 
 
-def stretches(docs: DataFrame, hits: DataFrame) -> DataFrame:
-    """(mark, doc_id, copied, at, first, last, stretch): every MIN_WORDS words in a row that hold a seed which others have; at is the
-    first word, first and last are code points, stretch is a hash of the words."""
+def surroundings(texts: DataFrame) -> DataFrame:
+    """From (body, doc_id, text, hits: windows' first words): (node, body, doc_id, at, around) for each window. around: 32 bits of
+    the hashes of REACH words on either side (0: there is none), then the code points at which the REACH words before the
+    window and the window begin, and at which the window and the REACH words after it end."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        done = Seen()
         for b in batches:
             for at, part in chunks(b.column(2)):
-                marks = b.column(0).slice(at, len(part)).to_numpy()
                 s = Sentences(part)
-                whole = rolling(s.hashes, MIN_WORDS)
-                turn = np.zeros(len(s.hashes) + 1, np.int64)
-                for t, hit in enumerate(b.column(3).slice(at, len(part))):
-                    p, q = int(s.text_word[t]), int(s.text_word[t + 1])
-                    seed = p + hit.values.to_numpy()
-                    np.add.at(turn, np.maximum(seed + SEED - MIN_WORDS, p), 1)
-                    np.add.at(turn, np.minimum(seed, q - MIN_WORDS) + 1, -1)
-                owner = np.repeat(np.arange(len(marks)), s.counts)
-                w = np.flatnonzero((np.cumsum(turn)[:-1] > 0) & done.fresh(marks)[owner])
-                owner = owner[w]
+                hits = b.column(3).slice(at, len(part))
+                owner = np.repeat(np.arange(len(part)), np.diff(hits.offsets.to_numpy()))
+                word = hits.flatten().to_numpy().astype(np.int64)
+                first = word + s.text_word[owner]
+                place = first[:, None] + np.concatenate((np.arange(-REACH, 0), MIN_WORDS + np.arange(REACH)))
+                there = (place >= s.text_word[owner][:, None]) & (place < s.text_word[owner + 1][:, None])
+                hashes = np.where(there, s.hashes[np.where(there, place, 0)].astype(np.uint32) | np.uint32(1), np.uint32(0))
                 # Code points before each byte: all bytes but those that go on with one.
                 point = np.concatenate(([0], np.cumsum((np.frombuffer(s.raw, np.uint8) & 0xC0) != 0x80)))
-                base = point[s.text_at[owner]]
-                first, last = point[s.start[w]] - base, point[s.end[w + MIN_WORDS - 1]] - base
-                yield pa.RecordBatch.from_arrays([pa.array(marks[owner]), *(b.column(k).slice(at, len(part)).take(pa.array(owner)) for k in (1, 4)), pa.array((w - s.text_word[owner]).astype(np.int32)), pa.array(first), pa.array(last), pa.array(whole[w].view(np.int64))], names)
-
-    names = ["mark", "doc_id", "copied", "at", "first", "last", "stretch"]
-    rows = docs.join(hits, "mark").select("mark", "doc_id", "text", "hits", "copied")
-    return rows.mapInArrow(work, "mark bigint, doc_id bigint, copied boolean, at int, first bigint, last bigint, stretch bigint")
-
-
-def spans(at: list[int], first: list[int], last: list[int], keeper: list[tuple], mark: int) -> list[tuple]:
-    """From a document's shared stretches in order: (first, last, n_words, component, removed) of the passages that they make.
-    keeper: (doc_id, mark, at) of each stretch's first occurrence. A passage has one keeping document. In the keeping
-    document itself, what doesn't overlap the first occurrence is removed."""
-    out, a, before = [], 0, None
-    for i, (doc, own, word) in enumerate(keeper):
-        kind = (doc, own, own != mark or at[i] >= word + MIN_WORDS)
-        if i and (kind != before or at[i] != at[i - 1] + 1):
-            out.append((first[a], last[i - 1], at[i - 1] + MIN_WORDS - at[a], before[0], before[2]))
-            a = i
-        before = kind
-    out.append((first[a], last[-1], at[-1] + MIN_WORDS - at[a], before[0], before[2]))
+                base = point[s.text_at[owner]][:, None]
+                lo, hi = s.text_word[owner][:, None], s.text_word[owner + 1][:, None] - 1
+                begins = point[s.start[np.maximum(first[:, None] + np.arange(-REACH, 1), lo)]] - base
+                ends = point[s.end[np.minimum(first[:, None] + MIN_WORDS - 1 + np.arange(REACH + 1), hi)]] - base
+                around = np.concatenate((hashes, begins.astype(np.uint32), ends.astype(np.uint32)), axis=1)
+                raw = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(word), [None, pa.py_buffer(np.arange(len(word) + 1) * (around.shape[1] * 4)), pa.py_buffer(np.ascontiguousarray(around))]).cast(pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(rolling(s.hashes, MIN_WORDS)[first].view(np.int64)), *(b.column(k).slice(at, len(part)).take(pa.array(owner)) for k in (0, 1)), pa.array(word.astype(np.int32)), raw], ["node", "body", "doc_id", "at", "around"])
+
+    return texts.select("body", "doc_id", "text", "hits").mapInArrow(work, "node bigint, body bigint, doc_id bigint, at int, around binary")
+
+
+def stretched(rows: DataFrame) -> DataFrame:
+    """From (node, body, doc_id, at, around, kept_doc, kept_body, other, before, after): each window with as many words before and after it as
+    are given, or, if null, as are the same around ``other``: (node, body, doc_id, left, right: words; first, last: code points;
+    before, after, kept_doc, kept_body)."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if not b.num_rows:
+                continue
+            both = [np.frombuffer(b"".join(b.column(k).to_pylist()), np.uint32).reshape(b.num_rows, -1) for k in (4, 7)]
+            same = (both[0][:, : 2 * REACH] == both[1][:, : 2 * REACH]) & (both[0][:, : 2 * REACH] != 0)
+            given = [np.asarray(b.column(k).fill_null(-1)).astype(np.int64) for k in (8, 9)]
+            before = np.where(given[0] < 0, np.cumprod(same[:, :REACH][:, ::-1], axis=1).sum(axis=1), given[0])
+            after = np.where(given[1] < 0, np.cumprod(same[:, REACH:], axis=1).sum(axis=1), given[1])
+            at, row = b.column(3).to_numpy().astype(np.int64), np.arange(b.num_rows)
+            first, last = both[0][row, 3 * REACH - before], both[0][row, 3 * REACH + 1 + after]
+            numbers = (at - before, at + MIN_WORDS + after, first.astype(np.int64), last.astype(np.int64), before, after)
+            yield pa.RecordBatch.from_arrays([*(b.column(k) for k in (0, 1, 2)), *map(pa.array, numbers), b.column(5), b.column(6)], names)
+
+    names = ["node", "body", "doc_id", "left", "right", "first", "last", "before", "after", "kept_doc", "kept_body"]
+    kinds = ", ".join(f"{c} bigint" for c in names)
+    return rows.select("node", "body", "doc_id", "at", "around", "kept_doc", "kept_body", "other", "before", "after").mapInArrow(work, kinds)
+
+
+def spans(found: list[tuple]) -> list[tuple]:
+    """From a text's stretched windows (left, right, first, last, component, removed): (first, last, n_words, component, removed) of
+    the passages that those of one component make together."""
+    out, now = [], None
+    for left, right, first, last, *kind in sorted(found, key=lambda x: (x[4] is None, x[4] or 0, x[5], x[0], x[1])):
+        if now and now[4:] == kind and left <= now[1]:
+            if right > now[1]:
+                now[1], now[3] = right, last
+            continue
+        if now:
+            out.append((now[2], now[3], now[1] - now[0], *now[4:]))
+        now = [left, right, first, last, *kind]
+    if now:
+        out.append((now[2], now[3], now[1] - now[0], *now[4:]))
     return out
 
 
@@ -219,24 +253,7 @@ def united(found: list[tuple]) -> list[tuple]:
     return out
 
 
-ROWS = "doc_id bigint, mark bigint, first bigint, last bigint, n_words bigint, component_id bigint, removed boolean"
-
-
-def passages_of(shared: DataFrame) -> DataFrame:
-    """ROWS from shared: (mark, doc_id, at, first, last, keeper)."""
-
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            out = []
-            for mark, doc, exact in zip(*(b.column(k).to_pylist() for k in range(3)), strict=True):
-                exact.sort(key=lambda x: x["at"])
-                found = spans(*([x[c] for x in exact] for c in ("at", "first", "last")), [tuple(x["keeper"][c] for c in ("doc_id", "mark", "at")) for x in exact], mark)
-                out += [(doc, mark, *x) for x in found]
-            if out:
-                yield as_rows(out)
-
-    each = shared.groupBy("mark").agg(F.first("doc_id").alias("doc_id"), F.collect_list(F.struct("at", "first", "last", "keeper")).alias("exact"))
-    return each.mapInArrow(work, ROWS)
+ROWS = "body bigint, doc_id bigint, first bigint, last bigint, n_words bigint, component_id bigint, removed boolean"
 
 
 def as_rows(out: list[tuple]) -> pa.RecordBatch:
@@ -244,206 +261,188 @@ def as_rows(out: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), (*[pa.int64()] * 6, pa.bool_()), strict=True)], names)
 
 
-def one_list(found: DataFrame) -> DataFrame:
-    """ROWS without those that lie inside others of their document."""
+def by_text(found: DataFrame, columns: list[str], make) -> DataFrame:
+    """ROWS that make(list of the columns' values) gives for each document."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out = []
-            for mark, doc, rows in zip(*(b.column(k).to_pylist() for k in range(3)), strict=True):
-                out += [(doc, mark, *x) for x in united([tuple(r.values()) for r in rows])]
+            for body, doc, rows in zip(*(b.column(k).to_pylist() for k in range(3)), strict=True):
+                out += [(body, doc, *x) for x in make([tuple(r.values()) for r in rows])]
             if out:
                 yield as_rows(out)
 
-    each = found.groupBy("mark").agg(F.first("doc_id").alias("doc_id"), F.collect_set(F.struct("first", "last", "n_words", "component_id", "removed")).alias("rows"))
-    return each.mapInArrow(work, ROWS)
-
-
-def runs(length: np.ndarray, names: np.ndarray, docs: np.ndarray) -> list[tuple[int, int]]:
-    """Paragraphs of a text, as (first sentence, after the last). docs: how many documents have each sentence (0: unknown)."""
-    out: list[tuple[int, int]] = []
-    first = last = -1  # of the run
-    level, gap = 0, 0
-
-    def close() -> None:
-        if first < 0:
-            return
-        left = int(length[first : last + 1].sum())
-        if left < MIN_WORDS:
-            return
-        a, held = first, 0
-        for u in range(first, last + 1):
-            if held >= PIECE and left >= PIECE and names[u] % np.uint64(4) == 0:
-                out.append((a, u))
-                a, held = u, 0
-            held += int(length[u])
-            left -= int(length[u])
-        out.append((a, last + 1))
-
-    u, back = 0, -1  # back: where a run may start anew, at a sentence that fewer documents share than the run before it
-    while u < len(length):
-        many = int(docs[u])
-        if many and first >= 0 and many > 2 * level + 1:
-            close()
-            first = -1
-        if many and not (first >= 0 and 2 * many + 1 < level):
-            if first < 0:
-                first = u
-            last, level, gap, back = u, many, 0, -1
-        elif first >= 0 and length[u] >= SHORT:
-            gap += 1
-            if many and back < 0:
-                back = u
-            if gap > 1 or length[u] > BRIDGE:
-                close()
-                first = -1
-                if back >= 0:
-                    u, back = back - 1, -1
-        u += 1
-    close()
-    return out
+    return found.groupBy("body", "doc_id").agg(F.collect_set(F.struct(*columns)).alias("rows")).mapInArrow(work, ROWS)
 
 
 def blocks(s: Sentences, text: int) -> list[tuple[int, int]]:
-    """The paragraphs of a text, as (first sentence, after the last): its lines, short ones joined until they have MIN_WORDS
-    words, and long ones cut at sentences chosen by their hash. What other documents hold plays no part."""
+    """The natural paragraphs of a text, as (first sentence, after the last)."""
     p, q = int(s.text_unit[text]), int(s.text_unit[text + 1])
     if s.counts[text] < MIN_WORDS:
         return []
-    heads = np.append(p + np.flatnonzero(s.line[p:q]), q)
+    heads = np.append(p + np.flatnonzero(s.line[p:q]), q).tolist()
     out, a, held = [], p, 0
-    for b, z in zip(heads[:-1].tolist(), heads[1:].tolist(), strict=True):
-        n = int(s.length[b:z].sum())
+    for b, z in zip(heads[:-1], heads[1:], strict=True):
+        n = int(s.unit[z - 1] + s.length[z - 1] - s.unit[b])
         if n >= MIN_WORDS:  # what short lines came before it are not part of it
             a, held = b, 0
         held += n
         if held >= MIN_WORDS:
-            out += [(a + x, a + y) for x, y in runs(s.length[a:z], s.name[a:z], np.ones(z - a, np.int64))]
+            out += pieces(s, a, z, held) if held >= 2 * PIECE else [(a, z)]
             a, held = z, 0
     return out
 
 
-def paragraphs(docs: DataFrame) -> DataFrame:
-    """(mark, doc_id, first, last, n_words, node, n, paragraph): the paragraphs of all documents; first and last are code
-    points of the text."""
+def pieces(s: Sentences, a: int, z: int, left: int) -> list[tuple[int, int]]:
+    """Sentences a to z, of left words in all, cut where a sentence's hash says so and PIECE words are on either side."""
+    out, held = [], 0
+    for u, (n, name) in enumerate(zip(s.length[a:z].tolist(), (s.name[a:z] % np.uint64(4)).tolist(), strict=True), a):
+        if held >= PIECE and left >= PIECE and name == 0:
+            out.append((a, u))
+            a, held = u, 0
+        held += n
+        left -= n
+    return [*out, (a, z)]
+
+
+def paragraphs(texts: DataFrame, columns: str) -> DataFrame:
+    """Of the natural paragraphs of all texts, the columns named: body, first, last (code points), n_words, node, n (distinct shingles),
+    hashes (their set), grp (an array of bands). A task looks at each text once."""
+    wanted = columns.split(", ")
+    n_bands, rows = bands()
+    odd = mix(np.arange(1, n_bands * rows + 1, dtype=np.uint64)) | np.uint64(1)
+
+    def banded(h: np.ndarray, n: np.ndarray) -> pa.Array:
+        start = np.cumsum(n) - n
+        x = mix(h)
+        low = np.stack([np.minimum.reduceat(x * k, start) for k in odd]).reshape(n_bands, rows, len(n))
+        keys = np.zeros((n_bands, len(n)), np.uint64) + np.arange(n_bands, dtype=np.uint64)[:, None]
+        for r in range(rows):
+            keys = mix(keys ^ low[:, r])
+        return pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1, dtype=np.int32) * n_bands), pa.array(np.ascontiguousarray(keys.T).ravel().view(np.int64)))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        done = Seen()
         for b in batches:
-            for at, part in chunks(b.column(2)):
-                rows = b.slice(at, len(part))
+            for at, part in chunks(b.column(1)):
+                body = b.column(0).slice(at, len(part)).to_numpy()
+                new = done.fresh(body)
                 s = Sentences(part)
-                out: list[tuple] = []
-                for t, (mark, doc) in enumerate(zip(rows.column(0).to_pylist(), rows.column(1).to_pylist(), strict=True)):
-                    for a, z in blocks(s, t):
-                        w, x = int(s.unit[a]), int(s.unit[z - 1] + s.length[z - 1]) - 1
-                        i, j = int(s.start[w]), int(s.end[x])
-                        text = s.raw[i:j].decode()
-                        begin = s.points(t, i)
-                        out.append((mark, doc, begin, begin + len(text), x + 1 - w, text))
-                if not out:
+                found = [(t, a, z) for t in np.flatnonzero(new).tolist() for a, z in blocks(s, t)]
+                if not found:
                     continue
-                columns = [pa.array(c) for c in list(zip(*out, strict=True))[:1]] + [pa.array([r[1] for r in out], pa.int64())] + [pa.array([r[k] for r in out], pa.int64()) for k in (2, 3, 4)]
-                text = pa.array([r[5] for r in out], pa.string())
-                h, n = sets(text)
-                yield pa.RecordBatch.from_arrays([*columns, pa.array(node_ids(h, n)), pa.array(n), text], names)
-
-    names = ["mark", "doc_id", "first", "last", "n_words", "node", "n", "paragraph"]
-    return docs.select("mark", "doc_id", "text").mapInArrow(work, "mark bigint, doc_id bigint, first bigint, last bigint, n_words bigint, node bigint, n bigint, paragraph string")
-
-
-def band_keys(found: DataFrame, n_bands: int, rows: int) -> DataFrame:
-    """(grp, node): the bands of each distinct paragraph's MinHash; a task names each paragraph once."""
-    seeds = mix(np.arange(1, n_bands * rows + 1, dtype=np.uint64))
-
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = Seen()
-        for b in batches:
-            for at, part in chunks(b.column(1)):
-                nodes = b.column(0).slice(at, len(part)).to_numpy()
-                h, n = sets(part)
-                new = seen.fresh(nodes) & (n > 0)
-                h, n = of_texts(h, n, new)
+                owner, a, z = np.array(found, np.int64).T
+                word, end = s.unit[a], s.unit[z - 1] + s.length[z - 1]
+                h, n = shingle_sets(s.hashes[gather(word, end - word)], end - word)
+                ok = 2 * n >= end - word
+                h, n = h[np.repeat(ok, n)], n[ok]
+                owner, word, end = owner[ok], word[ok], end[ok]
                 if not len(n):
                     continue
-                start = np.cumsum(n) - n
-                low = np.stack([np.minimum.reduceat(mix(h ^ s), start) for s in seeds]).reshape(n_bands, rows, len(n))
-                keys = np.zeros((n_bands, len(n)), np.uint64) + np.arange(n_bands, dtype=np.uint64)[:, None]
-                for r in range(rows):
-                    keys = mix(keys ^ low[:, r])
-                yield pa.RecordBatch.from_arrays([pa.array(keys.ravel().view(np.int64)), pa.array(np.tile(nodes[new], n_bands))], ["grp", "node"])
+                point = np.concatenate(([0], np.cumsum((np.frombuffer(s.raw, np.uint8) & 0xC0) != 0x80)))
+                base = point[s.text_at[owner]]
+                made = {"body": lambda: pa.array(body[owner]), "first": lambda: pa.array(point[s.start[word]] - base), "last": lambda: pa.array(point[s.end[end - 1]] - base), "n_words": lambda: pa.array(end - word), "node": lambda: pa.array(node_ids(h, n)), "n": lambda: pa.array(n), "hashes": lambda: pa.array(simjoin.split(h, n), pa.binary()), "grp": lambda: banded(h, n)}
+                yield pa.RecordBatch.from_arrays([made[c]() for c in wanted], wanted)
 
-    return found.select("node", "paragraph").mapInArrow(work, "grp bigint, node bigint")
+    kinds = ", ".join(f"{c} {({'hashes': 'binary', 'grp': 'array<bigint>'}).get(c, 'bigint')}" for c in wanted)
+    return texts.select("body", "text").mapInArrow(work, kinds)
 
 
-def marked(docs: DataFrame) -> DataFrame:
-    return docs.withColumn("mark", F.xxhash64("doc_id", "text"))
+def body(text: str = "text") -> Column:
+    return F.xxhash64(text).alias("body")
 
 
-def repeats(docs: DataFrame) -> DataFrame:
-    """(doc_id, mark, first, last, n_words, component_id, removed): every occurrence of a passage that two documents or
-    more share. component_id is the doc_id of the occurrence that stays (the least doc_id, then the first in it; a null
-    doc_id comes last); removed is false for that one.
-
-    Null and empty texts have no passages. Rows of equal doc_id and text are one document; what repeats only inside one
-    document is no repeat. An empty table gives no rows.
-    """
-    scratch = Scratch(docs.sparkSession, "paragraphs")
-    slim = marked(docs.select("doc_id", "text"))
-    # Of equal texts, the least document stands for all.
-    order = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "mark")
-    named = scratch.table(slim.filter("text is not null").select("doc_id", "mark", F.xxhash64("text").alias("body")), "bodies")
-    least = named.groupBy("body").agg(F.min(order).alias("least"), (F.min("mark") < F.max("mark")).alias("copied"))
-    least = scratch.table(least.select("body", F.col("least.mark").alias("original"), "copied"), "originals")
-    copies = scratch.table(named.join(least.filter("copied"), "body").filter("mark <> original").select("doc_id", "mark", "original").distinct(), "copies")
-    hits = scratch.table(seeds(slim, scratch).join(least.select(F.col("original").alias("mark"), "copied"), "mark"), "hits")
-    scratch.remove("seeds")
+def exact(texts: DataFrame, first: DataFrame, scratch: Scratch) -> DataFrame:
+    """ROWS of passages around windows that two texts have. texts: (body, doc_id, text); first: (body, doc_id) of each text's first document."""
+    every = scratch.table(windows(texts), "windows")
+    many = simjoin.small(scratch.table(every.groupBy("node").agg(F.min("body").alias("a"), F.max("body").alias("b")).filter("a <> b").select("node"), "shared"))
     scratch.settle()
-    every = scratch.table(stretches(slim, hits), "stretches")
+    hits = every.join(many, "node").groupBy("body").agg(F.collect_set("at").alias("hits"))
+    hits = scratch.table(hits.join(first, "body"), "hits")
+    scratch.remove("windows")
     scratch.settle()
-    place = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "mark", "at")
-    many = every.groupBy("stretch").agg(F.min("mark").alias("a"), F.max("mark").alias("b"), F.max("copied").alias("copied"), F.min(place).alias("keeper")).filter("a <> b or copied")
-    many = scratch.table(many.select("stretch", "keeper"), "shared")
+    some = texts.select("body", "text").join(simjoin.small(hits.select("body")), "body", "left_semi")
+    around = scratch.table(surroundings(some.join(hits, "body")), "around")
     scratch.settle()
-    shared = scratch.table(every.join(many, "stretch").select("mark", "doc_id", "at", "first", "last", "keeper"), "passages")
-    scratch.remove("stretches")
-    scratch.remove("shared")
+    order = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "body", "at", "around")
+    kept = scratch.table(around.groupBy("node").agg(F.min(order).alias("kept")), "kept")
+    both = around.join(kept, "node").filter("body <> kept.body")
+    none = F.lit(None).cast("long")
+    copies = scratch.table(stretched(both.withColumns({"kept_doc": F.col("kept.doc_id"), "kept_body": F.col("kept.body"), "other": F.col("kept.around"), "before": none, "after": none})), "copies")
+    scratch.remove("around")
     scratch.settle()
-    exact = scratch.table(passages_of(shared), "exact")
-    scratch.remove("passages")
+    reach = copies.groupBy("node").agg(F.max("before").alias("before"), F.max("after").alias("after"))
+    own = kept.select("node", "kept.*").join(reach, "node").withColumns({"kept_doc": F.col("doc_id"), "kept_body": F.col("body"), "other": F.col("around")})
+    found = copies.unionByName(stretched(own)).withColumn("removed", F.col("body") != F.col("kept_body"))
+    out = by_text(found.withColumnRenamed("kept_doc", "component_id"), ["left", "right", "first", "last", "component_id", "removed"], spans)
+    return scratch.table(out, "exact")
+
+
+def near(texts: DataFrame, first: DataFrame, scratch: Scratch) -> DataFrame:
+    """ROWS of natural paragraphs that two texts have, as copies or near copies."""
+    found = scratch.table(paragraphs(texts, "body, first, last, n_words, node"), "paragraphs")
+    postings = scratch.table(paragraphs(texts, "node, grp").select("node", F.explode("grp").alias("grp")), "bands")
+    edges = simjoin.stars(postings, scratch)
+    scratch.remove("bands")
     scratch.settle()
-    again = exact.withColumnRenamed("mark", "original").drop("doc_id", "removed").join(copies, "original").withColumn("removed", F.lit(True))
-    exact = exact.unionByName(again.select(*exact.columns))
-    found = scratch.table(paragraphs(slim), "paragraphs")
-    edges = simjoin.stars(band_keys(found, *bands()), scratch)
-    some = simjoin.small(scratch.table(edges.selectExpr("explode(array(a, b)) AS node").distinct(), "banded"))
-    texts = found.join(some, "node").groupBy("node").agg(F.first("paragraph").alias("text"))
-    links = simjoin.link(scratch, edges, scratch.table(set_table(texts), "sets"))
-    roots = components(links, scratch)
-    place = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "mark", "first")
-    nodes = found.groupBy("node").agg(F.min("mark").alias("a"), F.max("mark").alias("b"), F.min(place).alias("keeper"))
-    nodes = scratch.table(nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "nodes")
-    kept = scratch.table(nodes.groupBy("root").agg(F.min("a").alias("a"), F.max("b").alias("b"), F.min("keeper").alias("keeper")).filter("a <> b"), "kept")
-    named = scratch.table(nodes.select("node", "root").join(kept.select("root", "keeper"), "root").select("node", "keeper"), "named")
-    stays = (F.col("mark") == F.col("keeper.mark")) & (F.col("first") == F.col("keeper.first"))
-    near = found.join(named, "node").select("doc_id", "mark", "first", "last", "n_words", F.col("keeper.doc_id").alias("component_id"), (~stays).alias("removed"))
-    return one_list(exact.unionByName(scratch.table(near.select(*exact.columns), "near")))
+    wanted = scratch.table(edges.selectExpr("explode(array(a, b)) AS node").distinct(), "wanted")
+    holders = found.join(simjoin.small(wanted), "node").groupBy("node").agg(F.min("body").alias("body"))
+    some = texts.join(simjoin.small(scratch.table(holders.select("body").distinct(), "holders")), "body", "left_semi")
+    sets = paragraphs(some, "node, n, hashes").join(simjoin.small(wanted), "node", "left_semi")
+    of = scratch.table(sets.groupBy("node").agg(F.first("n").alias("n"), F.first("hashes").alias("hashes")), "sets")
+    scratch.settle()
+    roots = components(simjoin.link(scratch, edges, of), scratch)
+    both = found.groupBy("node").agg(F.min("body").alias("a"), F.max("body").alias("b"))
+    nodes = scratch.table(both.join(roots, "node", "full").filter("root IS NOT NULL OR a <> b").select("node", F.coalesce("root", "node").alias("root")).unionByName(roots.select(F.col("root").alias("node"), "root")).distinct(), "nodes")
+    named = scratch.table(found.join(simjoin.small(nodes), "node").join(first, "body").select("root", "body", "doc_id", "first", "last", "n_words").distinct(), "named")
+    scratch.settle()
+    place = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "body", "first")
+    kept = named.groupBy("root").agg(F.min("body").alias("a"), F.max("body").alias("b"), F.min(place).alias("keeper")).filter("a <> b").select("root", "keeper")
+    out = named.join(scratch.table(kept, "keepers"), "root").withColumn("removed", F.col("body") != F.col("keeper.body"))
+    return scratch.table(out.select("body", "doc_id", "first", "last", "n_words", F.col("keeper.doc_id").alias("component_id"), "removed"), "near")
+
+
+def repeats(docs: DataFrame) -> DataFrame:
+    """ROWS: every occurrence of a passage that two documents or more share, by doc_id and body (a hash of the text); first and
+    last are code points. component_id is the doc_id of the occurrence that stays (the least doc_id, then the first in it; a
+    null doc_id comes last); removed is false for that one, and for what else that document has of the passage.
+
+    Null and empty texts have no passages. Rows of equal doc_id and text are one document; what repeats only inside one
+    document is no repeat. A copy of another document's text of MIN_WORDS words or more is a passage as a whole, and only the
+    first of equal texts is searched for others. An empty table gives no rows.
+    """
+    scratch = Scratch(docs.sparkSession, "paragraphs")
+    texts = docs.select(body(), "doc_id", "text").filter("text IS NOT NULL")
+    n_words = F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")).cast("long").alias("n_words")
+    named = scratch.table(texts.select("body", "doc_id", n_words, F.length("text").cast("long").alias("last")), "bodies")
+    order = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id")
+    least = named.groupBy("body").agg(F.min(order).alias("least"), F.max(order).alias("most"), F.first("n_words").alias("n_words"), F.first("last").alias("last"))
+    least = scratch.table(least.select("body", F.col("least.doc_id").alias("doc_id"), (F.col("least") != F.col("most")).alias("copied"), "n_words", "last"), "least")
+    first = least.select("body", "doc_id")
+    whole = least.filter((F.col("n_words") >= MIN_WORDS) & F.col("copied")).withColumnRenamed("doc_id", "component_id")
+    copies = named.select("body", "doc_id").join(simjoin.small(whole), "body")
+    copies = copies.select("body", "doc_id", F.lit(0).cast("long").alias("first"), "last", "n_words", "component_id", (~F.col("doc_id").eqNullSafe(F.col("component_id"))).alias("removed")).distinct()
+    found = scratch.table(copies, "whole").unionByName(exact(texts, first, scratch)).unionByName(near(texts, first, scratch))
+    return by_text(found, ["first", "last", "n_words", "component_id", "removed"], united)
 
 
 def repeated_passages(docs: DataFrame) -> DataFrame:
-    return repeats(docs).select("doc_id", "first", "last", "n_words", "component_id", "removed").distinct()
+    return repeats(docs).select("doc_id", "first", "last", "n_words", "component_id", "removed")
 
 
 def without_repeats(docs: DataFrame) -> DataFrame:
     """docs with the removed passages cut out of the text, and n_chars following it. Documents of which no word is left go;
     others, also those without words from the start, stay."""
     scratch = Scratch(docs.sparkSession, "cut")
-    spans = repeats(docs).filter("removed").groupBy("mark").agg(F.array_sort(F.array_distinct(F.collect_list(F.struct("first", "last")))).alias("spans"))
-    both = marked(docs).join(scratch.table(spans, "spans"), "mark", "left")
+    cuts = repeats(docs).filter("removed").groupBy("body", "doc_id").agg(F.array_sort(F.array_distinct(F.collect_list(F.struct("first", "last")))).alias("spans"))
+    cuts = scratch.table(cuts.select(F.col("body").alias("cut_body"), F.col("doc_id").alias("cut_doc"), "spans"), "spans")
+    # As a place in the text is at most in one span of a document's list, spans take less room than their texts.
+    both = docs.join(simjoin.small(cuts), (F.xxhash64("text") == F.col("cut_body")) & docs["doc_id"].eqNullSafe(F.col("cut_doc")), "left")
     # What lies between the spans: from each one's end to the next one's start.
-    ends = F.concat(F.array(F.lit(0).cast("long")), F.transform("spans", lambda s: s["last"]))
+    reach = F.expr("transform(sequence(0, size(spans)), k -> CASE WHEN k = 0 THEN 0L ELSE array_max(transform(slice(spans, 1, k), s -> s.last)) END)")
     starts = F.concat(F.transform("spans", lambda s: s["first"]), F.array(F.length("text").cast("long")))
-    rest = F.array_join(F.zip_with(ends, starts, lambda a, b: F.substring("text", (a + 1).cast("int"), F.greatest(b - a, F.lit(0)).cast("int"))), "")
+    rest = F.array_join(F.zip_with(reach, starts, lambda a, b: F.substring("text", (a + 1).cast("int"), F.greatest(b - a, F.lit(0)).cast("int"))), "")
     cut = both.withColumn("rest", F.when(F.col("spans").isNull(), F.col("text")).otherwise(rest))
     cut = cut.filter(F.col("spans").isNull() | F.col("rest").rlike(r"[^\x20\x09-\x0D]"))
     changed = {"text": F.col("rest")} | ({"n_chars": F.when(F.col("spans").isNull(), F.col("n_chars")).otherwise(F.length("rest").cast("long"))} if "n_chars" in docs.columns else {})
-    return cut.select(*(changed.get(c, F.col(f"`{c}`")).alias(c) for c in docs.columns))
+    return cut.select(*(changed.get(c, docs[f"`{c}`"]).alias(c) for c in docs.columns))

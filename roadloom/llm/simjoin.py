@@ -168,7 +168,7 @@ def small(rows: DataFrame) -> DataFrame:
 def stars(postings: DataFrame, scratch: Scratch, name: str = "stars") -> DataFrame:
     """(a, b): each text with the least of each of its groups, once. postings: (grp, node)."""
     least = scratch.table(postings.groupBy("grp").agg(F.min("node").alias("b"), F.max("node").alias("last")).filter("b < last").select("grp", "b"), f"{name}-least")
-    edges = scratch.table(postings.join(least, "grp").filter("node <> b").select(F.col("node").alias("a"), "b").distinct(), name)
+    edges = scratch.table(postings.join(small(least), "grp").filter("node <> b").select(F.col("node").alias("a"), "b").distinct(), name)
     scratch.remove(f"{name}-least")
     return edges
 

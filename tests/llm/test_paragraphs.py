@@ -50,13 +50,32 @@ def test_bands():
     assert 1 - (1 - 0.75**rows) ** n >= P.RECALL and n * rows <= 64
 
 
-def test_runs():
-    n = np.full(12, 20)
-    names = np.full(12, 1, np.uint64)
-    docs = np.array([0, 3, 3, 3, 0, 3, 0, 0, 9, 9, 9, 40])
-    assert P.runs(n, names, docs) == [(1, 6), (8, 11)]
-    assert P.runs(n, names, np.array([9, 9, 9, 2, 9, 9, 9, 2, 2, 2, 2, 0])) == [(0, 7), (7, 11)]
-    assert P.runs(n, names, np.zeros(12, int)) == []
+def test_pieces():
+    rng = random.Random(4)
+    texts = [prose(rng, n) for n in (30, 45, 300)] + ["\n".join(sentence(rng, 4) for _ in range(40)), "a b c\n" + " ".join(sentence(rng, 12) for _ in range(5))]
+    s = P.Sentences(pa.array(texts))
+    found = [P.blocks(s, t) for t in range(len(texts))]
+    size = lambda a, z: int(s.length[a:z].sum())
+    assert not found[0] and all(size(*x) >= P.MIN_WORDS for f in found for x in f)
+    assert [size(*x) for x in found[3]] == [40] * 4 and [size(*x) for x in found[4]] == [60]
+    assert all(a[1] <= b[0] for f in found for a, b in zip(f, f[1:]))
+
+
+def test_windows():
+    """Any SURE words in a row hold the same window, whatever surrounds them."""
+    rng = random.Random(3)
+    plain = lambda n: [f"w{rng.randrange(10**6)}" for _ in range(n)]
+    for _ in range(50):
+        shared = plain(P.SURE)
+        texts = [plain(rng.randrange(90)) + shared + plain(rng.randrange(90)) for _ in range(3)]
+        flat, counts = P.words(pa.array([" ".join(t) for t in texts]))
+        h = P.word_hashes(flat)
+        at = P.chosen(h, counts)
+        owner = np.repeat(np.arange(3), counts)[at]
+        names = [set(P.rolling(h, P.MIN_WORDS)[at[owner == k]].tolist()) for k in range(3)]
+        assert names[0] & names[1] & names[2]
+    flat, counts = P.words(pa.array(["one two " * 200, " ".join(plain(39)), " ".join(plain(45))]))
+    assert len(P.chosen(P.word_hashes(flat), counts)) == 1  # only the last
 
 
 def test_passages(spark):
@@ -64,10 +83,11 @@ def test_passages(spark):
     rows, planted, passages = corpus(rng)
     clean = {k for k, _ in rows} - {k for ks in planted.values() for k in ks}
     odd = [(900, None), (901, ""), (None, rows[0][1]), (902, "one. " * 2000), (903, rows[3][1]), (903, rows[3][1])]
-    df = spark.createDataFrame(rows + odd, "doc_id bigint, text string").selectExpr("*", "'x' AS mark", "length(text) AS n_chars").repartition(5)
+    df = spark.createDataFrame(rows + odd, "doc_id bigint, text string").selectExpr("*", "'x' AS body", "length(text) AS n_chars").repartition(5)
     got = P.repeated_passages(df).collect()
     text = dict(rows) | {903: rows[3][1]}
     assert not {r.doc_id for r in got} & (clean | {901, 902})
+    assert {(r.doc_id, r.component_id, r.n_words) for r in got if r.removed and r.doc_id in (None, 903) and r.first == 0} >= {(None, 0, len(rows[0][1].split())), (903, 3, len(rows[3][1].split()))}
     for p, ks in planted.items():
         kept = [r for r in got if r.doc_id in ks and not r.removed]
         assert {r.doc_id for r in got if r.removed} >= set(sorted(ks)[1:]), p
