@@ -1,12 +1,17 @@
 """Connected components of a graph of links, by alternating large and small stars.
 
-Every node hooks its greater neighbours to the least node of its neighbourhood, then its lesser ones, until nothing
-changes; each component is then a star around its least node. Minima are pre-aggregated before the shuffle and written to
+Each task first makes a star around the least node of what its own links connect. Then every node hooks its greater
+neighbours to the least node of its neighbourhood, then its lesser ones, until nothing changes; each component is then a
+star around its least node. Minima are pre-aggregated before the shuffle and written to
 a table, so that the join back on a node of very many links is one whose skewed partitions Spark can split.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -17,11 +22,44 @@ def _mark(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first())
 
 
+def starred(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(node, root): of every node in links (a, b) that isn't the least of what they connect it to, that least."""
+    nodes, at = np.unique(np.concatenate((a, b)), return_inverse=True)
+    x, y = at.reshape(2, -1)
+    label = np.arange(len(nodes))
+    while (label[x] != label[y]).any():
+        low = np.minimum(label[x], label[y])
+        for z in (label[x], label[y]):
+            np.minimum.at(label, z, low)
+        while (label[label] != label).any():
+            label = label[label]
+    other = label != np.arange(len(nodes))
+    return nodes[other], nodes[label[other]]
+
+
+def _shortened(edges: DataFrame) -> DataFrame:
+    """Links that connect what edges (u, v) connect: a star for each component of a task's edges."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, rows = [], 0
+        for b in batches:
+            held.append([b.column(k).to_numpy() for k in (0, 1)])
+            rows += b.num_rows
+            if rows >= 1 << 20:
+                held, rows = [starred(*map(np.concatenate, zip(*held, strict=True)))], 0
+        if held:
+            u, v = starred(*map(np.concatenate, zip(*held, strict=True)))
+            yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], ["u", "v"])
+
+    return edges.mapInArrow(work, "u bigint, v bigint")
+
+
 def components(links: DataFrame, scratch: Scratch, name: str = "components") -> DataFrame:
     """(node, root): of every node in links (a, b) that isn't its component's least, the least. Null ends are no links."""
     # An edge (u, v) has v < u.
-    edges = links.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
-    edges = scratch.table(edges, f"{name}-0")
+    edges = links.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
+    edges = scratch.table(_shortened(scratch.table(edges, f"{name}-links")).distinct(), f"{name}-0")
+    scratch.remove(f"{name}-links")
     before, turn = _mark(edges), 0
     while before[0]:
         turn += 1

@@ -8,7 +8,7 @@ one cluster. A cluster's texts meet in one task, with their sets:
 2. For a text, the tree gives those whose overlap, bounded by the sum of the coordinates' minima, could suffice.
 3. These are verified on the sets, best bound first, and only as long as they aren't connected yet.
 
-A task returns the links of a spanning forest, never all pairs. Clusters over a block's size are dealt to blocks by hash,
+A task returns links to the least text of each component that it finds, never all pairs. Clusters over a block's size are dealt to blocks by hash,
 twice, and each block is linked within itself. What is in the largest component by then needs no comparison within it; the
 rest of the cluster meets all blocks, two blocks a task, so that no link between components is lost.
 """
@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from roadloom.llm.components import components
+from roadloom.llm.components import components, starred
 from roadloom.llm.scratch import Scratch
 from roadloom.llm.textops import shingle_sets, word_hashes, words
 
@@ -98,7 +98,7 @@ class Tree:
 
 
 def forest(node: np.ndarray, root: np.ndarray, n: np.ndarray, members: list[np.ndarray], side: np.ndarray) -> np.ndarray:
-    """Links that connect what similar pairs of the texts connect, besides what has a root in common already. side: 0 or 1, if
+    """Links, of each text to the least, that connect what similar pairs of the texts connect, besides what has a root in common already. side: 0 or 1, if
     only texts of different sides are to be compared or in different components; all alike if any may be."""
     _, part = np.unique(root, return_inverse=True)
     if len(node) < 2 or part.max() == 0:
@@ -118,13 +118,13 @@ def forest(node: np.ndarray, root: np.ndarray, n: np.ndarray, members: list[np.n
         while len(rows := rows[part[rows] != part[i]]):
             j, rows = int(rows[0]), rows[1:]
             if similar(members[i], members[j]):
-                out.append((max(node[i], node[j]), min(node[i], node[j])))
+                out.append((node[i], node[j]))
                 part[part == part[j]] = part[i]
-    return np.array(out, np.int64).reshape(-1, 2).T
+    return np.stack(starred(*np.array(out).T)) if out else NONE
 
 
 def linked(rows: DataFrame) -> DataFrame:
-    """Links (a, b) of a spanning forest in each (grp, lo, hi). rows: (grp, lo, hi, block, node, root, n, hashes)."""
+    """Links (a, b) in each (grp, lo, hi). rows: (grp, lo, hi, block, node, root, n, hashes)."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def done(t: pa.Table) -> pa.RecordBatch:

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 
 from roadloom.llm import jaccard, simjoin
-from roadloom.llm.components import components
+from roadloom.llm.components import components, starred
 from roadloom.llm.scratch import Scratch
 
 from .conftest import SF
@@ -116,6 +116,14 @@ def test_large_group(spark, monkeypatch):
     assert got == brute(rows)
 
 
+def test_starred():
+    u, v = starred(np.array([7, 5, 9, 4]), np.array([5, 3, 8, 4]))
+    assert dict(zip(u.tolist(), v.tolist())) == {7: 3, 5: 3, 9: 8}
+    chain = np.random.default_rng(1).permutation(5000)
+    u, v = starred(chain[1:], chain[:-1])
+    assert sorted(u.tolist()) == list(range(1, 5000)) and not v.any()
+
+
 def test_components(spark):
     rng = random.Random(9)
     links = [(rng.randrange(300), rng.randrange(300)) for _ in range(160)] + [(k, k + 1) for k in range(400, 440)] + [(500, k) for k in range(501, 560)]
