@@ -1,53 +1,61 @@
 """Document fingerprints by I-Match over several randomised lexicons.
 
-The lexicon holds the terms of a band of inverse document frequencies: not those that many documents have, and not those
-that one alone has. Terms are hashed into SLOTS slots, whose document counts cover the whole corpus; so the lexicon has
-a bounded size and can be broadcast. Each of LEVELS subsets of it keeps one term in 2^level, by the term's hash. Of each
-subset, a document's fingerprint holds a hash of the distinct terms it has there, the same in whatever order they come.
-Subsets of many sizes make for texts of all lengths: a short one shows in the large subsets, a long one in the small.
+The lexicon holds the terms of a band of inverse document frequencies: those that at least LEAST_SHARE of all documents have
+(and two documents), and at most MOST_SHARE. Documents are counted for each term, exactly, over the whole corpus. As the
+counts add up to the documents' distinct terms, there are at most (distinct terms of a mean document) / LEAST_SHARE terms
+in the band, however large the corpus; it is broadcast if it has LARGEST rows at most, and joined by term otherwise.
+
+Each of LEVELS subsets of the lexicon keeps one term in 2^level, by the term's hash. A document's distinct terms in the lexicon
+are sorted, and of each subset its fingerprint holds a hash of those that it keeps. Subsets of many sizes make for texts of
+all lengths: a short one shows in the large subsets, a long one in the small. Terms are named by 64-bit hashes.
 
 Only DataFrame functions are used.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from roadloom.llm.scratch import Scratch
 
-SLOTS = 1 << 20
 #: One subset of the lexicon for each entry; it keeps one term in 2^entry.
 LEVELS = (1, 1, 2, 2, 3, 3, 4, 4, 5, 5, 6, 6, 7, 7, 8, 8)
-#: The band: terms of at least so many documents, and of at most this share of them.
-LEAST_DOCS, MOST_SHARE = 2, 0.1
-#: Documents that a bucket of neighbours is meant to hold, and most buckets.
-BUCKET_DOCS, MOST_BUCKETS = 2000, 1024
+#: The band: terms of at least so many documents and this share of them, and of at most that share.
+LEAST_DOCS, LEAST_SHARE, MOST_SHARE = 2, 1e-4, 0.1
+#: Most rows of a lexicon that is broadcast, of 12 bytes each.
+LARGEST = 1 << 20
+#: Documents that a bucket of neighbours is meant to hold. Over MOST_BUCKETS of them (131 million documents) buckets grow; their windows then spill.
+BUCKET_DOCS, MOST_BUCKETS = 2000, 1 << 16
 
 
 def terms(text: Column) -> Column:
-    """The distinct runs of letters and digits of a lower-cased text."""
+    """The distinct runs of letters and digits of a lower-cased text, and an empty one."""
     return F.array_distinct(F.split(F.lower(text), r"[^\p{L}\p{N}]+"))
 
 
-def slot(term: Column) -> Column:
-    return F.pmod(F.xxhash64(term), F.lit(SLOTS)).cast("int")
+def lexicon(docs: DataFrame, total: int, text: str = "text") -> DataFrame:
+    """(term: its hash, subsets: a bit for each subset that keeps it) of the terms in the band."""
+    each = docs.select(F.explode(terms(F.col(text))).alias("term")).filter("term <> ''").select(F.xxhash64("term").alias("term"))
+    least = max(LEAST_DOCS, math.ceil(total * LEAST_SHARE))
+    found = each.groupBy("term").count().filter(F.col("count").between(least, max(least, int(total * MOST_SHARE))))
+    subsets = F.lit(0)
+    for k, level in enumerate(LEVELS):
+        kept = F.xxhash64("term", F.lit(k)).bitwiseAND((1 << level) - 1) == 0
+        subsets = subsets + F.when(kept, 1 << k).otherwise(0)
+    return found.select("term", subsets.alias("subsets"))
 
 
-def lexicon(docs: DataFrame, total: int, text: str = "text") -> DataFrame:
-    """(slot): the slots in the band. At most SLOTS rows."""
-    each = docs.select(F.explode(terms(F.col(text))).alias("term")).filter("term <> ''")
-    most = max(LEAST_DOCS, int(total * MOST_SHARE))
-    return each.groupBy(slot(F.col("term")).alias("slot")).count().filter(F.col("count").between(LEAST_DOCS, most)).select("slot")
+def subset_hashes(found: Column) -> Column:
+    """The hash of the terms of each subset, null where there is none. found: sorted structs of term and subsets."""
 
+    def one(k: int) -> Column:
+        mine = F.transform(F.filter(found, lambda x: x["subsets"].bitwiseAND(1 << k) != 0), lambda x: x["term"])
+        return F.when(F.size(mine) > 0, F.xxhash64(mine))
 
-def subset_hashes(h: Column, on: Column) -> list[Column]:
-    """Aggregates: the hash of the terms of each subset, null where a document has none there. h: the terms' hashes."""
-    out = []
-    for k, level in enumerate(LEVELS):
-        kept = F.xxhash64(h, F.lit(k)).bitwiseAND((1 << level) - 1) == 0
-        out.append(F.bit_xor(F.when(on & kept, F.xxhash64(h, F.lit(-1 - k)))))
-    return out
+    return F.array(*(one(k) for k in range(len(LEVELS))))
 
 
 def fingerprint(hashes: Column) -> Column:
@@ -66,13 +74,14 @@ def likeness(a: Column, b: Column) -> Column:
 def fingerprints(texts: DataFrame, band: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
     """For each row of texts, named by ``keys``, the fingerprint of each of the text columns, as <column>_print."""
     one = F.explode(F.array(*(F.struct(F.lit(k).alias("which"), terms(F.col(c)).alias("terms")) for k, c in enumerate(columns)))).alias("x")
-    each = texts.select(*keys, one).select(*keys, "x.which", F.explode("x.terms").alias("term"))
-    # The lexicon has at most SLOTS rows of four bytes, so it may be broadcast whatever the corpus.
-    each = each.withColumn("slot", slot(F.col("term"))).join(F.broadcast(band.withColumn("known", F.lit(True))), "slot", "left")
-    on = F.col("known").isNotNull() & (F.col("term") != "")
-    each = each.withColumn("h", F.xxhash64("term"))
-    aggregates = [F.array(*subset_hashes(F.col("h"), on & (F.col("which") == k))).alias(c) for k, c in enumerate(columns)]
-    return each.groupBy(*keys).agg(*aggregates).select(*keys, *(fingerprint(F.col(c)).alias(f"{c}_print") for c in columns))
+    # The empty term, which every row has once, keeps rows without terms in the lexicon.
+    each = texts.select(*keys, one).select(*keys, "x.which", F.explode(F.array_union("x.terms", F.array(F.lit("")))).alias("said"))
+    each = each.withColumn("term", F.xxhash64("said"))
+    nothing = F.col("said") == ""
+    band = band.unionByName(band.sparkSession.range(1).select(F.xxhash64(F.lit("")).alias("term"), F.lit(0).alias("subsets")))
+    each = each.join(F.broadcast(band) if band.count() <= LARGEST else band, "term")
+    found = [F.array_sort(F.collect_list(F.when((F.col("which") == k) & ~nothing, F.struct("term", "subsets")))).alias(c) for k, c in enumerate(columns)]
+    return each.groupBy(*keys).agg(*found).select(*keys, *(fingerprint(subset_hashes(F.col(c))).alias(f"{c}_print") for c in columns))
 
 
 def neighbours(docs: DataFrame, total: int) -> tuple[DataFrame, Window]:
@@ -84,14 +93,20 @@ def neighbours(docs: DataFrame, total: int) -> tuple[DataFrame, Window]:
     """
     n = max(1, min(MOST_BUCKETS, -(-total // BUCKET_DOCS)))
     points = [(k + 1) / n for k in range(n)]
-    found = docs.agg(F.percentile_approx("doc_id", F.array(*map(F.lit, points)), F.lit(100 * MOST_BUCKETS)), F.max("doc_id")).first()
+    found = docs.agg(F.percentile_approx("doc_id", F.array(*map(F.lit, points)), F.lit(max(10_000, 20 * n))), F.max("doc_id")).first()
     bounds = sorted({*(found[0] or []), *([] if found[1] is None else [found[1]])})
-    listed = F.array(*map(F.lit, bounds)) if bounds else F.array().cast("array<bigint>")
-    at = F.when(F.col("doc_id").isNull(), 0).otherwise(F.size(F.filter(listed, lambda b: b < F.col("doc_id"))))
+    # A bucket is looked up in two steps, by the last bound of each stretch of bounds, then in that stretch.
+    step = max(1, math.isqrt(len(bounds)))
+    stretches = [bounds[k : k + step] for k in range(0, len(bounds), step)]
+    lists = F.array(*(F.array(*map(F.lit, x)) for x in stretches)) if bounds else F.array(F.array().cast("array<bigint>"))
+    ends = F.array(*(F.lit(x[-1]) for x in stretches[:-1])) if len(stretches) > 1 else F.array().cast("array<bigint>")
+    before = F.size(F.filter(ends, lambda b: b < F.col("doc_id")))
+    listed = F.element_at(lists, before + 1)
+    at = F.when(F.col("doc_id").isNull(), 0).otherwise(before * step + F.size(F.filter(listed, lambda b: b < F.col("doc_id"))))
     top = F.col("doc_id").eqNullSafe(F.lit(bounds[-1] if bounds else None).cast("long"))
     own = F.struct(F.col("at").alias("bucket"), F.lit(0).alias("ghost"))
     above = F.struct(F.when(top, 0).otherwise(F.col("at") + 1).alias("bucket"), F.when(top, 2).otherwise(1).alias("ghost"))
-    edge = F.when(top | F.array_contains(listed, F.col("doc_id")), F.array(own, above)).otherwise(F.array(own))
+    edge = F.when(top | F.coalesce(F.array_contains(listed, F.col("doc_id")), F.lit(False)), F.array(own, above)).otherwise(F.array(own))
     dealt = docs.withColumn("at", at).withColumn("place", F.explode(edge)).select(*docs.columns, "place.bucket", "place.ghost")
     return dealt, Window.partitionBy("bucket").orderBy(F.col("ghost") == 2, F.col("doc_id").desc_nulls_last(), F.xxhash64("text"))
 

@@ -1,4 +1,7 @@
 import hashlib
+import math
+import re
+from collections import Counter
 from statistics import mean
 
 import pytest
@@ -41,6 +44,54 @@ def test_fingerprint_is_of_band_terms(spark):
     assert got[0] == got[1] == got[2] and got[3] != got[4] and got[6] == ":".join("-" * len(imatch.LEVELS))
 
 
+def brute_prints(docs, texts):
+    """Fingerprints by sorting and hashing in DuckDB-free Python, from hashes that Spark gives."""
+    spark = docs.sparkSession
+    rows = [r.text or "" for r in docs.select("text").collect()]
+    said = lambda t: {w for w in re.split(r"[\W_]+", t.lower()) if w}
+    frequency = Counter(w for t in rows for w in said(t))
+    least = max(imatch.LEAST_DOCS, math.ceil(len(rows) * imatch.LEAST_SHARE))
+    band = [w for w, n in frequency.items() if least <= n <= max(least, int(len(rows) * imatch.MOST_SHARE))]
+    hashed = spark.createDataFrame([(w,) for w in band] or [("",)], "w string").select("w", F.xxhash64("w").alias("h"))
+    hashed = hashed.select("w", "h", *(F.xxhash64("h", F.lit(k)).alias(f"k{k}") for k in range(len(imatch.LEVELS)))).collect()
+    by = {r.w: r for r in hashed}
+    lists = []
+    for t in texts:
+        mine = sorted((by[w] for w in said(t) if w in by), key=lambda r: r.h)
+        lists += [[r.h for r in mine if r[f"k{k}"] % 2**level == 0] for k, level in enumerate(imatch.LEVELS)]
+    df = spark.createDataFrame(list(enumerate(lists)), "n bigint, l array<bigint>")
+    out = [r.x for r in df.orderBy("n").select(F.when(F.size("l") > 0, F.lpad(F.lower(F.hex(F.xxhash64("l"))), 16, "0")).otherwise("-").alias("x")).collect()]
+    return [":".join(out[k : k + 16]) for k in range(0, len(out), 16)]
+
+
+@pytest.mark.parametrize("largest", [1 << 20, 10])
+def test_against_brute_force(spark, documents, monkeypatch, largest):
+    monkeypatch.setattr(imatch, "LARGEST", largest)
+    docs = documents.withColumn("text", F.regexp_replace("text", "[^A-Za-z0-9 ]", " ")).withColumn("doc_id", F.coalesce("doc_id", F.lit(10**6))).filter("doc_id <> -4")
+    got = {r.doc_id: r.fingerprint for r in imatch.edited(docs).collect()}
+    rows = docs.select("doc_id", "text").collect()
+    assert got == dict(zip([r.doc_id for r in rows], brute_prints(docs, [r.text or "" for r in rows]), strict=True))
+
+
+def test_terms_of_one_document_are_in_no_lexicon(spark):
+    rows = [(k, " ".join(f"t{k}x{j}" for j in range(50))) for k in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    assert imatch.lexicon(docs, 300).count() == 0
+    assert {r.fingerprint for r in imatch.edited(docs).collect()} == {":".join("-" * len(imatch.LEVELS))}
+
+
+def test_buckets_in_two_steps(spark, monkeypatch):
+    """Many buckets, ids far apart, and ids that are bounds: each document's next one is right."""
+    monkeypatch.setattr(imatch, "BUCKET_DOCS", 3)
+    rows = [(k * k, f"{k} " * 9) for k in range(-1, 200) if k] + [(7, None)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").dropDuplicates(["doc_id"]).cache()
+    text = {r.doc_id: r.text or "" for r in docs.collect()}
+    ids = sorted(text, reverse=True)
+    for r in imatch.edited(docs).collect():
+        t, nxt = text[r.doc_id], text[ids[(ids.index(r.doc_id) + 1) % len(ids)]]
+        assert r.edited_sha256 == hashlib.sha256((t[: len(t) - len(t) // 3] + nxt[: len(t) // 3]).encode()).hexdigest()
+
+
 def test_few_documents(spark):
     one = spark.createDataFrame([(5, "a b c d e f g h i")], "doc_id bigint, text string")
     r = imatch.edited(one).first()
