@@ -3,8 +3,8 @@
 Every source has a weight. Its target is its share of all words by weight, but at most ``epochs`` times its own words:
 sources are clamped there in ascending order of cap over weight, and what they can't take goes to the others by weight,
 until none is above (capped water-filling, over one row a source). A target is met by whole repetitions of the source and
-a seeded sample of its documents for the rest. The sample is a prefix of the source in hash order, cut where its words
-come nearest to the rest; the cut is found through sums of 4,096 hash ranges, so that no task sees a whole source.
+a seeded sample of its documents for the rest. The sample is a prefix of the source in the order of a hash of doc_id and
+text, cut where its words come nearest to the rest; the cut is found through sums of 4,096 hash ranges, so that no task sees a whole source.
 
 Only DataFrame functions are used.
 """
@@ -26,10 +26,18 @@ def word_count(text: str = "text") -> Column:
 
 
 def sized(docs: DataFrame, text: str = "text", seed: str = SEED) -> DataFrame:
-    """docs with their sizes, and the hash that orders a source's documents: mix_size, mix_key, mix_hash."""
+    """docs with their sizes, and the hash that orders a source's documents: mix_size, mix_key, mix_hash. Rows of one hash
+    have the same doc_id, source and text."""
     key = F.coalesce(F.concat(F.lit("s"), "source"), F.lit("null"))
     one = docs.withColumn("mix_size", word_count(text)).withColumn("mix_key", key)
-    return one.withColumn("mix_hash", F.md5(F.concat_ws("|", F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), "mix_size")))
+    name = F.concat_ws("|", F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), "mix_size", F.md5(F.coalesce(text, F.lit(""))))
+    return one.withColumn("mix_hash", F.md5(name))
+
+
+def numbered(docs: DataFrame) -> DataFrame:
+    """A sized() table in which rows of one hash are told apart by a number behind it."""
+    alike = Window.partitionBy("mix_key", "mix_hash").orderBy("mix_size")
+    return docs.withColumn("mix_hash", F.concat_ws("-", "mix_hash", F.lpad(F.row_number().over(alike).cast("string"), 12, "0")))
 
 
 def targets(totals: DataFrame, weights: tuple[int, ...] = WEIGHTS, epochs: int = EPOCHS) -> DataFrame:
@@ -51,7 +59,7 @@ def targets(totals: DataFrame, weights: tuple[int, ...] = WEIGHTS, epochs: int =
 
 
 def plan(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, epochs: int = EPOCHS) -> DataFrame:
-    """(mix_key, source_size, target, whole, cut) of a sized() table: documents up to hash ``cut`` are taken whole + 1 times."""
+    """(mix_key, source_size, target, whole, cut) of a numbered() table: documents up to hash ``cut`` are taken whole + 1 times."""
     totals = docs.groupBy("mix_key").agg(F.first("source").alias("source"), F.sum("mix_size").alias("source_size"))
     goal = targets(totals, weights, epochs)
     whole = F.when(F.col("source_size") > 0, F.least(F.floor(F.col("target") / F.col("source_size")), F.lit(epochs))).otherwise(0)
@@ -71,17 +79,24 @@ def plan(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, epochs: int = EPOC
 def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, epochs: int = EPOCHS, text: str = "text", seed: str = SEED) -> DataFrame:
     """docs with size (words), source_size, target, and copies: how often the mix takes the document, 0 to ``epochs``.
 
-    A null text has size 0; null sources are one source. Documents of equal key and size share their fate, so that reruns
-    and repeated rows agree. An empty table gives an empty table. Columns of these names are replaced.
+    A null text has size 0; null sources are one source. Rows of equal doc_id, source and text are documents each: of those
+    at the cut, as many are taken as the target asks for. Reruns take the same. An empty table gives an empty table. Columns
+    of these names are replaced.
     """
     scratch = Scratch(docs.sparkSession, "mix")
     kept = docs.drop("size", "source_size", "target", "copies")
-    slim = scratch.table(sized(docs.select("doc_id", "source", text), text, seed).drop(text), "sizes")
+    slim = scratch.table(numbered(sized(docs.select("doc_id", "source", text), text, seed).drop(text)), "sizes")
     by_source = scratch.table(plan(slim, weights, epochs), "plan")
-    # The query asks for no text: its rows are then the sizes that are written already.
-    rows = slim if set(kept.columns) <= {"doc_id", "source", text} else sized(kept, text, seed)
+    if set(kept.columns) <= {"doc_id", "source", text}:
+        # The query asks for no text: its rows are the sizes that are written already.
+        rows = slim.join(by_source, "mix_key")
+    else:
+        # Only rows that share the hash at the cut have to be numbered.
+        both = sized(kept, text, seed).join(by_source, "mix_key")
+        at_cut = F.col("mix_hash") == F.substring("cut", 1, 32)
+        rows = both.filter(~at_cut).unionByName(numbered(both.filter(at_cut)))
     extra = (F.col("mix_hash") <= F.col("cut")).cast("int")
-    return rows.join(by_source, "mix_key").withColumn("copies", (F.col("whole") + extra).cast("int")).withColumnRenamed("mix_size", "size").drop("mix_key", "mix_hash", "whole", "cut")
+    return rows.withColumn("copies", (F.col("whole") + extra).cast("int")).withColumnRenamed("mix_size", "size").drop("mix_key", "mix_hash", "whole", "cut")
 
 
 def repeated(mixed: DataFrame, columns: list[str]) -> DataFrame:
@@ -96,9 +111,11 @@ def taken(docs: DataFrame) -> DataFrame:
 
 SQL = r"""
 WITH d AS (
-  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size FROM documents
+  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size, md5(coalesce(text, '')) AS name FROM documents
+), m AS (
+  SELECT *, md5(concat('mix-0|', coalesce(doc_id::VARCHAR, 'null'), '|', size::VARCHAR, '|', name)) AS hash FROM d
 ), h AS (
-  SELECT *, md5(concat('mix-0|', coalesce(doc_id::VARCHAR, 'null'), '|', size::VARCHAR)) AS hash FROM d
+  SELECT doc_id, source, size, concat(hash, '-', lpad((row_number() OVER (PARTITION BY source, hash))::VARCHAR, 12, '0')) AS hash FROM m
 ), s AS (
   SELECT source, sum(size)::BIGINT AS source_size, row_number() OVER (ORDER BY source NULLS LAST) AS n FROM d GROUP BY source
 ), w AS (

@@ -51,6 +51,19 @@ def test_mixing(documents, tmp_path):
     assert sorted(map(str, rows)) == sorted(str(tuple(r)) for r in got)
 
 
+def test_mixing_of_rows_alike(spark):
+    """Many rows of one doc_id and size, or alike altogether, don't share their fate."""
+    rows = [(None, f"a{k} " + "w " * 9, "a") for k in range(1000)] + [(None, "same " * 10, "b")] * 300 + [(k, "x " * 50, "c") for k in range(100)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string").repartition(4)
+    took = Counter()
+    for r in mixing.taken(docs).collect():
+        took[r.source_size] += r.taken
+    goal = brute_targets({"a": 10000, "b": 3000, "c": 5000})
+    assert all(abs(took[n] - goal[s]) <= m for s, n, m in (("a", 10000, 10), ("b", 3000, 10), ("c", 5000, 50)))
+    more = mixing.mix(docs.withColumn("more", F.lit(1)))
+    assert {r.source: r.n for r in more.groupBy("source").agg(F.sum(F.col("size") * F.col("copies")).alias("n")).collect()} == {"a": took[10000], "b": took[3000], "c": took[5000]}
+
+
 def test_mix_repeats_rows(documents):
     one = mixing.mix(documents)
     assert mixing.repeated(one, ["doc_id"]).count() == one.agg(F.sum("copies")).first()[0]
