@@ -83,7 +83,7 @@ class Encoder:
             out.append(ids)
         return np.frombuffer(b"".join(out), "<u4"), np.fromiter(map(len, out), np.int64, len(out)) // 4
 
-    def encode(self, column: pa.Array, table: tuple[np.ndarray, np.ndarray, np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray]:
+    def encode(self, column: pa.Array, table: tuple | None = None) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts, one after the other, and how many each has. Pieces in the table aren't encoded anew."""
         split, counts = pieces(column, tuple(self.added))
         coded = split.dictionary_encode()
@@ -92,10 +92,11 @@ class Encoder:
             pool, lengths = self.words(distinct.to_pylist())
             starts = np.cumsum(lengths) - lengths
         else:
-            keys, at, known = table
+            keys, at, known, said = table
             h = hash64(distinct.to_pylist())
             slot = np.minimum(np.searchsorted(keys, h), len(keys) - 1)
-            miss = np.flatnonzero(keys[slot] != h)
+            # Words are joined by the words themselves; hashes only find them.
+            miss = np.flatnonzero(~np.asarray(pc.equal(said.take(pa.array(slot)), distinct.cast(pa.string()))))
             more, sizes = self.words(distinct.take(pa.array(miss)).to_pylist())
             starts, lengths = at[slot], at[slot + 1] - at[slot]
             starts[miss], lengths[miss] = len(known) + np.cumsum(sizes) - sizes, sizes
@@ -117,9 +118,9 @@ def word_counts(docs: DataFrame, text: str = "text", special: tuple[str, ...] =
     return docs.select(text).mapInArrow(count, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def word_table(counts: DataFrame, spec: str, max_words: int = MAX_WORDS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The ids of the most frequent words, each encoded once: hashes in order, offsets, ids. At most max_words words of at
-    most MAX_WORD_CHARS characters, so that its size is bounded whatever the corpus."""
+def word_table(counts: DataFrame, spec: str, max_words: int = MAX_WORDS) -> tuple[np.ndarray, np.ndarray, np.ndarray, pa.Array]:
+    """The ids of the most frequent words, each encoded once: hashes in order, offsets, ids, and the words. At most max_words
+    words of at most MAX_WORD_CHARS characters, so that its size is bounded whatever the corpus."""
     level = F.floor(F.log2("n") * 4)
     short = counts.filter(F.length("word") <= MAX_WORD_CHARS)
     least, total = None, 0
@@ -127,7 +128,7 @@ def word_table(counts: DataFrame, spec: str, max_words: int = MAX_WORDS) -> tupl
         if (total := total + row["count"]) > max_words:
             break
         least = row["level"]
-    empty = np.zeros(0, np.uint64), np.zeros(1, np.int64), np.zeros(0, "<u4")
+    empty = np.zeros(0, np.uint64), np.zeros(1, np.int64), np.zeros(0, "<u4"), pa.array([], pa.string())
     if least is None:
         return empty
     shared = counts.sparkSession.sparkContext.broadcast(spec)
@@ -135,19 +136,17 @@ def word_table(counts: DataFrame, spec: str, max_words: int = MAX_WORDS) -> tupl
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = encoder(shared.value)
         for b in batches:
-            w = b.column(0).to_pylist()
-            ids, sizes = own.words(w)
-            yield pa.RecordBatch.from_pylist([{"keys": hash64(w).tobytes(), "sizes": sizes.astype(np.int16).tobytes(), "ids": ids.tobytes()}])
+            ids, sizes = own.words(b.column(0).to_pylist())
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(sizes))).astype(np.int32)), pa.array(ids.astype(np.int32)))], ["word", "ids"])
 
-    rows = short.filter(level >= least).select("word").mapInArrow(encode, "keys binary, sizes binary, ids binary").collect()
-    if not rows:
+    found = short.filter(level >= least).select("word").mapInArrow(encode, "word string, ids array<int>").toArrow().combine_chunks()
+    if not found.num_rows:
         return empty
-    keys = np.frombuffer(b"".join(r["keys"] for r in rows), np.uint64)
-    sizes = np.frombuffer(b"".join(r["sizes"] for r in rows), np.int16).astype(np.int64)
-    ids = np.frombuffer(b"".join(r["ids"] for r in rows), "<u4")
-    order = np.argsort(keys, kind="stable")
-    at = (np.cumsum(sizes) - sizes)[order]
-    return keys[order], np.concatenate(([0], np.cumsum(sizes[order]))), ids[gather(at, sizes[order])]
+    said, ids = (found.column(k).combine_chunks() for k in (0, 1))
+    keys = hash64(said.to_pylist())
+    order = pa.array(np.argsort(keys, kind="stable"))
+    ids = ids.take(order)
+    return keys[order], ids.offsets.to_numpy().astype(np.int64), ids.values.to_numpy().astype("<u4"), said.take(order).cast(pa.string())
 
 
 def replaced(df: DataFrame, keep: list[str], column: str, kind: T.DataType) -> T.StructType:
@@ -196,12 +195,12 @@ def encode_with(docs: DataFrame, spec: str, table: tuple | None, text: str = "te
 
 @functools.lru_cache(maxsize=2)
 def vocabulary(spec: str) -> pa.Array:
-    """The bytes of each id's piece; null where there is none."""
+    """The bytes of each id's piece, null where there is none; the last one stands for all ids beyond."""
     parsed = json.loads(spec)
     value = {c: b for b, c in enumerate(byte_letters())}
     out = {i: bytes(value[c] for c in piece) for piece, i in parsed["model"]["vocab"].items()}
     out |= {t["id"]: t["content"].encode() for t in parsed["added_tokens"]}
-    return pa.array([out.get(i) for i in range(max(out) + 1)], pa.large_binary())
+    return pa.array([out.get(i) for i in range(max(out) + 2)], pa.large_binary())
 
 
 def decode_corpus(df: DataFrame, tokenizer: str, ids: str = "ids", out: str = "text", keep: list[str] | None = None) -> DataFrame:
@@ -222,11 +221,11 @@ def decode_corpus(df: DataFrame, tokenizer: str, ids: str = "ids", out: str = "t
                 part = column.slice(at, step)
                 if pa.types.is_list(part.type):
                     n = np.asarray(pc.fill_null(pc.list_value_length(part), 0)).astype(np.int64)
-                    values = np.asarray(pc.list_flatten(part)).astype(np.int64)
+                    values = np.asarray(pc.list_flatten(part)).astype(np.int64) & 0xFFFFFFFF
                 else:
                     n = np.asarray(pc.fill_null(pc.binary_length(part), 0)).astype(np.int64) // 4
                     values = np.frombuffer(b"".join(x.as_buffer() for x in part if x.is_valid), "<u4").astype(np.int64)
-                found = table.take(pa.array(np.minimum(values, len(table) - 1)))
+                found = table.take(pa.array(np.where(values < len(table) - 1, values, len(table) - 1)))
                 ends = np.frombuffer(found.buffers()[1], np.int64)[found.offset :][: len(found) + 1] if len(found) else np.zeros(1, np.int64)
                 raw = memoryview(found.buffers()[2]) if len(found) and found.buffers()[2] is not None else memoryview(b"")
                 cut = ends[np.concatenate(([0], np.cumsum(n)))].tolist()

@@ -37,6 +37,25 @@ def test_bpe_query(documents):
     assert bpe.digests(documents.limit(0), PATH).count() == 0
 
 
+def test_words_are_joined_by_the_word(monkeypatch):
+    """Words that share a hash have their own ids."""
+    import pyarrow as pa
+
+    monkeypatch.setattr(bpe, "hash64", lambda words, seed=0: np.full(len(words), 7, np.uint64))
+    own = bpe.Encoder(bpe.tokenizer_json(PATH))
+    ids, sizes = own.words(["alpha"])
+    table = np.array([7], np.uint64), np.array([0, len(ids)]), ids, pa.array(["alpha"])
+    got, n = own.encode(pa.array(["alpha", "beta", "alpha"]), table)
+    assert got.tolist() == [i for w in ("alpha", "beta", "alpha") for i in TOK.encode(w, add_special_tokens=False).ids] and n.sum() == len(got)
+
+
+def test_unknown_ids_give_nothing(spark):
+    ids = TOK.encode("some text", add_special_tokens=False).ids
+    rows = [(1, [ids[0], 999_999, *ids[1:], 2**31 - 1, -1]), (2, None), (3, [])]
+    got = bpe.decode_corpus(spark.createDataFrame(rows, "k int, ids array<int>"), PATH).collect()
+    assert {r.k: r.text for r in got} == {1: "some text", 2: "", 3: ""}
+
+
 @given(st.lists(st.lists(st.integers(0, 2**31), max_size=9), max_size=9))
 def test_token_file(docs):
     flat = np.array([x for d in docs for x in d], np.uint32)
