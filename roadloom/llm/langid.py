@@ -2,11 +2,13 @@
 
 For every language, the suffix automaton of a sample of labelled text is built. A text is parsed against it into longest
 matches: from each position, the longest stretch that occurs in the sample is a phrase, and the next one starts after it.
-The language that needs the fewest phrases for each symbol wins.
+The language that needs the fewest bits wins: as many for a phrase as it takes to say where in the sample it is, the logarithm
+of the sample's length. So a language of which there is little labelled text isn't at a disadvantage.
 
 As each parse starts anew at the automaton's root, an automaton and the rule for restarting are one table of transitions.
 Texts are cut into lanes of LANE symbols, and all lanes step through all languages' tables together in numpy. A lane's
-end also ends a phrase, in every language alike.
+end also ends a phrase, in every language alike. Where languages with many letters would make the table larger than DENSE cells,
+only the moves that there are are kept, in order, and looked up by bisection; results are the same.
 """
 
 from __future__ import annotations
@@ -28,18 +30,27 @@ from roadloom.llm.textops import LETTER, chunks, classes, flat, small_batches
 EXCERPTS, EXCERPT_CHARS = 150, 160
 LANE, PAD, BLANK, UNKNOWN = 512, 0, 1, 2
 UNDETERMINED = "und"
+#: Most cells of a table with a cell for each state and symbol.
+DENSE = 1 << 26
 
 
 @dataclass
 class Model:
     languages: list[str]
     symbols: np.ndarray  # of each code point
-    moves: np.ndarray  # (state row + symbol) -> next state row << 1 | whether a phrase ends
+    moves: np.ndarray  # state row + symbol -> next state row << 1 | whether a phrase ends; with keys, of each key
     roots: np.ndarray  # of each language
+    lengths: np.ndarray  # of each language's sample, in symbols
+    keys: np.ndarray | None = None  # state row + symbol of the moves that go on with a phrase, in order
+    starts: np.ndarray | None = None  # by language and symbol: where a phrase that starts anew goes
 
-    @property
-    def width(self) -> int:
-        return int(self.symbols.max(initial=UNKNOWN)) + 1
+    def step(self, state: np.ndarray, symbol: np.ndarray) -> np.ndarray:
+        """The moves of states (a row for each language) by symbols."""
+        if self.keys is None:
+            return self.moves[state + symbol]
+        key = state + symbol
+        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+        return np.where(self.keys[at] == key, self.moves[at], self.starts[:, symbol])
 
 
 def suffix_automaton(text: list[int]) -> list[dict[int, int]]:
@@ -92,34 +103,46 @@ def excerpts(docs: DataFrame, per_language: int = EXCERPTS, chars: int = EXCERPT
     return cut.withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy("o", "excerpt"))).filter(F.col("n") <= per_language).select("lang", "excerpt", "n")
 
 
-def fit(samples: list[tuple[str, str]]) -> Model:
+def fit(samples: list[tuple[str, str]], dense: int = DENSE) -> Model:
     """A model of (language, text) pairs; empty if there are none."""
     texts: dict[str, list[str]] = {}
-    for lang, text in samples:
-        texts.setdefault(lang, []).append(text.lower())
+    for (lang, _), text in zip(samples, pc.utf8_lower(pa.array([t for _, t in samples], pa.string())).to_pylist(), strict=True):
+        texts.setdefault(lang, []).append(text)
     letters = sorted({c for ts in texts.values() for t in ts for c in t if classes()[ord(c)] == LETTER})
-    symbols = np.where(classes() == LETTER, UNKNOWN, BLANK).astype(np.uint16)
+    symbols = np.where(classes() == LETTER, UNKNOWN, BLANK).astype(np.uint32)
     for k, c in enumerate(letters):
         symbols[ord(c)] = UNKNOWN + 1 + k
     width = UNKNOWN + 1 + len(letters)
-    languages, tables, roots, base = sorted(texts), [], [], 0
+    languages, roots, lengths, base = sorted(texts), [], [], 0
+    keys, goals, starts = [], [], []
     for lang in languages:
         joined = f" {UNSEEN} ".join(sorted(texts[lang]))
-        states = suffix_automaton(collapse(symbols[np.frombuffer(joined.encode("utf-32-le"), np.uint32)])[0].tolist())
-        table = np.full((len(states), width), -1, np.int64)
-        for s, row in enumerate(states):
-            table[s, list(row)] = list(row.values())
-        table[:, UNKNOWN] = -1  # what parts the excerpts, and letters of no language
-        start = np.where(table[0] >= 0, table[0], 0)
-        out = np.where(table >= 0, table * width << 1, np.broadcast_to(start * width << 1 | 1, table.shape))
-        out[:, PAD] = np.arange(len(states)) * width << 1
-        tables.append(out + (base * width << 1))
+        said = collapse(symbols[np.frombuffer(joined.encode("utf-32-le"), np.uint32)])[0].tolist()
+        states = suffix_automaton(said)
+        known = np.array([(base + s, c, base + t) for s, row in enumerate(states) for c, t in row.items() if c != UNKNOWN], np.int64).reshape(-1, 3)  # UNKNOWN: what parts the excerpts, and letters of no language
+        keys.append(known[:, 0] * width + known[:, 1])
+        goals.append(known[:, 2] * width << 1)
+        first = known[known[:, 0] == base]
+        start = np.full(width, base * width << 1 | 1)
+        start[first[:, 1]] = first[:, 2] * width << 1 | 1
+        starts.append(start)
+        # What fills up a lane leaves the state as it is.
+        stay = np.arange(base, base + len(states)) * width
+        keys.append(stay + PAD)
+        goals.append(stay << 1)
         roots.append(base * width)
+        lengths.append(len(said))
         base += len(states)
-    moves = np.concatenate(tables).ravel() if tables else np.zeros(0)
-    if len(moves) >= 1 << 30:
-        raise ValueError("too many languages for excerpts of this size")
-    return Model(languages, symbols, moves.astype(np.int32), np.array(roots, np.int32))
+    own = np.array(roots, np.int64)[:, None], np.array(lengths, np.int64)
+    if not languages:
+        return Model([], symbols, np.zeros(0, np.int32), *own)
+    keys, goals, starts = np.concatenate(keys), np.concatenate(goals), np.stack(starts)
+    if base * width > dense:
+        order = np.argsort(keys)
+        return Model(languages, symbols, goals[order], *own, keys[order], starts)
+    moves = np.concatenate([np.tile(start, n) for start, n in zip(starts, np.diff([*(r // width for r in roots), base]), strict=True)])
+    moves[keys] = goals
+    return Model(languages, symbols, moves.astype(np.int32), own[0].astype(np.int32), own[1])
 
 
 UNSEEN = "\U000f0000"  # a private character: no letter
@@ -157,11 +180,11 @@ def phrases(model: Model, column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.
     n_langs = len(model.languages)
     padded = np.concatenate((symbols, np.zeros(LANE, symbols.dtype)))
     count = np.zeros((n_langs, len(owner)), np.int32)
-    state = np.repeat(model.roots[:, None], len(owner), axis=1)
+    state = np.repeat(model.roots, len(owner), axis=1)
     alive = np.searchsorted(-length, -np.arange(1, LANE + 1), side="right")  # lanes that reach each step
     for step in range(int(length.max(initial=0))):
         n = int(alive[step])
-        move = model.moves[state[:, :n] + padded[first[:n] + step]]
+        move = model.step(state[:, :n], padded[first[:n] + step])
         count[:, :n] += move & 1
         state[:, :n] = move >> 1
     for k in range(n_langs):
@@ -170,7 +193,7 @@ def phrases(model: Model, column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.
 
 
 def predict(docs: DataFrame, model: Model, text: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """docs with lang_pred, score (0 to 1: how many fewer phrases the winner needs than the runner-up, as a share) and
+    """docs with lang_pred, score (0 to 1: how many fewer bits the winner needs than the runner-up, as a share) and
     phrase_rate (the winner's phrases for each symbol). Columns of these names are replaced.
 
     A text that is null or has no letter is ``und`` with score 0, and so is every text if the model has no language.
@@ -190,11 +213,12 @@ def predict(docs: DataFrame, model: Model, text: str = "text", keep: list[str] |
                 n = len(size)
                 und = letters == 0
                 if own.languages:
-                    best = found.argmin(axis=1)
-                    low = found[np.arange(n), best]
-                    second = np.partition(found, 1, axis=1)[:, 1] if len(own.languages) > 1 else np.full(n, np.inf)
+                    bits = found * np.log2(own.lengths + 1)
+                    best = bits.argmin(axis=1)
+                    low = bits[np.arange(n), best]
+                    second = np.partition(bits, 1, axis=1)[:, 1] if len(own.languages) > 1 else np.full(n, np.inf)
                     score = 1 - low / np.maximum(second, 1)
-                    rate = low / np.maximum(size, 1)
+                    rate = found[np.arange(n), best] / np.maximum(size, 1)
                     lang = np.array(own.languages, object)[best]
                 else:
                     score, rate, lang, und = np.zeros(n), np.zeros(n), np.full(n, UNDETERMINED, object), np.ones(n, bool)

@@ -2,6 +2,7 @@ import random
 import zlib
 
 import pyarrow as pa
+import pytest
 from hypothesis import given
 from hypothesis import strategies as st
 
@@ -36,11 +37,12 @@ def brute_phrases(sample, text):
     return n
 
 
-def test_phrases():
+@pytest.mark.parametrize("dense", [langid.DENSE, 0])
+def test_phrases(dense):
     rng = random.Random(1)
     word = lambda letters: "".join(rng.choices(letters, k=rng.randint(1, 6)))
     samples = {"aa": " ".join(word("abcd") for _ in range(60)), "bb": " ".join(word("bcde") for _ in range(60))}
-    model = langid.fit(list(samples.items()))
+    model = langid.fit(list(samples.items()), dense)
     texts = [" ".join(word("abcdexé") for _ in range(n)) for n in (1, 5, 300, 900)] + ["", None]
     got, size, letters = langid.phrases(model, pa.array(texts))
     for k, t in enumerate(texts):
@@ -49,6 +51,26 @@ def test_phrases():
         assert size[k] == len(t) and letters[k] == len(t.replace(" ", ""))
 
 
+def test_many_letters_and_unequal_samples(spark):
+    """Large alphabets have a model, and a language of few labelled rows is found as well as others."""
+    rng = random.Random(2)
+    alphabets = {f"l{k}": [chr(0x4E00 + 1500 * k + j) for j in range(3000)] for k in range(6)} | {"few": list("abcdefghij"), "many": list("hijklmnopq")}
+    words = {k: ["".join(rng.choices(a, k=rng.randint(2, 5))) for _ in range(300)] for k, a in alphabets.items()}
+    text = lambda k, n: " ".join(rng.choices(words[k], k=n))
+    model = langid.fit([(k, text(k, 40)) for k in alphabets for _ in range(2 if k == "few" else 150)])
+    assert model.keys is not None
+    rows = [(k, text(k, 60)) for k in alphabets for _ in range(10)]
+    got = langid.predict(spark.createDataFrame(rows, "lang string, text string"), model).collect()
+    assert sum(r.lang_pred == r.lang for r in got) >= 0.95 * len(got)
+
+
+def test_letters_are_lowered_alike():
+    sample = "\u0130stanbul \u03a3\u039f\u03a6\u039f\u03a3 stra\u00dfe"
+    model = langid.fit([("x", sample)])
+    found, size, _ = langid.phrases(model, pa.array([sample]))
+    assert found[0, 0] == 1 and size[0] > 10
+
+
 def test_query(spark, documents):
     got = langid.identify(documents)
     rows = got.collect()
