@@ -55,7 +55,7 @@ def search(itineraries: DataFrame, graph: RoadGraph, rules: Rules | None = None,
         for frame in frames:
             for row in frame.itertuples():
                 status, route, steps = navigate(g, _trip(g, row), own)
-                out = [(row.itin_id, status, steps, k, int(g.line_ids[s.line]), int(g.ids[g.start_of(s)]), int(g.ids[s.end])) for k, s in enumerate(route)]
+                out = [(row.itin_id, status, steps, k, int(g.line_ids[a >> 1]), int(g.ids[g.begin[a]]), int(g.ids[g.stop[a]])) for k, a in enumerate(route)]
                 yield pd.DataFrame(out or [(row.itin_id, status, steps, None, None, None, None)], columns=names).astype({"seq": "Int32", "line": "Int64", "start_point": "Int64", "end_point": "Int64"})
 
     # Searches differ in length a thousandfold: many small tasks even that out.
@@ -95,9 +95,9 @@ def traced(itineraries: DataFrame, graph: RoadGraph, rules: Rules | None = None)
                     elif table == "step_results":
                         put("step_results", step_num=n, result=r["result"], chosen_fork_point_id=None if r["chosen"] is None else int(g.ids[r["chosen"]]))
                     elif table == "fork_choices":
-                        for s, out_already in r["choices"]:
-                            a, b = g.p0[s.line], g.p1[s.line]
-                            put("fork_choices", step_num=n, end_point_id=int(g.ids[s.end]), line_point_0_lat=lat(a), line_point_0_lon=lon(a), line_point_1_lat=lat(b), line_point_1_lon=lon(b), segment_end_point=int(g.ids[s.end]), discarded=bool(out_already))
+                        for arc, out_already in r["choices"]:
+                            a, b, end = g.p0[arc >> 1], g.p1[arc >> 1], int(g.ids[g.stop[arc]])
+                            put("fork_choices", step_num=n, end_point_id=end, line_point_0_lat=lat(a), line_point_0_lon=lon(a), line_point_1_lat=lat(b), line_point_1_lon=lon(b), segment_end_point=end, discarded=bool(out_already))
                     else:
                         for name, v in r["verdicts"].items():
                             kind = {"choice": "ForkChoiceDoNotUse", "segment": "LastSegmentDoNotUse"}.get(v, "ForkChoiceUseWithWeight")
