@@ -7,8 +7,11 @@ Rings and polygons are plain Python, one area a group; finding the areas around
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -48,22 +51,6 @@ def inside(ring: Ring, lat: float, lon: float) -> bool:
     return odd
 
 
-def covers(outer: Ring, holes: list[Ring], lat: float, lon: float) -> bool:
-    return inside(outer, lat, lon) and not any(inside(h, lat, lon) for h in holes)
-
-
-def edge_distance(ring: Ring, lat: float, lon: float) -> float:
-    """Metres from a point to the nearest point of a ring's edge, on a plane around the point."""
-    scale = math.cos(math.radians(lat))
-    flat = [((x - lon) * scale, y - lat) for y, x in ring]
-    best = math.inf
-    for (x1, y1), (x2, y2) in zip(flat, flat[1:] + flat[:1], strict=True):
-        dx, dy = x2 - x1, y2 - y1
-        t = 0.0 if dx == dy == 0 else max(0.0, min(1.0, -(x1 * dx + y1 * dy) / (dx * dx + dy * dy)))
-        best = min(best, math.hypot(x1 + t * dx, y1 + t * dy))
-    return math.radians(best) * EARTH_M
-
-
 def polygons(members: DataFrame) -> DataFrame:
     """Polygons of areas, from (area_id, role, ord, points: the way's (id, lat, lon) in order). Inner rings go to the outer
     one that holds their first point; one in none is dropped."""
@@ -105,22 +92,52 @@ def cells(found: DataFrame) -> DataFrame:
     return rows.select("area_id", "part", "cell_lat", "cell_lon")
 
 
+def placed(lat: np.ndarray, lon: np.ndarray, rings: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
+    """Of each point, whether it is in the polygon beside it (its outer ring, then its holes), and how many metres from the
+    nearest edge, on a plane around the point."""
+    of_row = np.repeat(np.arange(len(lat)), np.diff(rings.offsets.to_numpy()))
+    each = rings.flatten()
+    n = np.diff(each.offsets.to_numpy())
+    flat = each.flatten()
+    y, x = (flat.field(c).to_numpy() for c in ("lat", "lon"))
+    end = np.cumsum(n)
+    begin = end - n
+    after = np.arange(1, len(y) + 1)
+    after[end - 1] = begin  # a ring's last point leads to its first
+    row = np.repeat(of_row, n)
+    dy, dx = y - lat[row], x - lon[row]
+    over = dy > 0
+    with np.errstate(divide="ignore", invalid="ignore"):
+        cross = (over != over[after]) & ((dx[after] - dx) * -dy / (dy[after] - dy) + dx > 0)
+    odd = np.add.reduceat(cross.astype(np.int64), begin) % 2 == 1
+    outer = np.concatenate(([True], of_row[1:] != of_row[:-1]))
+    bad = np.bincount(of_row, np.where(outer, ~odd, odd), minlength=len(lat))
+    dx = dx * np.cos(np.radians(lat))[row]
+    ex, ey = dx[after] - dx, dy[after] - dy
+    size = ex * ex + ey * ey
+    t = np.clip(-(dx * ex + dy * ey) / np.where(size == 0, 1, size), 0, 1)
+    away = np.full(len(lat), np.inf)
+    np.minimum.at(away, row, np.hypot(dx + t * ex, dy + t * ey))
+    return bad == 0, np.radians(away) * EARTH_M
+
+
 def near_areas(nodes: DataFrame, found: DataFrame) -> DataFrame:
-    """(id, area_id, part, area_m2, inside, edge_m): nodes and the polygons of the cells around them."""
-
-    @F.pandas_udf("struct<inside: boolean, edge_m: double>")
-    def place(lat: pd.Series, lon: pd.Series, outer: pd.Series, holes: pd.Series) -> pd.DataFrame:
-        out = []
-        for y, x, o, hs in zip(lat, lon, outer, holes, strict=True):
-            rings = [[(p["lat"], p["lon"]) for p in r] for r in (o, *hs)]
-            out.append((covers(rings[0], rings[1:], y, x), min(edge_distance(r, y, x) for r in rings)))
-        return pd.DataFrame(out, columns=["inside", "edge_m"])
-
-    spread = F.explode(F.array(*(F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1))))
-    around = nodes.select("id", "lat", "lon", spread.alias("c"))
-    around = around.select("id", "lat", "lon", wrap(cell(F.col("lat")) + F.col("c.i"), 9000).alias("cell_lat"), wrap(cell(F.col("lon")) + F.col("c.j"), 18000).alias("cell_lon"))
+    """(id, area_id, part, area_m2, inside, edge_m): nodes and the polygons of the cells around them, as far as NEAR_M reaches."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                inside_, edge = placed(*(b.column(k).to_numpy(zero_copy_only=False) for k in (4, 5)), b.column(6))
+                yield pa.RecordBatch.from_arrays([*(b.column(k) for k in range(4)), pa.array(inside_), pa.array(edge)], ["id", "area_id", "part", "area_m2", "inside", "edge_m"])
+
+    # Cells get narrower towards the poles.
+    wide = F.ceil(NEAR_M / (math.radians(0.01) * EARTH_M) / F.greatest(F.cos(F.radians("lat")), F.lit(1e-6))).cast("int")
+    around = nodes.select("id", "lat", "lon", F.least(wide, F.lit(18000)).alias("wide")).withColumn("i", F.explode(F.array(*map(F.lit, (-1, 0, 1)))))
+    around = around.withColumn("j", F.explode(F.sequence(-F.col("wide"), "wide")))
+    around = around.select("id", "lat", "lon", wrap(cell(F.col("lat")) + F.col("i"), 9000).alias("cell_lat"), wrap(cell(F.col("lon")) + F.col("j"), 18000).alias("cell_lon"))
     pairs = around.join(cells(found), ["cell_lat", "cell_lon"]).select("id", "lat", "lon", "area_id", "part").distinct()
-    return pairs.join(found, ["area_id", "part"]).withColumn("p", place("lat", "lon", "outer", "holes")).select("id", "area_id", "part", "area_m2", "p.inside", "p.edge_m")
+    rows = pairs.join(found, ["area_id", "part"]).select(F.col("id").cast("bigint"), F.col("area_id").cast("bigint"), F.col("part").cast("int"), F.col("area_m2").cast("double"), F.col("lat").cast("double"), F.col("lon").cast("double"), F.concat(F.array("outer"), "holes"))
+    return rows.mapInArrow(work, "id bigint, area_id bigint, part int, area_m2 double, inside boolean, edge_m double")
 
 
 def flagged(nodes: DataFrame, residential: DataFrame, military: DataFrame) -> DataFrame:
@@ -129,3 +146,4 @@ def flagged(nodes: DataFrame, residential: DataFrame, military: DataFrame) -> Da
     bans = near_areas(nodes, military).filter(F.col("inside") & (F.col("edge_m") > DEEP_M)).select("id").distinct().withColumn("ban", F.lit(True))
     both = nodes.drop("residential", "nogo").join(homes, "id", "left").join(bans, "id", "left")
     return both.withColumn("residential", F.coalesce(F.col("homes") > RESIDENTIAL_M2, F.lit(False))).withColumn("nogo", F.coalesce("ban", F.lit(False))).drop("homes", "ban")
+

@@ -1,35 +1,35 @@
 """Clustering of routes and itineraries by where they go, and picking from clusters.
 
-HDBSCAN in numpy, for the few hundred rows of one generation round: mutual reachability distances, their minimum spanning
-tree, the condensed hierarchy, and the most stable clusters. Labels tell rows apart and mean nothing else; -1 is noise.
+HDBSCAN in numpy, for the rows of one request: mutual reachability distances, their minimum spanning tree, the condensed
+hierarchy, and the most stable clusters. Labels tell a request's rows apart and mean nothing else; -1 is noise. Distances are
+computed a row at a time, so memory is linear in a request's rows, and time quadratic; requests are clustered side by side.
 """
 
 from __future__ import annotations
 
-import sys
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 ROUTE_EPSILON, ITINERARY_EPSILON = 0.1, 0.01
-#: Rows that one clustering may have: it is quadratic, and one task's work.
-MOST_ROWS = 5000
 
 
 def spanning_tree(points: np.ndarray, neighbours: int) -> np.ndarray:
     """(distance, a, b) of a minimum spanning tree over mutual reachability, in ascending order."""
-    d = np.sqrt(((points[:, None, :] - points[None, :, :]) ** 2).sum(axis=2))
-    core = np.sort(d, axis=1)[:, min(neighbours, len(points)) - 1]
-    reach = np.maximum(d, np.maximum(core[:, None], core[None, :]))
     n = len(points)
-    out, low, via, todo = [], np.full(n, np.inf), np.zeros(n, int), np.ones(n, bool)
-    now = 0
+    nth = min(neighbours, n) - 1
+
+    def away(k: int) -> np.ndarray:
+        return np.sqrt(((points - points[k]) ** 2).sum(axis=1))
+
+    core = np.array([np.partition(away(k), nth)[nth] for k in range(n)])
+    low, via, todo, out, now = np.full(n, np.inf), np.zeros(n, int), np.ones(n, bool), [], 0
     for _ in range(n - 1):
         todo[now] = False
-        near = todo & (reach[now] < low)
-        low[near], via[near] = reach[now][near], now
+        reach = np.maximum(away(now), np.maximum(core[now], core))
+        near = todo & (reach < low)
+        low[near], via[near] = reach[near], now
         now = int(np.argmin(np.where(todo, low, np.inf)))
         out.append((low[now], via[now], now))
     return np.array(sorted(out)).reshape(-1, 3)
@@ -42,8 +42,6 @@ def hdbscan(points: np.ndarray, min_size: int = 2, epsilon: float = 0.0) -> np.n
     labels = np.full(n, -1)
     if n < min_size or n < 2:
         return labels
-    if n > MOST_ROWS:
-        raise ValueError(f"{n} rows are too many for one clustering")
     # Dendrogram: node n + k joins two nodes at a height.
     size: list[int] = [1] * n
     kids: dict[int, tuple[int, int]] = {}
@@ -65,28 +63,34 @@ def hdbscan(points: np.ndarray, min_size: int = 2, epsilon: float = 0.0) -> np.n
         height.append(float(dist))
         root[y], owner[x] = x, node
     # Condensed clusters, from the root down: (born at, members that leave, children).
-    leaves = lambda x: [x] if x < n else leaves(kids[x][0]) + leaves(kids[x][1])
-    clusters: list[dict] = []
+    def leaves(x: int) -> list[int]:
+        out, below = [], [x]
+        while below:
+            y = below.pop()
+            out += [y] if y < n else []
+            below += kids.get(y, ())[::-1]
+        return out
 
-    def grow(node: int, birth: float, above: int) -> int:
-        me = len(clusters)
-        clusters.append({"birth": birth, "above": above, "kids": [], "stable": 0.0, "points": leaves(node), "split": 0.0})
+    clusters: list[dict] = []
+    born = [(2 * n - 2, 0.0, -1)]
+    while born:
+        node, birth, above = born.pop()
+        me = {"kids": [], "stable": 0.0, "points": leaves(node), "split": 0.0}
+        if above >= 0:
+            clusters[above]["kids"].append(len(clusters))
+        clusters.append(me)
         while True:
             at = 1 / max(height[node], 1e-12)
             parts = [k for k in kids.get(node, ()) if size[k] >= min_size]
-            lost = size[node] - sum(size[k] for k in parts)
             if len(parts) == 2:
-                clusters[me]["stable"] += size[node] * (at - birth)
-                clusters[me]["split"] = height[node]
-                clusters[me]["kids"] = [grow(k, at, me) for k in parts]
-                return me
-            clusters[me]["stable"] += lost * (at - birth)
+                me["stable"] += size[node] * (at - birth)
+                me["split"] = height[node]
+                born += [(k, at, len(clusters) - 1) for k in reversed(parts)]
+                break
+            me["stable"] += (size[node] - sum(size[k] for k in parts)) * (at - birth)
             if not parts:
-                return me
+                break
             node = parts[0]
-
-    sys.setrecursionlimit(max(sys.getrecursionlimit(), 4 * MOST_ROWS))
-    grow(2 * n - 2, 0.0, -1)
     chosen = [not c["kids"] for c in clusters]
     for k in range(len(clusters) - 1, -1, -1):
         c = clusters[k]
@@ -110,8 +114,9 @@ def hdbscan(points: np.ndarray, min_size: int = 2, epsilon: float = 0.0) -> np.n
     return labels
 
 
-def labelled(rows: DataFrame, key: str, vector: str, epsilon: float) -> DataFrame:
-    """(key, label) of rows whose vectors are complete; those with a missing or NaN coordinate are noise."""
+def labelled(rows: DataFrame, key: str, vector: str, epsilon: float, by: str | None = None) -> DataFrame:
+    """(key, label) of rows whose vectors are complete; those with a missing or NaN coordinate are noise. by: the column that
+    tells requests apart, which are clustered each for itself; without it, all rows are one request's."""
 
     def work(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values(key)
@@ -123,8 +128,7 @@ def labelled(rows: DataFrame, key: str, vector: str, epsilon: float) -> DataFram
             labels[ok] = hdbscan(np.stack([p for p, good in zip(points, ok, strict=True) if good]), 2, epsilon)
         return pd.DataFrame({key: frame[key], "label": labels})
 
-    # One round's rows, a few hundred: one group.
-    return rows.select(key, vector).groupBy().applyInPandas(work, f"{key} {rows.schema[key].dataType.simpleString()}, label int")
+    return rows.select(key, vector, *([by] if by else [])).groupBy(*([by] if by else [])).applyInPandas(work, f"{key} {rows.schema[key].dataType.simpleString()}, label int")
 
 
 def best_of_clusters(scored: DataFrame) -> DataFrame:

@@ -1,18 +1,18 @@
 """The road graph: lines between consecutive nodes of usable ways, what meets at each node, and which turns are legal.
 
 A line's number is way * WAY_STEP + its place in the way, so that lines have a total order (the order of ways, then along
-each way) without a global sort.
+each way) without a global sort. A way of more lines than that fails the query that meets it.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from roadloom.functions import tags as T
 from roadloom.functions.geo import bearing, haversine
 
-WAY_STEP = 1000
+WAY_STEP = 1 << 20
 
 
 def roads(ways: DataFrame) -> DataFrame:
@@ -28,7 +28,8 @@ def lines(ways: DataFrame, nodes: DataFrame) -> DataFrame:
     named = roads(ways)
     pairs = F.arrays_zip(F.slice("nodes", F.lit(1), F.size("nodes") - 1).alias("p0"), F.slice("nodes", F.lit(2), F.size("nodes") - 1).alias("p1"))
     each = named.filter(F.size("nodes") > 1).select("way_id", F.posexplode(pairs), "direction", *T.KEPT)
-    each = each.select((F.col("way_id") * WAY_STEP + F.col("pos")).alias("line"), "way_id", F.col("pos").alias("seq"), "col.p0", "col.p1", "direction", *T.KEPT)
+    place = F.when(F.col("pos") < WAY_STEP, F.col("pos")).otherwise(F.raise_error(F.concat(F.lit("too many nodes in way "), "way_id")).cast("int"))
+    each = each.select((F.col("way_id") * WAY_STEP + place).alias("line"), "way_id", F.col("pos").alias("seq"), "col.p0", "col.p1", "direction", *T.KEPT)
     gaps = first_gaps(named, nodes)
     return each.join(gaps, "way_id", "left").filter(F.col("gap").isNull() | (F.col("seq") + 1 < F.col("gap"))).drop("gap")
 
@@ -122,23 +123,19 @@ def start_turns(lines_: DataFrame, found: DataFrame) -> DataFrame:
     return both.filter(~F.coalesce(barred, F.lit(False))).select("node", "line", "stop")
 
 
-def roundabout_exits(lines_: DataFrame, spark_steps: int = 100) -> DataFrame:
-    """(entry, line, exit, steps): from each node on a roundabout, the lines that leave it, going around once at most."""
-    spark = lines_.sparkSession
+def roundabout_exits(lines_: DataFrame) -> DataFrame:
+    """(entry, line, exit, steps): from each node on a roundabout, the lines that leave it, going around once at most; steps are
+    the fewest lines on the roundabout before."""
     d = directed(lines_)
-    d.filter("direction = 'roundabout'").select("start", "stop").distinct().createOrReplaceTempView("roadloom_round")
-    d.filter("direction <> 'roundabout'").select("start", "line", "stop").createOrReplaceTempView("roadloom_leave")
-    return spark.sql(f"""
-      WITH RECURSIVE around (entry, at, steps, seen) MAX RECURSION LEVEL {spark_steps} AS (
-        SELECT start, start, 0, array(start) FROM (SELECT DISTINCT start FROM roadloom_round)
-        UNION ALL
-        SELECT a.entry, r.stop, a.steps + 1, array_append(a.seen, r.stop) FROM around a JOIN roadloom_round r ON a.at = r.start
-        WHERE NOT array_contains(a.seen, r.stop)
-      )
-      SELECT a.entry, l.line, l.stop AS exit, min(a.steps) AS steps FROM around a JOIN roadloom_leave l ON a.at = l.start GROUP BY a.entry, l.line, l.stop""")
-
-
-def ordered_lines(lines_: DataFrame) -> DataFrame:
-    """lines with line_idx, 0 on: their places in the order of line numbers. For tables of one region: it sorts them all in
-    one task."""
-    return lines_.withColumn("line_idx", F.row_number().over(Window.orderBy("line")) - 1)
+    ring = d.filter("direction = 'roundabout'").select(F.col("start").alias("entry"), F.col("stop").alias("at")).distinct()
+    nodes = ring.select("entry").unionByName(ring.select(F.col("at").alias("entry"))).distinct()
+    reach = nodes.select("entry", F.col("entry").alias("at"), F.lit(0).alias("steps")).unionByName(ring.filter("entry <> at").withColumn("steps", F.lit(1))).persist()
+    size, before = reach.count(), 0
+    while size > before:  # twice as far each time: a roundabout of n nodes takes log2(n) turns
+        more = reach.select("entry", F.col("at").alias("mid"), F.col("steps").alias("first")).join(reach.select(F.col("entry").alias("mid"), "at", F.col("steps").alias("second")), "mid")
+        further = more.groupBy("entry", "at").agg(F.min(F.col("first") + F.col("second")).alias("steps")).persist()
+        before, size = size, further.count()
+        reach.unpersist()
+        reach = further
+    leave = d.filter("direction <> 'roundabout'").select(F.col("start").alias("at"), "line", F.col("stop").alias("exit"))
+    return reach.join(leave, "at").join(ring.select("entry").distinct(), "entry", "left_semi").groupBy("entry", "line", "exit").agg(F.min("steps").alias("steps"))

@@ -20,12 +20,13 @@ FILES = {
 
 
 def read(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    """A trace table from CSV files, one or more a table."""
+    """A trace table from CSV files, or folders of them, one or more a table."""
     return spark.read.schema(TRACE_TABLES[name]).option("escape", '"').csv(f"{folder}/{FILES[name]}-*.csv", header=True)
 
 
 def write(trace: DataFrame, name: str, folder: str) -> None:
-    trace.write.mode("overwrite").option("escape", '"').csv(f"{folder}/{name}", header=True)
+    """A trace table as a folder of CSV files that read() finds."""
+    trace.write.mode("overwrite").option("escape", '"').csv(f"{folder}/{FILES[name]}-0.csv", header=True)
 
 
 def page(table: DataFrame, itinerary_id: str | None = None, step_num: int | None = None, number: int = 0, size: int = PAGE, then: list | None = None) -> DataFrame:

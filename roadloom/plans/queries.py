@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 from roadloom.functions import geo
 from roadloom.operators import areas, clusters, graph, itineraries, navigate, proximity, routes, trace
 from roadloom.plans import generate as G
-from roadloom.plans.networks import _views, lattice, order_network, sql_prelude
-from roadloom.sources.rules import FAMILIES, from_dict
+from roadloom.plans.networks import TOWN_NODES_SQL, TOWN_WAY_NODES_SQL, TOWN_WAY_TAGS_SQL, _views, order_network, sql_prelude, town
+from roadloom.sources.rules import FAMILIES, Rules, from_dict
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -159,10 +159,20 @@ def start_turns(spark, sf_dir):
     return graph.start_turns(*_restricted(spark, sf_dir))
 
 
-@query()
+T = sql_prelude(TOWN_NODES_SQL, TOWN_WAY_NODES_SQL, TOWN_WAY_TAGS_SQL)
+TD = T + ", d AS (SELECT line, way_id, p0 AS start, p1 AS stop, direction FROM lines UNION ALL SELECT line, way_id, p1, p0, direction FROM lines WHERE direction = 'both')"
+
+
+def _town(spark, sf_dir):
+    net = town(spark, sf_dir)
+    return net, graph.lines(net.ways, net.nodes)
+
+
+@query(TD + """, r AS (SELECT DISTINCT start, stop FROM d WHERE direction = 'roundabout'), around(entry, here, steps) AS (
+  SELECT DISTINCT start, start, 0 FROM r UNION SELECT a.entry, r.stop, a.steps + 1 FROM around a JOIN r ON a.here = r.start WHERE a.steps < 4
+) SELECT entry, line, d.stop AS exit, min(steps) AS steps FROM around JOIN d ON d.start = around.here AND d.direction <> 'roundabout' GROUP BY ALL""")
 def roundabout_exits(spark, sf_dir):
-    net = lattice(spark)
-    return graph.roundabout_exits(graph.lines(net.ways, net.nodes))
+    return graph.roundabout_exits(_town(spark, sf_dir)[1])
 
 
 # Geometry.
@@ -205,13 +215,18 @@ def heading_priority(spark, sf_dir):
 PLACES = "SELECT concat('s', CAST(s_suppkey AS VARCHAR(20))) AS query_id, 57 + (s_suppkey * 37 % 180) * 0.001e0 AS lat, 24 + (s_suppkey * 53 % 300) * 0.001e0 AS lon FROM supplier"
 
 
-def _nearest_sql(where: str) -> str:
-    return P + f""", q AS ({PLACES}), pt AS (
+def nearest_ctes(places: str, where: str = "true") -> str:
+    """Common table expressions: near (query_id, id, dist_m), the nearest allowed point of each place."""
+    return f""", q AS ({places}), pt AS (
   SELECT n.id, n.lat, n.lon, n.residential, list(DISTINCT l.highway) AS hw, list(DISTINCT l.surface) AS sf FROM nodes n JOIN (SELECT p0 AS node, * FROM lines UNION ALL SELECT p1, * FROM lines) l ON l.node = n.id GROUP BY ALL
 ), c AS (
   SELECT q.query_id, pt.id, {hav("q.lat", "q.lon", "pt.lat", "pt.lon")} AS dist_m, greatest(abs({CELL.format("q.lat")} - {CELL.format("pt.lat")}), abs({CELL.format("q.lon")} - {CELL.format("pt.lon")})) AS ring FROM q, pt WHERE {where}
-), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY dist_m, ring, id) AS k FROM c WHERE ring <= 20)
-SELECT query_id, id, {w("dist_m")} AS dist_cm FROM r WHERE k = 1"""
+), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY dist_m, ring, id) AS k FROM c WHERE ring <= 20
+), near AS (SELECT query_id, id, dist_m FROM r WHERE k = 1)"""
+
+
+def _nearest_sql(where: str) -> str:
+    return P + nearest_ctes(PLACES, where) + f" SELECT query_id, id, {w('dist_m')} AS dist_cm FROM near"
 
 
 def _places(spark, sf_dir):
@@ -232,44 +247,75 @@ def knn_closest_rules(spark, sf_dir):
     return found.select("query_id", "id", whole(F.col("dist_m")).alias("dist_cm"))
 
 
-# Itineraries, on the lattice.
+# Itineraries, in the town.
 
+START, FINISH = (30, 57.024, 24.007), (125, 57.02, 24.035)
+NEAR_RULES = from_dict({"generation": {"waypoint_generation": {"start_finish": {"variation_distances_m": [1000.0, 2000.0, 3000.0], "variation_bearing_deg": [45.0 * k for k in range(8)]}}}})
+ON_WAYPOINT_ROADS = f"list_has_any(pt.hw, [{', '.join(repr(h) for h in itineraries.WAYPOINT_HIGHWAYS)}])"
 
-def _town(spark):
-    net = lattice(spark)
-    return net, graph.lines(net.ways, net.nodes)
 
+def _values(numbers) -> str:
+    return f"unnest([{', '.join(f'{float(x)!r}e0' for x in numbers)}])"
 
-NEAR_RULES = from_dict({"generation": {"waypoint_generation": {"start_finish": {"variation_distances_m": [1000.0, 2000.0, 3000.0], "variation_bearing_deg": [45.0 * k for k in range(8)]}}}})
 
+def to_sql(lat: str, lon: str, deg: str, metres: str) -> str:
+    """The destination from a place, as two columns."""
+    d, p, b = f"({metres} / 6371008.8e0)", f"radians({lat})", f"radians({deg})"
+    t = f"(sin({p}) * cos({d}) + cos({p}) * sin({d}) * cos({b}))"
+    return f"degrees(asin({t})) AS lat, fmod({lon} + degrees(atan2(sin({b}) * sin({d}) * cos({p}), cos({d}) - sin({p}) * {t})) + 540, 360.0e0) - 180 AS lon"
 
-@query()
-def itineraries_start_finish(spark, sf_dir):
-    net, lines = _town(spark)
-    points = proximity.grid(net.nodes, lines)
-    return itineraries.start_finish((300, 57.048, 24.084), (500, 57.08, 24.14), points, NEAR_RULES)
 
+def _start_finish_sql(rules) -> str:
+    made = rules.generation.waypoint_generation.start_finish
+    point = lambda p: f"{p[1]!r}e0 AS lat, {p[2]!r}e0 AS lon"
+    from_other = bear("o.lat", "o.lon", "e.lat", "e.lon")
+    places = f"""SELECT concat_ws('/', side, deg, dist) AS query_id, side, {to_sql("lat", "lon", "deg", "dist")} FROM (
+      SELECT e.*, {from_other} AS other, deg, dist FROM (SELECT 'from' AS side, {point(START)} UNION ALL SELECT 'to', {point(FINISH)}) e
+      JOIN (SELECT 'to' AS side, {point(START)} UNION ALL SELECT 'from', {point(FINISH)}) o ON e.side = o.side, (SELECT {_values(made.variation_bearing_deg)} AS deg), (SELECT {_values(made.variation_distances_m)} AS dist)) WHERE abs(deg - other) > {itineraries.ASIDE_DEG}"""
+    return T + nearest_ctes(places, ON_WAYPOINT_ROADS) + f""", s AS (SELECT side, id FROM near JOIN q USING (query_id)), t AS (
+  SELECT concat(a.id, '-', b.id) AS waypoints FROM s a JOIN s b ON a.side = 'from' AND b.side = 'to' UNION ALL SELECT ''
+) SELECT concat('{START[0]}-', waypoints, '-{FINISH[0]}') AS itin_id, CAST({START[0]} AS BIGINT) AS start, CAST({FINISH[0]} AS BIGINT) AS finish, waypoints, 3000.0e0 AS radius, false AS visit_all FROM t"""
 
-@query()
-def itineraries_round_trip(spark, sf_dir):
-    net, lines = _town(spark)
-    return itineraries.round_trip((300, 57.048, 24.084), 350.0, 15000.0, proximity.grid(net.nodes, lines), adjustment=-45.0)
+
+TOWARDS, METRES, ADJUSTMENT = 350.0, 9000.0, -45.0
 
 
-def _trips_sql() -> str:
-    return """WITH a AS (SELECT s_suppkey AS id FROM supplier WHERE s_suppkey < 12), b AS (SELECT n_nationkey AS id FROM nation WHERE n_nationkey < 9)
-SELECT concat('7-', CAST(a.id AS VARCHAR), '-', CAST(b.id AS VARCHAR), '-8') AS itin_id, a.id AS w1, CAST(b.id AS BIGINT) AS w2 FROM a, b UNION ALL SELECT '7--8', NULL, NULL"""
+def _round_trip_sql(rules) -> str:
+    made = rules.generation.waypoint_generation.round_trip
+    places = f"""SELECT concat_ws('/', which, turn, ratio) AS query_id, which, turn, {to_sql(f"{START[1]!r}e0", f"{START[2]!r}e0", f"({TOWARDS + ADJUSTMENT}e0 + turn + aside)", f"({METRES / 5}e0 * ratio)")}
+      FROM (SELECT unnest(['left', 'tip', 'right']) AS which, unnest([-45.0e0, 0.0e0, 45.0e0]) AS aside), (SELECT {_values(made.variation_bearing_deg)} AS turn), (SELECT {_values(made.variation_distance_ratios)} AS ratio)"""
+    return T + nearest_ctes(places, ON_WAYPOINT_ROADS) + f""", s AS (SELECT which, turn, id FROM near JOIN q USING (query_id)), t AS (
+  SELECT concat_ws('-', a.id, b.id, c.id) AS waypoints FROM s a JOIN s b ON a.turn = b.turn JOIN s c ON a.turn = c.turn WHERE a.which = 'left' AND b.which = 'tip' AND c.which = 'right'
+) SELECT concat('{START[0]}-', waypoints, '-{START[0]}') AS itin_id, CAST({START[0]} AS BIGINT) AS start, CAST({START[0]} AS BIGINT) AS finish, waypoints, 3000.0e0 AS radius, true AS visit_all FROM t"""
 
 
-@query(_trips_sql())
+def _joined(trips: DataFrame) -> DataFrame:
+    return trips.withColumn("waypoints", F.array_join(F.col("waypoints").cast("array<string>"), "-"))
+
+
+@query(_start_finish_sql(NEAR_RULES))
+def itineraries_start_finish(spark, sf_dir):
+    net, lines = _town(spark, sf_dir)
+    return _joined(itineraries.start_finish(START, FINISH, proximity.grid(net.nodes, lines), NEAR_RULES))
+
+
+@query(_round_trip_sql(Rules()))
+def itineraries_round_trip(spark, sf_dir):
+    net, lines = _town(spark, sf_dir)
+    return _joined(itineraries.round_trip(START, TOWARDS, METRES, proximity.grid(net.nodes, lines), adjustment=ADJUSTMENT))
+
+
+@query("""WITH n AS (SELECT CAST(a.n_nationkey AS BIGINT) AS id, CAST(b.n_nationkey AS BIGINT) AS other FROM nation a JOIN nation b ON a.n_regionkey = b.n_regionkey)
+SELECT concat_ws('-', n.id, s.s_suppkey, n.other, 100 + n.id) AS itin_id, s.s_suppkey AS w1, n.other AS w2 FROM supplier s JOIN n ON s.s_nationkey = n.id
+UNION ALL SELECT concat(n_nationkey, '--', 100 + n_nationkey), NULL, NULL FROM nation""")
 def itinerary_ids(spark, sf_dir):
-    """Every waypoint of one side with every one of the other, and the direct itinerary."""
+    """For each nation a request: every waypoint of one side (its suppliers) with every one of the other (the nations of its
+    region), and the direct itinerary."""
     _views(spark, sf_dir, ("supplier", "nation"))
-    a, b = spark.table("supplier").filter("s_suppkey < 12").agg(F.collect_list("s_suppkey").alias("a")), spark.table("nation").filter("n_nationkey < 9").agg(F.collect_list(F.col("n_nationkey").cast("long")).alias("b"))
-    sides = a.unionByName(b, allowMissingColumns=True).agg(F.first("a", ignorenulls=True).alias("a"), F.first("b", ignorenulls=True).alias("b"))
-    pairs = sides.select(F.explode("a").alias("x"), "b").select("x", F.explode("b").alias("y")).select(F.array("x", "y").alias("waypoints"))
-    every = pairs.unionByName(spark.createDataFrame([([],)], "waypoints array<bigint>"))
-    return every.select(itineraries.itinerary_id(F.lit(7), F.col("waypoints"), F.lit(8)).alias("itin_id"), F.get("waypoints", 0).alias("w1"), F.get("waypoints", 1).alias("w2"))
+    near = spark.sql("SELECT CAST(a.n_nationkey AS BIGINT) AS id, CAST(b.n_nationkey AS BIGINT) AS w2 FROM nation a JOIN nation b ON a.n_regionkey = b.n_regionkey")
+    pairs = spark.table("supplier").select(F.col("s_nationkey").cast("long").alias("id"), F.col("s_suppkey").alias("w1")).join(near, "id").select("id", F.array("w1", "w2").alias("waypoints"))
+    direct = spark.table("nation").select(F.col("n_nationkey").cast("long").alias("id"), F.array().cast("array<bigint>").alias("waypoints"))
+    return pairs.unionByName(direct).select(itineraries.itinerary_id(F.col("id"), F.col("waypoints"), F.col("id") + 100).alias("itin_id"), F.get("waypoints", 0).alias("w1"), F.get("waypoints", 1).alias("w2"))
 
 
 # Routes.
@@ -411,34 +457,33 @@ def fork_decision(spark, sf_dir):
     return trace.fork_decisions(_trace(spark, sf_dir, WEIGHTS))
 
 
-# Searches, clusters and areas: no SQL.
+# Searches and clusters: no SQL. Tests compare them with brute force.
+
 
+SEARCH_RULES = from_dict({"basic": {"step_limit": 400}, "generation": {"waypoint_generation": {"start_finish": {"variation_distances_m": [1500.0], "variation_bearing_deg": [0.0, 90.0, 180.0, 270.0]}}}})
 
-def _searched(spark):
-    net, lines = _town(spark)
-    roads = G.Roads.of(net)
-    compact = navigate.compact(roads.nodes, roads.lines)
-    trips = itineraries.start_finish((300, 57.048, 24.084), (410, 57.008, 24.119), roads.points(), NEAR_RULES).dropDuplicates(["itin_id"])
-    return roads, compact, trips.filter("size(waypoints) = 0 or waypoints[0] % 5 = 0"), from_dict({"basic": {"step_limit": 400}})
+
+def _searched(spark, sf_dir):
+    roads = G.Roads.of(town(spark, sf_dir))
+    return navigate.compact(roads.nodes, roads.lines), itineraries.start_finish(START, FINISH, roads.points(), SEARCH_RULES).dropDuplicates(["itin_id"])
 
 
 @query()
 def navigate_lattice(spark, sf_dir):
-    _, compact, trips, rules = _searched(spark)
-    return navigate.search(trips, compact, rules)
+    compact, trips = _searched(spark, sf_dir)
+    return navigate.search(trips, compact, SEARCH_RULES)
 
 
 @query()
 def navigate_trace(spark, sf_dir):
-    _, compact, trips, rules = _searched(spark)
-    return navigate.trace_table(navigate.traced(trips.filter("size(waypoints) = 0"), compact, rules), "weights")
+    compact, trips = _searched(spark, sf_dir)
+    return navigate.trace_table(navigate.traced(trips, compact, SEARCH_RULES), "weights")
 
 
 @query()
 def generate_routes(spark, sf_dir):
-    roads = G.Roads.of(lattice(spark))
-    rules = from_dict(NEAR_RULES_FILE)
-    return G.generate(roads, rules, (57.048, 24.084), (57.008, 24.119)).drop("coords")
+    roads = G.Roads.of(town(spark, sf_dir))
+    return G.generate(roads, from_dict(NEAR_RULES_FILE), START[1:], FINISH[1:]).drop("coords")
 
 
 NEAR_RULES_FILE = {
@@ -450,27 +495,40 @@ NEAR_RULES_FILE = {
 
 @query()
 def hdbscan_labels(spark, sf_dir):
-    """Suppliers around a few towns, by place."""
+    """Suppliers around a few towns, by place; each nation is a request."""
     _views(spark, sf_dir, ("supplier",))
-    rows = spark.sql("SELECT s_suppkey, array(CAST(s_suppkey % 5 AS DOUBLE) + s_acctbal / 1000000, CAST(s_suppkey % 3 AS DOUBLE) + s_acctbal / 500000) AS vector FROM supplier WHERE s_suppkey < 300")
-    return clusters.labelled(rows, "s_suppkey", "vector", 0.1)
+    rows = spark.sql("SELECT s_suppkey, s_nationkey, array(CAST(s_suppkey % 5 AS DOUBLE) + s_acctbal / 1000000, CAST(s_suppkey % 3 AS DOUBLE) + s_acctbal / 500000) AS vector FROM supplier")
+    return clusters.labelled(rows, "s_suppkey", "vector", 0.1, by="s_nationkey")
+
+
+# Areas: the block beside each customer of two segments.
 
+AREA_M2, SIDE_LAT, SIDE_LON = 20000.0, 0.0039, 0.0069
+AREAS_SQL = "SELECT c_custkey AS area_id, 57 + (c_custkey % 24) * 0.004e0 + 0.0000039e0 AS y0, 24 + floor(c_custkey / 24.0e0) * 0.007e0 + 0.0000069e0 AS x0, 57 + (c_custkey % 24) * 0.004e0 + 0.0039e0 AS y1, 24 + floor(c_custkey / 24.0e0) * 0.007e0 + 0.0069e0 AS x1, c_mktsegment AS land FROM customer WHERE c_mktsegment IN ('BUILDING', 'MACHINERY')"
 
-def _squares(spark):
-    """Every fifth block of the lattice is an area."""
-    net = lattice(spark)
-    corners = F.array(*(F.struct((57 + (F.col("id") % 24) * 0.004 + i * 0.0039).alias("lat"), (24 + F.floor(F.col("id") / 24) * 0.007 + j * 0.0069).alias("lon")) for i, j in ((0.001, 0.001), (0.001, 1), (1, 1), (1, 0.001), (0.001, 0.001))))
+
+def _squares(spark, sf_dir):
+    net = town(spark, sf_dir)
+    corner = lambda y, x: F.struct(F.col(y).alias("lat"), F.col(x).alias("lon"))
     none = F.array().cast("array<array<struct<lat: double, lon: double>>>")
-    return net, net.nodes.filter("id % 5 = 0").select(F.col("id").alias("area_id"), F.lit(0).alias("part"), corners.alias("outer"), none.alias("holes"), F.lit(150000.0).alias("area_m2"))
+    outer = F.array(corner("y0", "x0"), corner("y0", "x1"), corner("y1", "x1"), corner("y1", "x0"), corner("y0", "x0"))
+    return net, spark.sql(AREAS_SQL).select("area_id", F.lit(0).alias("part"), outer.alias("outer"), none.alias("holes"), F.lit(AREA_M2).alias("area_m2"), "land")
 
 
-@query()
+@query(f"""WITH a AS ({AREAS_SQL}), b AS (SELECT area_id, {CELL.format("y0")} AS lo, {CELL.format("y1")} AS hi, {CELL.format("x0")} AS le, {CELL.format("x1")} AS ri FROM a),
+c AS (SELECT *, unnest(range(lo, hi + 1)) AS cell_lat FROM b) SELECT area_id, 0 AS part, CAST(cell_lat AS INTEGER) AS cell_lat, CAST(unnest(range(le, ri + 1)) AS INTEGER) AS cell_lon FROM c""")
 def polygon_cells(spark, sf_dir):
-    return areas.cells(_squares(spark)[1])
+    return areas.cells(_squares(spark, sf_dir)[1])
 
 
-@query()
-def area_flags(spark, sf_dir):
-    net, found = _squares(spark)
-    return areas.flagged(net.nodes, found, found.filter("area_id % 25 = 0"))
+EDGE_M = "6371008.8e0 * radians(CASE WHEN dy < 0 AND dx < 0 THEN least(-dy, -dx) ELSE sqrt(pow(greatest(dy, 0), 2) + pow(greatest(dx, 0), 2)) END)"
 
+
+@query(T + f""", a AS ({AREAS_SQL}), m AS (
+  SELECT n.id, a.land, greatest(y0 - lat, lat - y1) AS dy, greatest(x0 - lon, lon - x1) * cos(radians(lat)) AS dx FROM nodes n JOIN a ON abs(y0 - lat) < 0.02 AND abs(x0 - lon) < 0.03
+), e AS (SELECT id, land, dy < 0 AND dx < 0 AS inside, {EDGE_M} AS edge_m FROM m), f AS (
+  SELECT id, sum({AREA_M2}e0) FILTER (land = 'BUILDING' AND (inside OR edge_m <= 500)) AS homes, bool_or(land = 'MACHINERY' AND inside AND edge_m > 100) AS ban FROM e GROUP BY id
+) SELECT n.id, n.lat, n.lon, coalesce(homes > {areas.RESIDENTIAL_M2!r}e0, false) AS residential, coalesce(ban, false) AS nogo FROM nodes n LEFT JOIN f USING (id)""")
+def area_flags(spark, sf_dir):
+    net, found = _squares(spark, sf_dir)
+    return areas.flagged(net.nodes.withColumn("lat", F.col("lat").cast("double")), found.filter("land = 'BUILDING'").drop("land"), found.filter("land = 'MACHINERY'").drop("land"))

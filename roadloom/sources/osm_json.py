@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from roadloom.functions.tags import relation_ok, way_ok
+from roadloom.operators import areas
 from roadloom.plans.networks import Network
 
 ELEMENT = "type string, id string, lat string, lon string, nodes array<string>, members array<struct<type: string, ref: string, role: string>>, tags map<string, string>"
@@ -66,11 +68,26 @@ def network(found: DataFrame, strict: bool = False) -> Network:
 
 
 def read(spark: SparkSession, path: str, strict: bool = False) -> Network:
-    """A network by the kind of file: .json, .jsonl or .pbf."""
+    """A network by the kind of file: .json, .jsonl or .pbf. Extracts in .pbf hold everything of a region: of these, only usable
+    roads, restrictions and the nodes of either are kept, and nodes are flagged by the areas around them."""
     if path.endswith((".json", ".jsonl")):
         return network(elements(spark, path), strict)
     if path.endswith(".pbf"):
         from roadloom.sources import pbf  # registers a data source, so only where it is asked for
 
-        return network(pbf.elements(spark, path), strict)
+        return selected(network(pbf.elements(spark, path), strict))
     raise MapDataError(f"{path}: .json, .jsonl or .pbf is expected")
+
+
+def selected(net: Network) -> Network:
+    """The roads of a network with all that they depend on, its turn restrictions, and its areas as flags of the nodes."""
+    ways = net.ways.filter(way_ok())
+    used = ways.select(F.explode("nodes").alias("id")).distinct()
+    land = net.ways.filter(F.col("tags")["landuse"].isin("residential", "military"))
+    lands = net.relations.filter(F.col("tags")["landuse"].isin("residential", "military"))
+    member = lands.select(F.explode("members").alias("m")).filter("m.type = 'way'").select(F.col("m.ref").alias("id")).distinct()
+    edges = land.unionByName(net.ways.join(member, "id", "left_semi")).dropDuplicates(["id"])
+    corners = net.nodes.join(edges.select(F.explode("nodes").alias("id")).distinct(), "id", "left_semi")
+    nodes = net.nodes.join(used, "id", "left_semi")
+    homes, bans = (areas.polygons(areas.area_members(edges, lands, corners, use)) for use in ("residential", "military"))
+    return Network(areas.flagged(nodes, homes, bans), ways, net.relations.filter(relation_ok()))
