@@ -2,7 +2,7 @@
 
 Each task first makes a star around the least node of what its own links connect. Then every node hooks its greater
 neighbours to the least node of its neighbourhood, then its lesser ones, until nothing changes; each component is then a
-star around its least node. Minima are pre-aggregated before the shuffle and written to
+star around its least node. A graph of ONE_TASK links at most is one task's work from the start. Minima are pre-aggregated before the shuffle and written to
 a table, so that the join back on a node of very many links is one whose skewed partitions Spark can split.
 """
 
@@ -18,6 +18,10 @@ from pyspark.sql import functions as F
 from roadloom.llm.scratch import Scratch
 
 
+#: Links that one task may hold, of 16 bytes each.
+ONE_TASK = 1 << 20
+
+
 def _mark(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first())
 
@@ -45,7 +49,7 @@ def _shortened(edges: DataFrame) -> DataFrame:
         for b in batches:
             held.append([b.column(k).to_numpy() for k in (0, 1)])
             rows += b.num_rows
-            if rows >= 1 << 20:
+            if rows >= 1 << 21:
                 held, rows = [starred(*map(np.concatenate, zip(*held, strict=True)))], 0
         if held:
             u, v = starred(*map(np.concatenate, zip(*held, strict=True)))
@@ -61,6 +65,10 @@ def components(links: DataFrame, scratch: Scratch, name: str = "components") ->
     edges = scratch.table(_shortened(scratch.table(edges, f"{name}-links")).distinct(), f"{name}-0")
     scratch.remove(f"{name}-links")
     before, turn = _mark(edges), 0
+    if before[0] <= ONE_TASK:
+        whole = scratch.table(_shortened(edges.coalesce(1)), f"{name}-1")
+        scratch.remove(f"{name}-0")
+        return whole.select(F.col("u").alias("node"), F.col("v").alias("root"))
     while before[0]:
         turn += 1
         near = edges.groupBy("u").agg(F.min("v").alias("m"))  # a node's least neighbour is less than itself, or it has none less

@@ -4,9 +4,8 @@ A count-vector R-tree over a whole corpus can't keep a search below all pairs: i
 texts are put into clusters that no similar pair crosses, and each cluster has its R-tree; see ``simjoin``. The clusters:
 
 1. A text that is similar to another lacks a quarter of its shingles at most in that one. So texts of which too many shingles
-   are in no other text drop out. Half of all shingles (chosen by a bit of their hash) are enough for a first count: a
-   block's hashes are sorted, packed as differences, and dealt by ranges of hashes. What a block has twice is known to be
-   shared there, and two of its texts stand for it, so that no range gets more than two rows a block of a hot shingle.
+   are in no other text drop out. Half of all shingles (chosen by a bit of their hash) are enough for a first count, by
+   packed postings; see ``ranges``.
 2. What stays (one text in ten, in prose) is counted in full, as joins and sums over the shingles' hashes.
 3. In one order of all shingles, the rarest first, similar sets have one in common among the first |A| - ceil(3|A| / 4) + 1
    of each. Texts with such a shingle in common are tied, and ties make the clusters.
@@ -23,12 +22,11 @@ from pyspark.sql import functions as F
 
 from roadloom.llm import simjoin
 from roadloom.llm.components import components
+from roadloom.llm.ranges import Postings, counted, enough
 from roadloom.llm.scratch import Scratch
 from roadloom.llm.simjoin import node_ids, sets
 from roadloom.llm.textops import OWNER_BITS, chunks
 
-#: Chosen shingles that a task packs at once, and that a range has about.
-PACKED, IN_RANGE = 1 << 21, 1 << 19
 HASH_BITS = 64 - OWNER_BITS
 
 
@@ -53,84 +51,17 @@ def signatures(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.xxhash64("text").alias("mark"), "text").mapInArrow(work, "doc_id bigint, mark bigint, node bigint, n bigint, half bigint")
 
 
-def pack(x: np.ndarray, nodes: np.ndarray) -> bytes:
-    """Ascending numbers as differences, byte by byte, and their texts' names."""
-    step = np.diff(x, prepend=x[:1] * np.uint64(0))
-    width = max(1, (int(step.max()).bit_length() + 7) // 8)
-    return bytes([width]) + step.view(np.uint8).reshape(-1, 8)[:, :width].tobytes() + nodes.tobytes()
-
-
-def unpack(body: bytes) -> tuple[np.ndarray, np.ndarray]:
-    width = body[0]
-    count = (len(body) - 1) // (width + 8)
-    step = np.zeros((count, 8), np.uint8)
-    step[:, :width] = np.frombuffer(body, np.uint8, count * width, 1).reshape(count, width)
-    return np.cumsum(step.view(np.uint64).ravel(), dtype=np.uint64), np.frombuffer(body, np.int64, count, 1 + count * width)
+def shared(docs: DataFrame, ranges: int) -> DataFrame:
+    """(node, c): of how many shingles of the chosen half it is known that another text has them too; never too few."""
 
+    def postings(b: pa.RecordBatch) -> Iterator[Postings]:
+        for _, part in chunks(b.column(0)):
+            h, n = sets(part)
+            chosen, x = halved(h)
+            owner = np.repeat(node_ids(h, n), n)[chosen]
+            yield x, owner, np.zeros(len(x), np.int32)
 
-def shared(docs: DataFrame, ranges: int) -> DataFrame:
-    """(node, c): of how many shingles of the chosen half it is known that another text has them too. A text that several
-    blocks have may be counted more than once in what its blocks know by themselves, never less."""
-    shift = np.uint64(HASH_BITS - 1 - (ranges.bit_length() - 1))
-
-    def block(x: np.ndarray, node: np.ndarray) -> Iterator[pa.RecordBatch]:
-        order = np.lexsort((node, x))
-        x, node = x[order], node[order]
-        fresh = np.concatenate(([True], (x[1:] != x[:-1]) | (node[1:] != node[:-1])))
-        x, node = x[fresh], node[fresh]
-        start = np.flatnonzero(np.concatenate(([True], x[1:] != x[:-1])))
-        size = np.diff(np.append(start, len(x)))
-        place = np.arange(len(x)) - np.repeat(start, size)
-        known, c = np.unique(node[place > 1], return_counts=True)
-        x, node = x[place <= 1], node[place <= 1]
-        cut = np.searchsorted(x, np.arange(ranges + 1, dtype=np.uint64) << shift)
-        full = np.flatnonzero(np.diff(cut))
-        bodies = [pack(x[cut[r] : cut[r + 1]] - (np.uint64(r) << shift), node[cut[r] : cut[r + 1]]) for r in full.tolist()]
-        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate((full, known % ranges)).astype(np.int32)), pa.array(np.concatenate((np.zeros(len(full), np.int64), known))), pa.array(np.concatenate((np.zeros(len(full), np.int64), c))), pa.array(bodies + [None] * len(known), pa.binary())], ["r", "node", "c", "body"])
-
-    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, many = [], 0
-        for b in batches:
-            for _, part in chunks(b.column(0)):
-                h, n = sets(part)
-                chosen, x = halved(h)
-                held.append((x, np.repeat(node_ids(h, n), n)[chosen]))
-                many += len(x)
-                if many >= PACKED:
-                    yield from block(*(np.concatenate(c) for c in zip(*held, strict=True)))
-                    held, many = [], 0
-        if many:
-            yield from block(*(np.concatenate(c) for c in zip(*held, strict=True)))
-
-    def count(bodies: list[bytes]) -> pa.RecordBatch:
-        x, node = (np.concatenate(c) for c in zip(*map(unpack, bodies), strict=True))
-        order = np.lexsort((node, x))
-        x, node = x[order], node[order]
-        fresh = np.concatenate(([True], (x[1:] != x[:-1]) | (node[1:] != node[:-1])))
-        x, node = x[fresh], node[fresh]
-        same = x[1:] == x[:-1]
-        known, c = np.unique(node[np.concatenate((same, [False])) | np.concatenate(([False], same))], return_counts=True)
-        return pa.RecordBatch.from_arrays([pa.array(known), pa.array(c)], ["node", "c"])
-
-    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, held = None, []
-        for b in batches:
-            own = b.column(3).is_null()
-            yield pa.RecordBatch.from_arrays([b.column(k).filter(own) for k in (1, 2)], ["node", "c"])
-            for r, body in zip(b.column(0).to_pylist(), b.column(3).to_pylist(), strict=True):
-                if body is None:
-                    continue
-                if r != now and held:
-                    yield count(held)
-                    held = []
-                now = r
-                held.append(body)
-        if held:
-            yield count(held)
-
-    packed = docs.select("text").mapInArrow(deal, "r int, node bigint, c bigint, body binary")
-    each = packed.repartition("r").sortWithinPartitions("r").mapInArrow(gather, "node bigint, c bigint")
-    return each.groupBy("node").agg(F.sum("c").alias("c"))
+    return counted(docs.select("text"), postings, ranges, ("node", "c"), HASH_BITS - 1).groupBy("node").agg(F.sum("c").alias("c"))
 
 
 def set_table(texts: DataFrame) -> DataFrame:
@@ -183,7 +114,7 @@ def join(docs: DataFrame) -> DataFrame:
     rows = scratch.table(signatures(docs), "signatures")
     info = scratch.table(rows.filter("n > 0").groupBy("node").agg(F.min(F.struct("doc_id", "mark")).alias("at"), F.first("n").alias("n"), F.first("half").alias("half")), "info")
     total = rows.agg(F.sum("half")).first()[0] or 0
-    counts = scratch.table(shared(docs, 1 << (total // IN_RANGE).bit_length()), "shared")
+    counts = scratch.table(shared(docs, enough(total)), "shared")
     scratch.settle()
     # Of a set of n shingles, floor(n / 4) at most may be missing in a similar one.
     alive = info.join(counts, "node", "left").filter(F.col("half") - F.coalesce("c", F.lit(0)) <= F.floor(F.col("n") / 4))
@@ -199,6 +130,7 @@ def join(docs: DataFrame) -> DataFrame:
     linked = scratch.table(slim.filter("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("least")).join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"), "least"), "linked")
     least = scratch.table(linked.groupBy("root").agg(F.min("least").alias("component_id")), "least")
     named = scratch.table(linked.join(least, "root").select("node", "component_id", "root"), "named")
+    scratch.only("signatures", "named")
     # A text without words is a component of its own: its rows join with nothing.
     both = slim.join(named, (slim.node == named.node) & (slim.n_shingles > 0), "left")
     return both.select("doc_id", "mark", slim.node, "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), "root")

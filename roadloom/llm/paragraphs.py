@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 
 from roadloom.llm import simjoin
 from roadloom.llm.components import components
+from roadloom.llm.ranges import Postings, common, enough, stars
 from roadloom.llm.scratch import Scratch
 from roadloom.llm.simjoin import node_ids
 from roadloom.llm.textops import CHUNK_BYTES, chunks, flat, gather, mix, powers, shingle_sets, word_hashes, words
@@ -40,6 +41,8 @@ LONG, ONE_IN, PIECE = 30, 8, 50
 SIMILAR, RECALL = 0.75, 0.999
 #: Places where a window may begin, of which one is chosen; and how far it is stretched on either side, at most.
 SPAN, REACH = SURE - MIN_WORDS + 1, SURE - MIN_WORDS
+#: About how many words there are for each window, and for each natural paragraph.
+WORDS_A_WINDOW, WORDS_A_PARAGRAPH = 6, 60
 
 
 def bands(similar: float = SIMILAR, recall: float = RECALL, budget: int = 64) -> tuple[int, int]:
@@ -149,24 +152,19 @@ def chosen(hashes: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return at[2 * distinct_shingles(hashes, counts, at) >= MIN_WORDS - SHINGLE + 1] if len(at) else at
 
 
-def windows(texts: DataFrame) -> DataFrame:
-    """(body, at: the first word, node: a hash of the words). A task looks at each text once."""
+def windows(texts: DataFrame, ranges: int) -> DataFrame:
+    """(body, at: the first word) of the windows that two texts have."""
 
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        done = Seen()
-        for b in batches:
-            for at, part in chunks(b.column(1)):
-                body = b.column(0).slice(at, len(part)).to_numpy()
-                flat_words, counts = words(part)
-                h = word_hashes(flat_words)
-                first = chosen(h, counts)
-                owner = np.repeat(np.arange(len(body)), counts)[first]
-                new = done.fresh(body)[owner]
-                first, owner = first[new], owner[new]
-                begin = (np.cumsum(counts) - counts)[owner]
-                yield pa.RecordBatch.from_arrays([pa.array(body[owner]), pa.array((first - begin).astype(np.int32)), pa.array(rolling(h, MIN_WORDS)[first].view(np.int64))], ["body", "at", "node"])
+    def postings(b: pa.RecordBatch) -> Iterator[Postings]:
+        for at, part in chunks(b.column(1)):
+            body = b.column(0).slice(at, len(part)).to_numpy()
+            flat_words, counts = words(part)
+            h = word_hashes(flat_words)
+            first = chosen(h, counts)
+            owner = np.repeat(np.arange(len(body)), counts)[first]
+            yield rolling(h, MIN_WORDS)[first], body[owner], (first - (np.cumsum(counts) - counts)[owner]).astype(np.int32)
 
-    return texts.select("body", "text").mapInArrow(work, "body bigint, at int, node bigint")
+    return common(texts.select("body", "text"), postings, ranges, ("body", "at"))
 
 
 def surroundings(texts: DataFrame) -> DataFrame:
@@ -305,46 +303,39 @@ def pieces(s: Sentences, a: int, z: int, left: int) -> list[tuple[int, int]]:
     return [*out, (a, z)]
 
 
+def found_in(column: pa.Array, wanted: np.ndarray) -> tuple[Sentences, np.ndarray, np.ndarray, np.ndarray]:
+    """The natural paragraphs of the texts wanted: the texts' sentences, (text, first word, after the last) of each, and their
+    sets with their sizes."""
+    s = Sentences(column)
+    found = [(t, a, z) for t in np.flatnonzero(wanted).tolist() for a, z in blocks(s, t)]
+    owner, a, z = np.array(found, np.int64).reshape(-1, 3).T
+    word, end = s.unit[a], s.unit[z - 1] + s.length[z - 1]
+    if not len(owner):
+        return s, np.zeros((3, 0), np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    h, n = shingle_sets(s.hashes[gather(word, end - word)], end - word)
+    ok = 2 * n >= end - word
+    return s, np.stack((owner, word, end))[:, ok], h[np.repeat(ok, n)], n[ok]
+
+
 def paragraphs(texts: DataFrame, columns: str) -> DataFrame:
     """Of the natural paragraphs of all texts, the columns named: body, first, last (code points), n_words, node, n (distinct shingles),
-    hashes (their set), grp (an array of bands). A task looks at each text once."""
+    hashes (their set). A task looks at each text once."""
     wanted = columns.split(", ")
-    n_bands, rows = bands()
-    odd = mix(np.arange(1, n_bands * rows + 1, dtype=np.uint64)) | np.uint64(1)
-
-    def banded(h: np.ndarray, n: np.ndarray) -> pa.Array:
-        start = np.cumsum(n) - n
-        x = mix(h)
-        low = np.stack([np.minimum.reduceat(x * k, start) for k in odd]).reshape(n_bands, rows, len(n))
-        keys = np.zeros((n_bands, len(n)), np.uint64) + np.arange(n_bands, dtype=np.uint64)[:, None]
-        for r in range(rows):
-            keys = mix(keys ^ low[:, r])
-        return pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1, dtype=np.int32) * n_bands), pa.array(np.ascontiguousarray(keys.T).ravel().view(np.int64)))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         done = Seen()
         for b in batches:
             for at, part in chunks(b.column(1)):
                 body = b.column(0).slice(at, len(part)).to_numpy()
-                new = done.fresh(body)
-                s = Sentences(part)
-                found = [(t, a, z) for t in np.flatnonzero(new).tolist() for a, z in blocks(s, t)]
-                if not found:
-                    continue
-                owner, a, z = np.array(found, np.int64).T
-                word, end = s.unit[a], s.unit[z - 1] + s.length[z - 1]
-                h, n = shingle_sets(s.hashes[gather(word, end - word)], end - word)
-                ok = 2 * n >= end - word
-                h, n = h[np.repeat(ok, n)], n[ok]
-                owner, word, end = owner[ok], word[ok], end[ok]
+                s, (owner, word, end), h, n = found_in(part, done.fresh(body))
                 if not len(n):
                     continue
                 point = np.concatenate(([0], np.cumsum((np.frombuffer(s.raw, np.uint8) & 0xC0) != 0x80)))
                 base = point[s.text_at[owner]]
-                made = {"body": lambda: pa.array(body[owner]), "first": lambda: pa.array(point[s.start[word]] - base), "last": lambda: pa.array(point[s.end[end - 1]] - base), "n_words": lambda: pa.array(end - word), "node": lambda: pa.array(node_ids(h, n)), "n": lambda: pa.array(n), "hashes": lambda: pa.array(simjoin.split(h, n), pa.binary()), "grp": lambda: banded(h, n)}
+                made = {"body": lambda: pa.array(body[owner]), "first": lambda: pa.array(point[s.start[word]] - base), "last": lambda: pa.array(point[s.end[end - 1]] - base), "n_words": lambda: pa.array(end - word), "node": lambda: pa.array(node_ids(h, n)), "n": lambda: pa.array(n), "hashes": lambda: pa.array(simjoin.split(h, n), pa.binary())}
                 yield pa.RecordBatch.from_arrays([made[c]() for c in wanted], wanted)
 
-    kinds = ", ".join(f"{c} {({'hashes': 'binary', 'grp': 'array<bigint>'}).get(c, 'bigint')}" for c in wanted)
+    kinds = ", ".join(f"{c} {({'hashes': 'binary'}).get(c, 'bigint')}" for c in wanted)
     return texts.select("body", "text").mapInArrow(work, kinds)
 
 
@@ -352,14 +343,11 @@ def body(text: str = "text") -> Column:
     return F.xxhash64(text).alias("body")
 
 
-def exact(texts: DataFrame, first: DataFrame, scratch: Scratch) -> DataFrame:
-    """ROWS of passages around windows that two texts have. texts: (body, doc_id, text); first: (body, doc_id) of each text's first document."""
-    every = scratch.table(windows(texts), "windows")
-    many = simjoin.small(scratch.table(every.groupBy("node").agg(F.min("body").alias("a"), F.max("body").alias("b")).filter("a <> b").select("node"), "shared"))
-    scratch.settle()
-    hits = every.join(many, "node").groupBy("body").agg(F.collect_set("at").alias("hits"))
-    hits = scratch.table(hits.join(first, "body"), "hits")
-    scratch.remove("windows")
+def exact(texts: DataFrame, first: DataFrame, n_words: int, scratch: Scratch) -> DataFrame:
+    """ROWS of passages around windows that two texts have. texts: (body, doc_id, text); first: (body, doc_id) of each text's first document;
+    n_words: of all texts."""
+    hits = windows(texts, enough(n_words // WORDS_A_WINDOW)).groupBy("body").agg(F.collect_set(F.col("at").cast("int")).alias("hits"))
+    hits = scratch.table(scratch.table(hits, "places").join(first, "body"), "hits")
     scratch.settle()
     some = texts.select("body", "text").join(simjoin.small(hits.select("body")), "body", "left_semi")
     around = scratch.table(surroundings(some.join(hits, "body")), "around")
@@ -378,12 +366,35 @@ def exact(texts: DataFrame, first: DataFrame, scratch: Scratch) -> DataFrame:
     return scratch.table(out, "exact")
 
 
-def near(texts: DataFrame, first: DataFrame, scratch: Scratch) -> DataFrame:
+def banded(texts: DataFrame, ranges: int) -> DataFrame:
+    """(a, b): ties of the paragraphs that share a band."""
+    n_bands, rows = bands()
+    odd = mix(np.arange(1, n_bands * rows + 1, dtype=np.uint64)) | np.uint64(1)
+
+    def postings(b: pa.RecordBatch) -> Iterator[Postings]:
+        for _, part in chunks(b.column(1)):
+            h, n = found_in(part, np.ones(len(part), bool))[2:]
+            node = node_ids(h, n)
+            once = np.zeros(len(n), bool)
+            once[np.unique(node, return_index=True)[1]] = True
+            h, n, node = h[np.repeat(once, n)], n[once], node[once]
+            if not len(n):
+                continue
+            start = np.cumsum(n) - n
+            x = mix(h)
+            low = np.stack([np.minimum.reduceat(x * k, start) for k in odd]).reshape(n_bands, rows, len(n))
+            keys = np.zeros((n_bands, len(n)), np.uint64) + np.arange(n_bands, dtype=np.uint64)[:, None]
+            for r in range(rows):
+                keys = mix(keys ^ low[:, r])
+            yield keys.ravel(), np.tile(node, n_bands), np.zeros(keys.size, np.int32)
+
+    return stars(texts.select("body", "text"), postings, ranges)
+
+
+def near(texts: DataFrame, first: DataFrame, n_words: int, scratch: Scratch) -> DataFrame:
     """ROWS of natural paragraphs that two texts have, as copies or near copies."""
     found = scratch.table(paragraphs(texts, "body, first, last, n_words, node"), "paragraphs")
-    postings = scratch.table(paragraphs(texts, "node, grp").select("node", F.explode("grp").alias("grp")), "bands")
-    edges = simjoin.stars(postings, scratch)
-    scratch.remove("bands")
+    edges = scratch.table(banded(texts, enough(bands()[0] * n_words // WORDS_A_PARAGRAPH)).distinct(), "ties")
     scratch.settle()
     wanted = scratch.table(edges.selectExpr("explode(array(a, b)) AS node").distinct(), "wanted")
     holders = found.join(simjoin.small(wanted), "node").groupBy("node").agg(F.min("body").alias("body"))
@@ -422,7 +433,9 @@ def repeats(docs: DataFrame) -> DataFrame:
     whole = least.filter((F.col("n_words") >= MIN_WORDS) & F.col("copied")).withColumnRenamed("doc_id", "component_id")
     copies = named.select("body", "doc_id").join(simjoin.small(whole), "body")
     copies = copies.select("body", "doc_id", F.lit(0).cast("long").alias("first"), "last", "n_words", "component_id", (~F.col("doc_id").eqNullSafe(F.col("component_id"))).alias("removed")).distinct()
-    found = scratch.table(copies, "whole").unionByName(exact(texts, first, scratch)).unionByName(near(texts, first, scratch))
+    total = named.agg(F.sum("n_words")).first()[0] or 0
+    found = scratch.table(copies, "whole").unionByName(exact(texts, first, total, scratch)).unionByName(near(texts, first, total, scratch))
+    scratch.only("whole", "exact", "near")
     return by_text(found, ["first", "last", "n_words", "component_id", "removed"], united)
 
 

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import atexit
+import functools
 import gc
+import re
 import tempfile
 import uuid
 
@@ -14,12 +16,19 @@ from roadloom.llm.textops import small_batches
 _open: list[Scratch] = []
 
 
+@functools.lru_cache
+def _own_folder(application: str) -> str:
+    return f"file://{tempfile.mkdtemp(prefix='roadloom-')}"
+
+
 def shared_folder(spark: SparkSession) -> str:
-    """The cluster's ``spark.checkpoint.dir``; where it is unset (tests, a laptop), a temporary folder is set in its place."""
+    """The cluster's ``spark.checkpoint.dir``. Where it is unset, a session in one process (tests, a laptop) has a temporary
+    folder in its place; elsewhere there is no folder that all executors are known to share."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        base = f"file://{tempfile.mkdtemp(prefix='roadloom-')}"
-        spark.conf.set("spark.checkpoint.dir", base)
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        base = _own_folder(spark.sparkContext.applicationId)
     return base.rstrip("/")
 
 
@@ -30,6 +39,7 @@ class Scratch:
         self.spark = spark
         small_batches(spark)
         self.path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+        self.names: set[str] = set()
         if not _open:
             atexit.register(lambda: [s.close() for s in list(_open)])
         _open.append(self)
@@ -37,6 +47,7 @@ class Scratch:
     def table(self, df: DataFrame, name: str) -> DataFrame:
         """Write df, and read it back."""
         at = f"{self.path}/{name}"
+        self.names.add(name)
         df.write.mode("overwrite").parquet(at)
         return self.spark.read.schema(df.schema).parquet(at)
 
@@ -46,6 +57,13 @@ class Scratch:
         at = jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}" if name else self.path)
         at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
+    def only(self, *names: str) -> None:
+        """Delete all tables but these, which the result still reads."""
+        for name in self.names - set(names):
+            self.remove(name)
+        self.names &= set(names)
+        self.settle()
+
     def settle(self) -> None:
         """Let Spark delete the shuffle files of plans that nothing refers to any more; it does so when the driver collects
         its garbage, which a driver with little to do puts off."""

@@ -180,7 +180,7 @@ def link(scratch: Scratch, edges: DataFrame, of: DataFrame) -> DataFrame:
     """
     roots = components(edges, scratch, "clusters")
     clusters = roots.select("node", F.col("root").alias("grp")).unionByName(roots.select(F.col("root").alias("node"), F.col("root").alias("grp")).distinct())
-    slim = scratch.table(of.select("node", "n").join(clusters, "node"), "in-clusters")
+    slim = scratch.table(of.select("node", "n").join(small(scratch.table(clusters, "of-clusters")), "node"), "in-clusters")
     enough = F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int")
     large = scratch.table(slim.groupBy("grp").agg(enough.alias("blocks")).filter("blocks > 1"), "large")
     dealt = slim.join(small(large), "grp", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))

@@ -1,11 +1,12 @@
 import random
-from collections import defaultdict
+from collections import Counter, defaultdict
 from itertools import combinations
 
 import numpy as np
 import pytest
 
-from roadloom.llm import jaccard, simjoin
+from roadloom.llm import components as components_of
+from roadloom.llm import jaccard, ranges, simjoin
 from roadloom.llm.components import components, starred
 from roadloom.llm.scratch import Scratch
 
@@ -99,15 +100,43 @@ def test_packed():
     for top in (2, 10**6, 2**51):
         x = np.sort(rng.integers(0, top, 1000).astype(np.uint64))
         node = rng.integers(-(2**62), 2**62, 1000)
-        again = jaccard.unpack(jaccard.pack(x, node))
-        assert (again[0] == x).all() and (again[1] == node).all()
+        for place in (np.zeros(1000, np.int32), rng.integers(0, 99, 1000).astype(np.int32)):
+            again = ranges.unpack(ranges.pack(x, node, place))
+            assert (again[0] == x).all() and (again[1] == node).all() and (again[2] == place).all()
+
+
+def small_blocks(monkeypatch):
+    monkeypatch.setattr(ranges, "PACKED", 400)
+    monkeypatch.setattr(ranges, "IN_RANGE", 100)
+
+
+def test_what_meets(spark, monkeypatch):
+    """Ties, common postings and counts against brute force, with one very hot key; and no range gets many rows of it."""
+    small_blocks(monkeypatch)
+    rng = random.Random(3)
+    rows = [(rng.choice((1, 1, rng.randrange(2**63), rng.randrange(400) << 50)), rng.randrange(500), rng.randrange(3)) for _ in range(6000)]
+    df = spark.createDataFrame(rows, "x bigint, owner bigint, place int").repartition(5)
+    postings = lambda b: iter([(b.column(0).to_numpy().astype(np.uint64), b.column(1).to_numpy(), b.column(2).to_numpy())])
+    by = defaultdict(set)
+    for x, o, _ in rows:
+        by[x].add(o)
+    got = sorted(map(tuple, ranges.common(df, postings, ranges.enough(6000), ("o", "p")).distinct().collect()))
+    assert got == sorted({(o, p) for x, o, p in rows if len(by[x]) > 1})
+    links = [(a, min(os)) for os in by.values() for a in os]
+    u, v = starred(*np.array(links).T)
+    a, b = np.array(ranges.stars(df, postings, 8).collect()).T
+    assert dict(zip(*(x.tolist() for x in starred(a, b)))) == dict(zip(u.tolist(), v.tolist()))
+    least = Counter(o for x, o in {r[:2] for r in rows} if len(by[x]) > 1)
+    counts = Counter()
+    for r in ranges.counted(df, postings, 8, ("o", "c"), 64).collect():
+        counts[r.o] += r.c
+    assert all(counts[o] >= n for o, n in least.items()) and set(counts) == set(least)
 
 
 def test_large_group(spark, monkeypatch):
     """A large group of near copies: a spanning forest's links, not its pairs; small blocks and ranges give the same result."""
     monkeypatch.setattr(simjoin, "BLOCK", 50)
-    monkeypatch.setattr(jaccard, "PACKED", 5000)
-    monkeypatch.setattr(jaccard, "IN_RANGE", 1000)
+    small_blocks(monkeypatch)
     rng = random.Random(6)
     hot = [f"v{rng.randrange(400)}" for _ in range(60)]
     rows = list(enumerate([edited(rng, hot, rng.choice((0, 1, 2, 2, 3, 4))) for _ in range(600)] + [edited(rng, hot[:30] + hot, 1) for _ in range(60)], 1))
@@ -124,7 +153,9 @@ def test_starred():
     assert sorted(u.tolist()) == list(range(1, 5000)) and not v.any()
 
 
-def test_components(spark):
+@pytest.mark.parametrize("one_task", [components_of.ONE_TASK, 0])
+def test_components(spark, monkeypatch, one_task):
+    monkeypatch.setattr(components_of, "ONE_TASK", one_task)
     rng = random.Random(9)
     links = [(rng.randrange(300), rng.randrange(300)) for _ in range(160)] + [(k, k + 1) for k in range(400, 440)] + [(500, k) for k in range(501, 560)]
     parent = list(range(600))
