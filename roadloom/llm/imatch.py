@@ -5,9 +5,11 @@ The lexicon holds the terms of a band of inverse document frequencies: those tha
 counts add up to the documents' distinct terms, there are at most (distinct terms of a mean document) / LEAST_SHARE terms
 in the band, however large the corpus; it is broadcast if it has LARGEST rows at most, and joined by term otherwise.
 
-Each of LEVELS subsets of the lexicon keeps one term in 2^level, by the term's hash. A document's distinct terms in the lexicon
-are sorted, and of each subset its fingerprint holds a hash of those that it keeps. Subsets of many sizes make for texts of
-all lengths: a short one shows in the large subsets, a long one in the small. Terms are named by 64-bit hashes.
+Each of LEVELS subsets of the lexicon keeps one term in 2^level, by the term's hash. Of each subset, a document's fingerprint
+holds a hash of the distinct terms that it keeps: the exclusive or of the terms' hashes, which is that of the sorted list
+whatever order they come in. (To sort them for each document, exploded terms have to be gathered again, which spilled over 5
+times the input; this needs no list.) Subsets of many sizes make for texts of all lengths: a short one shows in the large
+subsets, a long one in the small. Terms are named by 64-bit hashes.
 
 Only DataFrame functions are used.
 """
@@ -37,7 +39,7 @@ def terms(text: Column) -> Column:
 
 
 def lexicon(docs: DataFrame, total: int, text: str = "text") -> DataFrame:
-    """(term: its hash, subsets: a bit for each subset that keeps it) of the terms in the band."""
+    """(term: its hash, subsets: a bit for each subset that keeps it, h: another hash) of the terms in the band."""
     each = docs.select(F.explode(terms(F.col(text))).alias("term")).filter("term <> ''").select(F.xxhash64("term").alias("term"))
     least = max(LEAST_DOCS, math.ceil(total * LEAST_SHARE))
     found = each.groupBy("term").count().filter(F.col("count").between(least, max(least, int(total * MOST_SHARE))))
@@ -45,17 +47,12 @@ def lexicon(docs: DataFrame, total: int, text: str = "text") -> DataFrame:
     for k, level in enumerate(LEVELS):
         kept = F.xxhash64("term", F.lit(k)).bitwiseAND((1 << level) - 1) == 0
         subsets = subsets + F.when(kept, 1 << k).otherwise(0)
-    return found.select("term", subsets.alias("subsets"))
+    return found.select("term", subsets.alias("subsets"), F.xxhash64("term", F.lit(-1)).alias("h"))
 
 
-def subset_hashes(found: Column) -> Column:
-    """The hash of the terms of each subset, null where there is none. found: sorted structs of term and subsets."""
-
-    def one(k: int) -> Column:
-        mine = F.transform(F.filter(found, lambda x: x["subsets"].bitwiseAND(1 << k) != 0), lambda x: x["term"])
-        return F.when(F.size(mine) > 0, F.xxhash64(mine))
-
-    return F.array(*(one(k) for k in range(len(LEVELS))))
+def subset_hashes(on: Column) -> list[Column]:
+    """Aggregates: the hash of the terms of each subset, null where there is none."""
+    return [F.bit_xor(F.when(on & (F.col("subsets").bitwiseAND(1 << k) != 0), F.col("h"))) for k in range(len(LEVELS))]
 
 
 def fingerprint(hashes: Column) -> Column:
@@ -74,14 +71,14 @@ def likeness(a: Column, b: Column) -> Column:
 def fingerprints(texts: DataFrame, band: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
     """For each row of texts, named by ``keys``, the fingerprint of each of the text columns, as <column>_print."""
     one = F.explode(F.array(*(F.struct(F.lit(k).alias("which"), terms(F.col(c)).alias("terms")) for k, c in enumerate(columns)))).alias("x")
-    # The empty term, which every row has once, keeps rows without terms in the lexicon.
+    # An empty term, which every row has, keeps rows without terms in the lexicon.
     each = texts.select(*keys, one).select(*keys, "x.which", F.explode(F.array_union("x.terms", F.array(F.lit("")))).alias("said"))
-    each = each.withColumn("term", F.xxhash64("said"))
-    nothing = F.col("said") == ""
-    band = band.unionByName(band.sparkSession.range(1).select(F.xxhash64(F.lit("")).alias("term"), F.lit(0).alias("subsets")))
+    each = each.select(*keys, "which", F.xxhash64("said").alias("term"))
+    empty = band.sparkSession.range(1).select(F.xxhash64(F.lit("")).alias("term"), F.lit(0).alias("subsets"), F.lit(0).cast("long").alias("h"))
+    band = band.unionByName(empty)
     each = each.join(F.broadcast(band) if band.count() <= LARGEST else band, "term")
-    found = [F.array_sort(F.collect_list(F.when((F.col("which") == k) & ~nothing, F.struct("term", "subsets")))).alias(c) for k, c in enumerate(columns)]
-    return each.groupBy(*keys).agg(*found).select(*keys, *(fingerprint(subset_hashes(F.col(c))).alias(f"{c}_print") for c in columns))
+    aggregates = [F.array(*subset_hashes(F.col("which") == k)).alias(c) for k, c in enumerate(columns)]
+    return each.groupBy(*keys).agg(*aggregates).select(*keys, *(fingerprint(F.col(c)).alias(f"{c}_print") for c in columns))
 
 
 def neighbours(docs: DataFrame, total: int) -> tuple[DataFrame, Window]:

@@ -2,6 +2,8 @@ import hashlib
 import math
 import re
 from collections import Counter
+from functools import reduce
+from operator import xor
 from statistics import mean
 
 import pytest
@@ -45,23 +47,22 @@ def test_fingerprint_is_of_band_terms(spark):
 
 
 def brute_prints(docs, texts):
-    """Fingerprints by sorting and hashing in DuckDB-free Python, from hashes that Spark gives."""
+    """Fingerprints in Python, from the terms' hashes that Spark gives."""
     spark = docs.sparkSession
     rows = [r.text or "" for r in docs.select("text").collect()]
     said = lambda t: {w for w in re.split(r"[\W_]+", t.lower()) if w}
     frequency = Counter(w for t in rows for w in said(t))
     least = max(imatch.LEAST_DOCS, math.ceil(len(rows) * imatch.LEAST_SHARE))
     band = [w for w, n in frequency.items() if least <= n <= max(least, int(len(rows) * imatch.MOST_SHARE))]
-    hashed = spark.createDataFrame([(w,) for w in band] or [("",)], "w string").select("w", F.xxhash64("w").alias("h"))
-    hashed = hashed.select("w", "h", *(F.xxhash64("h", F.lit(k)).alias(f"k{k}") for k in range(len(imatch.LEVELS)))).collect()
+    hashed = spark.createDataFrame([(w,) for w in band], "w string").select("w", F.xxhash64("w").alias("t"))
+    hashed = hashed.select("w", F.xxhash64("t", F.lit(-1)).alias("h"), *(F.xxhash64("t", F.lit(k)).alias(f"k{k}") for k in range(len(imatch.LEVELS)))).collect()
     by = {r.w: r for r in hashed}
-    lists = []
-    for t in texts:
-        mine = sorted((by[w] for w in said(t) if w in by), key=lambda r: r.h)
-        lists += [[r.h for r in mine if r[f"k{k}"] % 2**level == 0] for k, level in enumerate(imatch.LEVELS)]
-    df = spark.createDataFrame(list(enumerate(lists)), "n bigint, l array<bigint>")
-    out = [r.x for r in df.orderBy("n").select(F.when(F.size("l") > 0, F.lpad(F.lower(F.hex(F.xxhash64("l"))), 16, "0")).otherwise("-").alias("x")).collect()]
-    return [":".join(out[k : k + 16]) for k in range(0, len(out), 16)]
+
+    def one(t, k, level):
+        mine = [by[w].h for w in said(t) if w in by and by[w][f"k{k}"] % 2**level == 0]
+        return f"{reduce(xor, mine) % 2**64:016x}" if mine else "-"
+
+    return [":".join(one(t, k, level) for k, level in enumerate(imatch.LEVELS)) for t in texts]
 
 
 @pytest.mark.parametrize("largest", [1 << 20, 10])
