@@ -125,17 +125,24 @@ def start_turns(lines_: DataFrame, found: DataFrame) -> DataFrame:
 
 def roundabout_exits(lines_: DataFrame) -> DataFrame:
     """(entry, line, exit, steps): from each node on a roundabout, the lines that leave it, going around once at most; steps are
-    the fewest lines on the roundabout before."""
+    the fewest lines on the roundabout before. Roundabouts may have any number of lines: the recursion's limits follow them."""
+    spark = lines_.sparkSession
     d = directed(lines_)
-    ring = d.filter("direction = 'roundabout'").select(F.col("start").alias("entry"), F.col("stop").alias("at")).distinct()
-    nodes = ring.select("entry").unionByName(ring.select(F.col("at").alias("entry"))).distinct()
-    reach = nodes.select("entry", F.col("entry").alias("at"), F.lit(0).alias("steps")).unionByName(ring.filter("entry <> at").withColumn("steps", F.lit(1))).persist()
-    size, before = reach.count(), 0
-    while size > before:  # twice as far each time: a roundabout of n nodes takes log2(n) turns
-        more = reach.select("entry", F.col("at").alias("mid"), F.col("steps").alias("first")).join(reach.select(F.col("entry").alias("mid"), "at", F.col("steps").alias("second")), "mid")
-        further = more.groupBy("entry", "at").agg(F.min(F.col("first") + F.col("second")).alias("steps")).persist()
-        before, size = size, further.count()
-        reach.unpersist()
-        reach = further
-    leave = d.filter("direction <> 'roundabout'").select(F.col("start").alias("at"), "line", F.col("stop").alias("exit"))
-    return reach.join(leave, "at").join(ring.select("entry").distinct(), "entry", "left_semi").groupBy("entry", "line", "exit").agg(F.min("steps").alias("steps"))
+    ring = d.filter("direction = 'roundabout'").select("start", "stop").distinct()
+    leave = d.filter("direction <> 'roundabout'").select("start", "line", "stop")
+    n = ring.count()
+    limit = "spark.sql.cteRecursionRowLimit"
+    if n * n > int(spark.conf.get(limit)) >= 0:
+        spark.conf.set(limit, -1)
+    return spark.sql(
+        f"""
+      WITH RECURSIVE around (entry, here, steps, seen) MAX RECURSION LEVEL {n + 1} AS (
+        SELECT start, start, 0, array(start) FROM (SELECT DISTINCT start FROM {{ring}})
+        UNION ALL
+        SELECT a.entry, r.stop, a.steps + 1, array_append(a.seen, r.stop) FROM around a JOIN {{ring}} r ON a.here = r.start
+        WHERE NOT array_contains(a.seen, r.stop)
+      )
+      SELECT a.entry, l.line, l.stop AS exit, min(a.steps) AS steps FROM around a JOIN {{leave}} l ON a.here = l.start GROUP BY a.entry, l.line, l.stop""",
+        ring=ring,
+        leave=leave,
+    )

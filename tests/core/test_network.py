@@ -1,9 +1,13 @@
 """Small networks from JSON: the graph, restrictions, nearest points, areas, caches, sinks, rules."""
 
 import json
+import math
+import random
 import xml.etree.ElementTree as ET
 import zlib
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -33,18 +37,38 @@ def load(spark, tmp_path):
     return read
 
 
-ONE = ([(i, float(i), float(i)) for i in (1, 2, 3, 4, 5, 6, 7, 8, 9, 11, 12)], [(1234, [1, 2, 3, 4], {}), (5367, [5, 3, 6, 7], {}), (489, [4, 8, 9], {}), (68, [6, 8], {}), (1112, [11, 12], {})])
-THREE = ([(i, float(i), float(i)) for i in (1, 3, 4, 5, 6, 7)], [(13, [1, 3], {}), (34, [3, 4], {}), (53, [5, 3], {}), (36, [3, 6], {}), (54, [5, 4], {}), (64, [6, 4], {}), (576, [5, 7, 6], {})])
+#: A harbour town, and a crossing of four arms; see test_walker.
+TOWN = ([(i, 57.0 + i * 1e-3, 24.0 + i % 7 * 1e-3) for i in (10, 20, 21, 30, 31, 32, 40, 50, 51, 90, 91)], [(701, [10, 20, 30, 40, 50], {}), (702, [20, 21, 31], {}), (703, [30, 31, 32], {}), (704, [50, 51], {}), (705, [90, 91], {})])
+CROSS = ([(i, 57.0 + i * 1e-3, 24.0 + i * i * 1e-4) for i in (0, 5, 6, 7, 8, 9)], [(71, [7, 0], {}), (72, [0, 8], {}), (73, [0, 9], {}), (74, [0, 6], {}), (75, [8, 5, 9], {})])
 
 
 @pytest.mark.parametrize("lines", [False, True])
 def test_graph(load, lines):
-    net = load(*ONE, lines=lines)
+    net = load(*TOWN, lines=lines)
     found = graph.lines(net.ways, net.nodes)
-    assert found.count() == 10
-    assert {r.node for r in graph.degrees(found).filter("junction").collect()} == {3, 6, 8}
-    near = {r.other for r in graph.adjacency(found).filter("node = 3").collect()}
-    assert near == {2, 4, 5, 6}
+    assert found.count() == sum(len(ns) - 1 for _, ns, _ in TOWN[1])
+    met = [n for _, ns, _ in TOWN[1] for n in (ns[0], ns[-1], *ns[1:-1], *ns[1:-1])]
+    assert {r.node for r in graph.degrees(found).filter("junction").collect()} == {n for n in met if met.count(n) > 2} == {20, 30, 31}
+    assert {r.other for r in graph.adjacency(found).filter("node = 30").collect()} == {20, 40, 31}
+
+
+def test_ways_of_many_nodes(spark):
+    """Lines of neighbouring ways have numbers of their own, however many nodes a way has."""
+    nodes = spark.range(2500).selectExpr("id", "0D AS lat", "0D AS lon")
+    ways = spark.range(2).selectExpr("id", "sequence(0L, 2499L) AS nodes", "map('highway', 'primary') AS tags")
+    found = graph.lines(ways, nodes)
+    assert found.select("line").distinct().count() == found.count() == 2 * 2499
+
+
+def test_long_roundabout(spark):
+    """Exits of a roundabout of 150 points, against counting."""
+    n = 150
+    nodes = spark.range(2 * n).selectExpr("id", "0D AS lat", "0D AS lon")
+    ring = [(1000, [*range(n), 0], {"highway": "primary", "junction": "roundabout"})]
+    arms = [(k, [k, n + k], {"highway": "primary"}) for k in range(0, n, 7)]
+    found = graph.roundabout_exits(graph.lines(spark.createDataFrame(ring + arms, "id long, nodes array<long>, tags map<string, string>"), nodes))
+    got = {(r.entry, r.exit): r.steps for r in found.collect()}
+    assert got == {(e, n + k): (k - e) % n for e in range(n) for k in range(0, n, 7)}
 
 
 def test_missing_node_keeps_what_is_before(load):
@@ -85,52 +109,68 @@ def test_bad_elements(spark, tmp_path):
         osm_json.read(spark, "map.txt")
 
 
-def turn(kind, to, via=(("node", 3, "via"),)):
-    return ([("way", 13, "from"), *via, ("way", to, "to")], {"type": "restriction", "restriction": kind})
+def turn(kind, to, via=(("node", 0, "via"),)):
+    return ([("way", 71, "from"), *via, ("way", to, "to")], {"type": "restriction", "restriction": kind})
 
 
 @pytest.mark.parametrize(
     "relations,stops",
     [
-        ([turn("no_left_turn", 36)], {4, 5}), ([turn("no_right_turn", 53)], {4, 6}), ([turn("no_u_turn", 13)], {4, 5, 6}), ([turn("only_straight_on", 53)], {5}),
-        ([turn("only_left_turn", 36), turn("no_left_turn", 36)], set()), ([turn("only_left_turn", 36), turn("only_right_turn", 53)], {5, 6}), ([turn("no_entry", 34), turn("no_exit", 53)], {6}),
-        ([turn("no_nonsense", 34)], {4, 5, 6}), ([turn("no_left_turn", 36, ())], {4, 5, 6}), ([turn("no_left_turn", 36, (("node", 3, "via"), ("node", 4, "via")))], {4, 5, 6}), ([turn("no_left_turn", 99)], {4, 5, 6}),
+        ([], {8, 9, 6}), ([turn("no_left_turn", 72)], {9, 6}), ([turn("no_u_turn", 71)], {8, 9, 6}), ([turn("only_right_turn", 74)], {6}), ([turn("only_straight_on", 73), turn("only_right_turn", 74)], {9, 6}),
+        ([turn("only_left_turn", 72), turn("no_left_turn", 72)], set()), ([turn("no_entry", 72), turn("no_exit", 74)], {9}), ([turn("no_parking", 72)], {8, 9, 6}), ([turn("no_left_turn", 72, ())], {8, 9, 6}),
+        ([turn("no_left_turn", 72, (("node", 0, "via"), ("node", 8, "via")))], {8, 9, 6}), ([turn("no_left_turn", 12345)], {8, 9, 6}),
     ],
 )
 def test_legal_turns(load, relations, stops):
-    net = load(*THREE, [(100 + k, ms, tags) for k, (ms, tags) in enumerate(relations)])
+    net = load(*CROSS, [(100 + k, ms, tags) for k, (ms, tags) in enumerate(relations)])
     found = graph.lines(net.ways, net.nodes)
     turns = graph.legal_turns(found, graph.restrictions(net.relations, found, net.nodes))
-    assert {r.stop for r in turns.filter("start = 1 and via = 3").collect()} == stops
+    assert {r.stop for r in turns.filter("start = 7 and via = 0").collect()} == stops
 
 
-PLACES = {1: (57.1740, 24.8630), 2: (57.1640, 24.8652), 3: (57.1617, 24.8726)}
+def metres(a, b):
+    """By the law of cosines."""
+    p, q, d = *(math.radians(x) for x in (a[0], b[0])), math.radians(b[1] - a[1])
+    return 6371008.8 * math.acos(min(1, math.sin(p) * math.sin(q) + math.cos(p) * math.cos(q) * math.cos(d)))
 
 
-@pytest.mark.parametrize(
-    "ids,at,want",
-    [([2], (57.1670, 24.8658), 2), ([1, 2], (57.1670, 24.8658), 2), ([1, 2, 3], (57.163429387682214, 24.87742424011231), 3), ([1, 2], (57.193343289610794, 24.872531890869144), 1)],
-)
-def test_nearest(spark, load, ids, at, want):
-    net = load([(i, *PLACES[i]) for i in ids], [(100 + i, [i, i], {}) for i in ids])
+def spots(n, seed):
+    rng = random.Random(seed)
+    return {k: (48.0 + rng.random() * 0.15, 11.0 + rng.random() * 0.15) for k in range(n)}
+
+
+def test_nearest(spark, load):
+    places, asked = spots(40, 1), spots(25, 2)
+    net = load([(i, *p) for i, p in places.items()], [(100 + i, [i, i], {}) for i in places])
     points = proximity.grid(net.nodes, graph.lines(net.ways, net.nodes))
-    q = spark.createDataFrame([("q", *at)], "query_id string, lat double, lon double")
-    assert proximity.nearest(q, points).first().id == want
+    q = spark.createDataFrame([(str(k), *p) for k, p in asked.items()], "query_id string, lat double, lon double")
+    got = {int(r.query_id): r.id for r in proximity.nearest(q, points).collect()}
+    assert got == {k: min(places, key=lambda i: metres(p, places[i])) for k, p in asked.items()}
+    assert proximity.nearest(spark.createDataFrame([("far", 48.5, 11.0)], q.schema), points).count() == 0  # over 20 cells away
 
 
 def test_nearest_avoids(spark, load):
-    net = load([(i, *PLACES[i]) for i in (1, 2, 3)], [(101, [1, 1], {}), (102, [2, 2], {}), (103, [3, 3], {"highway": "trunk"})])
+    places = spots(30, 3)
+    kind = lambda i: ("trunk", "primary", "residential")[i % 3]
+    net = load([(i, *p) for i, p in places.items()], [(100 + i, [i, i], {"highway": kind(i)}) for i in places])
     points = proximity.grid(net.nodes, graph.lines(net.ways, net.nodes))
-    q = spark.createDataFrame([("q", 57.163429387682214, 24.87742424011231)], "query_id string, lat double, lon double")
+    at = (48.07, 11.07)
+    q = spark.createDataFrame([("q", *at)], "query_id string, lat double, lon double")
+    best = lambda ok: min((i for i in places if kind(i) in ok), key=lambda i: metres(at, places[i]))
     own = rules.from_dict({"highway": {"trunk": {"action": "avoid"}}})
-    assert proximity.nearest(q, points, own).first().id == 2
-    assert proximity.nearest(q, points, None, False, ["trunk"]).first().id == 3
+    assert proximity.nearest(q, points, own).first().id == best({"primary", "residential"})
+    assert proximity.nearest(q, points, None, False, ["trunk"]).first().id == best({"trunk"})
+    assert proximity.nearest(q, points, own, False, ["trunk", "primary"]).first().id == best({"primary"})
     assert proximity.whitelist(own, ["trunk"]) is None
 
 
-@pytest.mark.parametrize("lat,lon,want", [(21.211, 54.1113, (2121, 5411)), (21.21123, 54.111343, (2121, 5411)), (0.0, 0.0, (0, 0)), (-90.0, -180.0, (-9000, -18000)), (90.0, 180.0, (9000, 18000))])
-def test_cells(spark, lat, lon, want):
-    assert tuple(spark.range(1).select(geo.cell(F.lit(lat)), geo.cell(F.lit(lon))).first()) == want
+def test_cells(spark):
+    rng = random.Random(4)
+    made = [(rng.uniform(-90, 90), rng.uniform(-180, 180)) for _ in range(200)] + [(0.0, 0.0), (-90.0, -180.0), (90.0, 180.0)]
+    rows = spark.createDataFrame(made, "lat double, lon double").select("lat", "lon", geo.cell(F.col("lat")).alias("y"), geo.cell(F.col("lon")).alias("x")).collect()
+    for r in rows:
+        assert abs(r.y - r.lat * 100) <= 0.502 and abs(r.x - r.lon * 100) <= 0.502
+    assert (rows[-2].y, rows[-2].x, rows[-1].y, rows[-1].x) == (-9000, -18000, 9000, 18000)
 
 
 def test_rings(spark):
@@ -140,15 +180,49 @@ def test_rings(spark):
 
 
 def test_distances(spark):
-    q, want = (57.163429387682214, 24.87742424011231), {1: 1467.6, 2: 739.2}
-    for k, metres in want.items():
-        got = spark.range(1).select(geo.haversine(*map(F.lit, (*q, *PLACES[k])))).first()[0]
-        assert abs(got - metres) < 15
+    pairs = list(zip(spots(50, 5).values(), spots(50, 6).values()))
+    rows = spark.createDataFrame([(*a, *b) for a, b in pairs], "a double, b double, c double, d double")
+    got = [r[0] for r in rows.select(geo.haversine(*map(F.col, "abcd"))).collect()]
+    assert all(abs(x - metres(*p)) < 0.5 for x, p in zip(got, pairs))
     to = geo.destination(F.lit(57.0), F.lit(24.0), F.lit(90.0), F.lit(10000.0))
     r = spark.range(1).select(*to, geo.haversine(F.lit(57.0), F.lit(24.0), *to), geo.bearing(F.lit(57.0), F.lit(24.0), *to)).first()
     assert abs(r[2] - 10000) < 1e-3 and abs(r[3] - 90) < 1e-6
 
 
+def brute_place(rings, y, x):
+    """Whether a point is in the first ring and no other, and how far in metres the nearest edge is, edge by edge."""
+    within, best = [], math.inf
+    for ring in rings:
+        odd = False
+        for (y1, x1), (y2, x2) in zip(ring, ring[1:] + ring[:1]):
+            odd ^= (y1 > y) != (y2 > y) and x < (x2 - x1) * (y - y1) / (y2 - y1) + x1
+            c = math.cos(math.radians(y))
+            a, b = ((x1 - x) * c, y1 - y), ((x2 - x) * c, y2 - y)
+            d = (b[0] - a[0], b[1] - a[1])
+            size = d[0] ** 2 + d[1] ** 2
+            t = min(1, max(0, -(a[0] * d[0] + a[1] * d[1]) / size)) if size else 0
+            best = min(best, math.hypot(a[0] + t * d[0], a[1] + t * d[1]))
+        within.append(odd)
+    return within[0] and not any(within[1:]), math.radians(best) * 6371008.8
+
+
+def test_placed():
+    rng = random.Random(7)
+    rings, at = [], []
+    for _ in range(200):
+        turn = sorted(rng.uniform(0, 2 * math.pi) for _ in range(rng.randrange(3, 9)))
+        star = lambda r: [(57 + r * rng.uniform(0.5, 1) * math.sin(a), 24 + r * rng.uniform(0.5, 1) * math.cos(a)) for a in turn]
+        closed = lambda ring: ring + ring[:1]
+        rings.append([closed(star(0.01)), *(closed(star(0.003)) for _ in range(rng.randrange(3)))])
+        at.append((57 + rng.uniform(-0.01, 0.01), 24 + rng.uniform(-0.01, 0.01)))
+    kind = pa.list_(pa.list_(pa.struct([("lat", pa.float64()), ("lon", pa.float64())])))
+    column = pa.array([[[{"lat": y, "lon": x} for y, x in r] for r in rs] for rs in rings], kind)
+    inside, edge = areas.placed(*np.array(at).T, column)
+    for k, (rs, p) in enumerate(zip(rings, at)):
+        want = brute_place(rs, *p)
+        assert inside[k] == want[0] and abs(edge[k] - want[1]) < 1e-6
+
+
 def test_areas(spark, load):
     square = [(1, 57.0, 24.0), (2, 57.0, 24.01), (3, 57.01, 24.01), (4, 57.01, 24.0), (5, 57.002, 24.002), (6, 57.002, 24.004), (7, 57.004, 24.004), (8, 57.004, 24.002)]
     ring = ([("way", 10, "outer"), ("way", 11, "outer"), ("way", 12, "inner")], {"landuse": "residential"})
@@ -191,6 +265,12 @@ def test_hdbscan():
     assert clusters.hdbscan(points[:1]).tolist() == [-1] and clusters.hdbscan(np.zeros((0, 2))).tolist() == []
 
 
+def test_requests_are_clustered_apart(spark):
+    rows = [(f"{r}/{k}", r, [float(k % 2 * 10), 0.001 * k]) for r in range(3) for k in range(12)]
+    got = {r.id: r.label for r in clusters.labelled(spark.createDataFrame(rows, "id string, r long, vector array<double>"), "id", "vector", 0.1, by="r").collect()}
+    assert len(got) == 36 and all({got[f"{r}/{k}"] for k in range(j, 12, 2)} == {got[f"{r}/{j}"]} for r in range(3) for j in (0, 1))
+
+
 def test_labelled_rows_keep_their_places(spark):
     rows = [(k, [float(k % 2 * 10), 0.001 * k]) for k in range(12)] + [(50, [float("nan"), 1.0]), (51, [1.0])]
     got = {r.id: r.label for r in clusters.labelled(spark.createDataFrame(rows, "id long, vector array<double>"), "id", "vector", 0.1).collect()}
@@ -301,3 +381,37 @@ def test_pbf(spark, tmp_path):
     assert found["way", "100"].nodes == ["7", "8"] and found["relation", "200"].members[0].role == "via"
     net = osm_json.read(spark, str(path))
     assert graph.lines(net.ways, net.nodes).count() == 1 and graph.restrictions(net.relations, graph.lines(net.ways, net.nodes), net.nodes).count() == 0
+
+
+def pbf_file(path, nodes, ways, relations=()):
+    """A PBF extract of nodes (id, lat, lon), ways (id, nodes, tags) and relations (id, members, tags)."""
+    strings = [b""]
+
+    def text(t):
+        if t.encode() not in strings:
+            strings.append(t.encode())
+        return strings.index(t.encode())
+
+    def running(values):
+        return packs(zig(b - a) for a, b in zip([0, *values], values))
+
+    tagged = lambda tags: field(2, packs([text(k) for k in tags])) + field(3, packs([text(v) for v in tags.values()]))
+    dense = field(1, running([n[0] for n in nodes])) + field(8, running([round(n[1] * 1e7) for n in nodes])) + field(9, running([round(n[2] * 1e7) for n in nodes]))
+    groups = [field(2, field(2, dense))]
+    groups += [field(2, field(3, field(1, i) + tagged(tags) + field(8, running(ns)))) for i, ns, tags in ways]
+    groups += [field(2, field(4, field(1, i) + tagged(tags) + field(8, packs([text(role) for _, role in ms])) + field(9, running([r for r, _ in ms])) + field(10, packs([1] * len(ms))))) for i, ms, tags in relations]
+    block = field(1, b"".join(field(1, t) for t in strings)) + b"".join(groups)
+    blob = field(2, len(block)) + field(3, zlib.compress(block))
+    head = field(1, b"OSMData") + field(3, len(blob))
+    path.write_bytes(len(head).to_bytes(4, "big") + head + blob)
+
+
+def test_pbf_areas(spark, tmp_path):
+    """What is read of an extract: usable roads and their nodes alone, flagged by the areas around them."""
+    box = lambda k, y, x, size: [(k, y, x), (k + 1, y, x + size), (k + 2, y + size, x + size), (k + 3, y + size, x)]
+    nodes = [(1, 57.005, 24.005), (2, 57.105, 24.105), (3, 57.2, 24.2), (4, 57.3, 24.3), *box(10, 57.0, 24.0, 0.01), *box(20, 57.1, 24.1, 0.01)]
+    ways = [(100, [1, 2, 3], {"highway": "primary"}), (101, [3, 4], {"highway": "primary", "access": "no"}), (102, [4, 1], {"name": "no road"}), (110, [10, 11, 12, 13, 10], {"landuse": "residential"}), (120, [20, 21, 22], {}), (121, [22, 23, 20], {})]
+    pbf_file(tmp_path / "m.pbf", nodes, ways, [(200, [(120, "outer"), (121, "outer")], {"landuse": "military", "type": "multipolygon"})])
+    net = osm_json.read(spark, str(tmp_path / "m.pbf"))
+    assert [r.id for r in net.ways.collect()] == [100] and net.relations.count() == 0
+    assert {r.id: (r.residential, r.nogo) for r in net.nodes.collect()} == {1: (True, False), 2: (False, True), 3: (False, False)}
