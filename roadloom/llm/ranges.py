@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 #: Postings that a task packs at once, and that a range has about.
-PACKED, IN_RANGE = 1 << 21, 1 << 19
+PACKED, IN_RANGE = 1 << 19, 1 << 18
 
 Postings = tuple[np.ndarray, np.ndarray, np.ndarray]  # keys (unsigned), owners, places
 Columns = tuple[np.ndarray, np.ndarray]
