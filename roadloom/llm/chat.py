@@ -99,15 +99,15 @@ def format_conversations(turns: DataFrame, batch_bytes: int = 2 << 20) -> DataFr
         for b in batches:
             if not b.num_rows:
                 continue
+            new = changes(b.column(0))
+            new[0] = not held or not held[-1].column(0)[-1].equals(b.column(0)[0])
+            if size >= batch_bytes and new.any():  # the last conversation may go on
+                cut = int(np.flatnonzero(new)[-1])
+                if cut or held:
+                    yield done(pa.Table.from_batches([*held, b.slice(0, cut)]))
+                held, size, b = [], 0, b.slice(cut)
             held.append(b)
             size += b.nbytes
-            if size < batch_bytes:
-                continue
-            t = pa.Table.from_batches(held)
-            cut = int(np.flatnonzero(changes(t.column(0).combine_chunks()))[-1])  # the last conversation may go on
-            if cut:
-                yield done(t.slice(0, cut))
-                held, size = t.slice(cut).combine_chunks().to_batches(), 0
         if held:
             yield done(pa.Table.from_batches(held))
 
