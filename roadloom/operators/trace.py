@@ -24,9 +24,9 @@ def read(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.schema(TRACE_TABLES[name]).option("escape", '"').csv(f"{folder}/{FILES[name]}-*.csv", header=True)
 
 
-def write(trace: DataFrame, name: str, folder: str) -> None:
-    """A trace table as a folder of CSV files that read() finds."""
-    trace.write.mode("overwrite").option("escape", '"').csv(f"{folder}/{FILES[name]}-0.csv", header=True)
+def write(trace: DataFrame, name: str, folder: str, part: int = 0) -> None:
+    """A part of a trace table, as a folder of CSV files that read() finds."""
+    trace.write.mode("overwrite").option("escape", '"').csv(f"{folder}/{FILES[name]}-{part}.csv", header=True)
 
 
 def page(table: DataFrame, itinerary_id: str | None = None, step_num: int | None = None, number: int = 0, size: int = PAGE, then: list | None = None) -> DataFrame:

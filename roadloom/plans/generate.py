@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from roadloom.operators import clusters, graph, itineraries, navigate, proximity, routes
+from roadloom.operators import clusters, graph, itineraries, navigate, proximity, routes, trace
 from roadloom.operators.itineraries import WAYPOINT_HIGHWAYS
 from roadloom.plans.networks import Network
 from roadloom.sources.rules import Rules
@@ -51,12 +51,13 @@ def vectors(trips: DataFrame, nodes: DataFrame) -> DataFrame:
     return each.groupBy("itin_id").agg(F.flatten(F.transform(rows, lambda p: F.array(p["lat"], p["lon"]))).alias("vector"))
 
 
-def generate(roads: Roads, rules: Rules, start: tuple[float, float], finish: tuple[float, float] | None = None, towards: float = 0.0, metres: float = 0.0) -> DataFrame:
+def generate(roads: Roads, rules: Rules, start: tuple[float, float], finish: tuple[float, float] | None = None, towards: float = 0.0, metres: float = 0.0, trace_to: str | None = None) -> DataFrame:
     """(route_id, coords, len_m, junctions, highway, surface, smoothness, score, label): the best routes from start to
     finish, or, without a finish, of a round trip of some metres towards a bearing.
 
     Rounds are tried with and without residential waypoints, round trips also in other directions, until enough routes are
-    found. A round's itineraries are deduped by clusters of their waypoints before they are searched.
+    found. A round's itineraries are deduped by clusters of their waypoints before they are searched. trace_to: a folder that
+    gets every decision of the searches.
     """
     spark = roads.nodes.sparkSession
     points = roads.points().persist()
@@ -65,7 +66,7 @@ def generate(roads: Roads, rules: Rules, start: tuple[float, float], finish: tup
     compact = navigate.compact(roads.nodes, roads.lines, roads.restrictions)
     retry = rules.generation.route_generation_retry
     turns = [0.0] + (retry.round_trip_adjustment_bearing_deg if finish is None else [])
-    found, enough = None, 0
+    found, enough, rounds = None, 0, 0
     for avoid in retry.avoid_residential:
         for turn in turns:
             if enough and enough >= retry.trigger_min_route_count:
@@ -73,7 +74,14 @@ def generate(roads: Roads, rules: Rules, start: tuple[float, float], finish: tup
             trips = itineraries.round_trip(begin, towards, metres, points, rules, avoid, turn) if end is None else itineraries.start_finish(begin, end, points, rules, avoid)
             trips = trips.dropDuplicates(["itin_id"]).persist()
             labels = clusters.labelled(vectors(trips, points), "itin_id", "vector", clusters.ITINERARY_EPSILON)
-            searched = navigate.search(clusters.deduped(trips, labels), compact, rules).persist()
+            chosen = clusters.deduped(trips, labels)
+            searched = navigate.search(chosen, compact, rules).persist()
+            if trace_to:
+                told = navigate.traced(chosen, compact, rules).persist()
+                for name in navigate.TRACE_TABLES:
+                    trace.write(navigate.trace_table(told, name), name, trace_to, rounds)
+                told.unpersist()
+            rounds += 1
             enough += searched.filter("status = 'finished'").select("itin_id").distinct().count()
             named = searched.withColumn("itin_id", F.concat(F.lit(f"{int(avoid)}/{turn:g}/"), "itin_id"))
             found = named if found is None else found.unionByName(named)

@@ -1,5 +1,8 @@
 import argparse
 import json
+import sys
+import threading
+from pathlib import Path
 
 import pytest
 
@@ -21,3 +24,22 @@ def test_schema(tmp_path):
 def test_errors_are_answers():
     said = json.loads(cli.answer(None, {"id": "x", "start": [1, 2], "rules": {"nope": 1}}))
     assert said["id"] == "x" and "nope" in said["result"]["error"]["message"]
+
+
+def test_client_and_server():
+    with cli.serve(None, "127.0.0.1", 0) as server:
+        threading.Thread(target=server.serve_forever, daemon=True).start()
+        said = json.loads(cli.ask("127.0.0.1", server.server_address[1], {"id": "y", "start": [1, 2], "rules": {"nope": 1}}))
+        assert said["id"] == "y" and "nope" in said["result"]["error"]["message"]
+        server.shutdown()
+
+
+def test_entry_without_the_optional_queries(monkeypatch):
+    sys.path.insert(0, str(Path(__file__).parents[2]))
+    import __spark_entry__ as entry
+
+    monkeypatch.setitem(sys.modules, "roadloom.llm.queries", None)
+    assert "edges" in entry.queries() and "op1_bpe" not in entry.queries() and "edges" in entry.oracle_sql()
+    monkeypatch.undo()
+    monkeypatch.setitem(sys.modules, "corpus_pipeline", None)
+    assert "pipeline" not in entry.queries()

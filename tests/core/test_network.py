@@ -3,6 +3,9 @@
 import json
 import math
 import random
+import threading
+import urllib.error
+import urllib.request
 import xml.etree.ElementTree as ET
 import zlib
 
@@ -11,12 +14,14 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from roadloom import cli
 from roadloom.functions import geo
 from roadloom.functions import tags as T
 from roadloom.operators import areas, clusters, graph, itineraries, navigate, proximity, routes, trace
 from roadloom.plans.generate import NoRoad, Roads, generate, snap
 from roadloom.plans.networks import lattice
 from roadloom.sources import cache, osm_json, pbf, rules, sinks
+from roadloom.streaming import trace_stream
 
 
 def document(nodes, ways, relations=()):
@@ -323,10 +328,22 @@ def test_trace(spark, tmp_path):
     chosen = {r.step_num: r.chosen_fork_point_id for r in navigate.trace_table(told, "step_results").collect() if r.result == "ForkChoice"}
     assert {r.step_num: r.end_point_id for r in forks.collect() if r.end_point_id is not None}.keys() == chosen.keys()
     assert navigate.trace_table(told, "itineraries").first().waypoints_count == 1
-    steps = navigate.trace_table(told, "steps")
-    steps.coalesce(1).write.option("escape", '"').csv(str(tmp_path / "t"), header=True)
-    next((tmp_path / "t").glob("part-*.csv")).rename(tmp_path / "DebugStreamSteps-0.csv")
-    assert trace.read(spark, str(tmp_path), "steps").count() == steps.count()
+    for name in navigate.TRACE_TABLES:
+        table = navigate.trace_table(told, name)
+        trace.write(table, name, str(tmp_path))
+        assert sorted(map(str, trace.read(spark, str(tmp_path), name).collect())) == sorted(map(str, table.collect()))
+    box = trace.extent(trace.read(spark, str(tmp_path), "itineraries")).first()
+    assert box.min_lat < box.lat < box.max_lat and box.min_lon < box.lon < box.max_lon
+    with cli.view(spark, str(tmp_path), "127.0.0.1", 0) as server:
+        threading.Thread(target=server.serve_forever, daemon=True).start()
+        get = lambda path: json.load(urllib.request.urlopen(f"http://127.0.0.1:{server.server_address[1]}{path}"))
+        assert get("/steps?itinerary_id=0-40-100&step_num=2")[0]["step_num"] == 2 and len(get("/weights?page=0")) == trace.PAGE
+        assert "steps" in get("/")["tables"]
+        with pytest.raises(urllib.error.HTTPError):
+            get("/nothing")
+        server.shutdown()
+    rows = trace_stream.progress(trace.read(spark, str(tmp_path), "step_results"))
+    assert sum(r.n for r in rows.collect()) == navigate.trace_table(told, "step_results").count()
 
 
 def test_scores(spark):
