@@ -60,6 +60,8 @@ def generate(roads: Roads, rules: Rules, start: tuple[float, float], finish: tup
     gets every decision of the searches.
     """
     spark = roads.nodes.sparkSession
+    # One region's graph, which every step below reads.
+    roads = Roads(roads.nodes.persist(), roads.lines.persist(), roads.restrictions, roads.degrees.persist())
     points = roads.points().persist()
     begin = snap(points, *start, rules)
     end = None if finish is None else snap(points, *finish, rules)

@@ -78,9 +78,9 @@ def _tag_map(pairs: list) -> F.Column:
     return F.map_filter(made, lambda k, v: v.isNotNull())
 
 
-def _ways(spark: SparkSession, way_nodes: str, way_tags: str) -> DataFrame:
+def _ways(spark: SparkSession, way_nodes: str, way_tags: str, made=lambda rows: rows) -> DataFrame:
     points = spark.sql(way_nodes).groupBy("way_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "node"))), lambda x: x["node"]).alias("nodes"))
-    tags = spark.sql(way_tags).select("id", _tag_map([(t, F.col(t)) for t in TAGS]).alias("tags"))
+    tags = made(spark.sql(way_tags)).select("id", _tag_map([(t, F.col(t)) for t in TAGS]).alias("tags"))
     return points.join(tags, points.way_id == tags.id).select("id", "nodes", "tags")
 
 
@@ -98,9 +98,14 @@ def order_network(spark: SparkSession, sf_dir: str) -> Network:
 NO_RELATIONS = "id bigint, members array<struct<type: string, ref: bigint, role: string>>, tags map<string, string>"
 
 
+def _apart(rows: DataFrame) -> DataFrame:
+    """rows by id, through an aggregate: else the optimizer copies their expressions into all that is computed from them."""
+    return rows.groupBy("id").agg(*(F.first(c).alias(c) for c in rows.columns if c != "id"))
+
+
 def town(spark: SparkSession, sf_dir: str) -> Network:
     _views(spark, sf_dir, ("customer",))
-    return Network(spark.sql(TOWN_NODES_SQL), _ways(spark, TOWN_WAY_NODES_SQL, TOWN_WAY_TAGS_SQL), spark.createDataFrame([], NO_RELATIONS))
+    return Network(_apart(spark.sql(TOWN_NODES_SQL)), _ways(spark, TOWN_WAY_NODES_SQL, TOWN_WAY_TAGS_SQL, _apart), spark.createDataFrame([], NO_RELATIONS))
 
 
 def lattice(spark: SparkSession, size: int = 24) -> Network:
