@@ -13,6 +13,10 @@ from roadloom.plans.networks import Network
 from roadloom.sources.rules import Rules
 
 
+#: Segments of a request's routes that are kept as a local table, of some 150 bytes each.
+FEW_SEGMENTS = 500_000
+
+
 class NoRoad(ValueError):
     """There is no road point near a coordinate."""
 
@@ -60,8 +64,6 @@ def generate(roads: Roads, rules: Rules, start: tuple[float, float], finish: tup
     gets every decision of the searches.
     """
     spark = roads.nodes.sparkSession
-    # One region's graph, which every step below reads.
-    roads = Roads(roads.nodes.persist(), roads.lines.persist(), roads.restrictions, roads.degrees.persist())
     points = roads.points().persist()
     begin = snap(points, *start, rules)
     end = None if finish is None else snap(points, *finish, rules)
@@ -92,6 +94,9 @@ def generate(roads: Roads, rules: Rules, start: tuple[float, float], finish: tup
     if found is None:
         found = spark.createDataFrame([], navigate.ROUTES)
     segments = navigate.detailed(found, roads.lines, roads.nodes, roads.degrees).persist()
+    if segments.count() <= FEW_SEGMENTS:
+        # One request's routes: as a local table they cut the plan, which is planned anew for each of their measures.
+        segments = spark.createDataFrame(segments.toArrow(), segments.schema)
     shape = F.array_sort(F.collect_list(F.struct("bucket", "lat", "lon")))
     approx = routes.approximation(segments).groupBy("route_id").agg(F.flatten(F.transform(shape, lambda p: F.array(p["lat"], p["lon"]))).alias("vector"))
     labels = clusters.labelled(approx, "route_id", "vector", clusters.ROUTE_EPSILON)
