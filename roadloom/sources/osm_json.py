@@ -18,12 +18,12 @@ class MapDataError(ValueError):
 
 
 def elements(spark: SparkSession, path: str) -> DataFrame:
-    """All elements of a file or folder. Unknown keys are ignored. Files that end in .jsonl hold an element a line and can
-    be split among tasks; others are documents, each read by one task."""
+    """All elements of a file or folder, with their places (pos). Unknown keys are ignored. Files that end in .jsonl hold an
+    element a line and can be split among tasks; others are documents, each read by one task."""
     if path.endswith(".jsonl"):
-        return spark.read.schema(ELEMENT).option("mode", "FAILFAST").json(path)
+        return spark.read.schema(ELEMENT).option("mode", "FAILFAST").json(path).withColumn("pos", F.monotonically_increasing_id())
     found = spark.read.schema(f"elements array<struct<{', '.join(c.replace(' ', ': ', 1) for c in _columns())}>>").option("multiLine", True).option("mode", "FAILFAST").json(path)
-    return found.select(F.inline("elements"))
+    return found.select(F.posexplode("elements").alias("pos", "e")).select("e.*", F.col("pos").cast("long").alias("pos"))
 
 
 def _columns() -> list[str]:
@@ -54,13 +54,14 @@ def role() -> F.Column:
 
 def network(found: DataFrame, strict: bool = False) -> Network:
     """The nodes, ways and relations of elements(). Elements that can't be used are left out (see rejects()), or, strict,
-    fail the query that meets them. A node that is there twice is the one of the greatest (lat, lon)."""
+    fail the query that meets them. Of a node that is there twice, the last counts (without places: the one of the greatest
+    lat and lon)."""
     found = found.withColumn("problem", problem())
     if strict:
         stop = F.raise_error(F.concat(F.lit("map data: "), "problem", F.lit(" in element "), F.coalesce("id", F.lit("without id"))))
         found = found.filter(F.when(F.col("problem").isNull(), True).otherwise(stop.cast("boolean")))
     ok = found.filter("problem is null")
-    place = F.max(F.struct(F.col("lat").cast("double").alias("lat"), F.col("lon").cast("double").alias("lon")))
+    place = F.max(F.struct(*(["pos"] if "pos" in found.columns else []), F.col("lat").cast("double").alias("lat"), F.col("lon").cast("double").alias("lon")))
     nodes = ok.filter("type = 'node'").groupBy(F.col("id").cast("bigint").alias("id")).agg(place.alias("p")).select("id", "p.lat", "p.lon", F.lit(False).alias("residential"), F.lit(False).alias("nogo"))
     ways = ok.filter("type = 'way'").select(F.col("id").cast("bigint").alias("id"), F.col("nodes").cast("array<bigint>").alias("nodes"), "tags")
     relations = ok.filter("type = 'relation'").select(F.col("id").cast("bigint").alias("id"), role().alias("members"), "tags")

@@ -23,6 +23,9 @@ class Action:
     value: int = 0
 
 
+# Fixed values, from here to Rules: the key names of rule files, and their defaults.
+
+
 @dataclass
 class SameRoad:
     enabled: bool = True

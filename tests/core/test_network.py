@@ -114,6 +114,12 @@ def test_bad_elements(spark, tmp_path):
         osm_json.read(spark, "map.txt")
 
 
+@pytest.mark.parametrize("lines", [False, True])
+def test_the_last_of_equal_nodes_counts(load, lines):
+    net = load([(1, 9.0, 9.0), (2, 5.0, 5.0), (1, 3.0, 4.0)], [], lines=lines)
+    assert {r.id: (r.lat, r.lon) for r in net.nodes.collect()} == {1: (3.0, 4.0), 2: (5.0, 5.0)}
+
+
 def turn(kind, to, via=(("node", 0, "via"),)):
     return ([("way", 71, "from"), *via, ("way", to, "to")], {"type": "restriction", "restriction": kind})
 
