@@ -93,6 +93,19 @@ def test_buckets_in_two_steps(spark, monkeypatch):
         assert r.edited_sha256 == hashlib.sha256((t[: len(t) - len(t) // 3] + nxt[: len(t) // 3]).encode()).hexdigest()
 
 
+def test_many_documents_of_one_id_and_long_texts(spark, monkeypatch):
+    monkeypatch.setattr(imatch, "BUCKET_DOCS", 5)
+    rows = [(5, f"text number {k} " * (k % 4 + 1)) for k in range(60)] + [(k, f"other {k}") for k in range(40, 50)] + [(9, "long words here " * 20000), (5, "text number 3 " * 4)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    hashes = [r[0] for r in docs.select(F.xxhash64("text")).collect()]
+    order = sorted(range(len(rows)), key=lambda k: (-rows[k][0], hashes[k]))
+    want = Counter()
+    for n, k in enumerate(order):
+        t, nxt = rows[k][1], rows[order[(n + 1) % len(order)]][1]
+        want[rows[k][0], hashlib.sha256((t[: len(t) - len(t) // 3] + nxt[: len(t) // 3]).encode()).hexdigest()] += 1
+    assert Counter((r.doc_id, r.edited_sha256) for r in imatch.edited(docs).collect()) == want
+
+
 def test_few_documents(spark):
     one = spark.createDataFrame([(5, "a b c d e f g h i")], "doc_id bigint, text string")
     r = imatch.edited(one).first()

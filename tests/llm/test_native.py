@@ -111,3 +111,11 @@ def test_shards_are_uniform(spark):
     for r in sharding.shard(rows, ["k"]).collect():
         hits[r.k % 8, r.shard] += 1
     assert ((hits - 62.5) ** 2 / 62.5).sum() < 100
+
+
+def test_sharding_of_rows_alike(spark):
+    rows = spark.range(3000).selectExpr("if(id < 2500, 7L, id) AS doc_id", "if(id < 2500, 'the same', concat('text ', id)) AS text")
+    slots = defaultdict(list)
+    for r in sharding.shard_documents(rows).collect():
+        slots[r.shard].append(r.slot)
+    assert all(sorted(s) == list(range(375)) for s in slots.values()) and len(slots) == 8

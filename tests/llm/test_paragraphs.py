@@ -151,3 +151,66 @@ def test_passages_of_short_lines(spark):
     menu = "\n".join(sentence(rng, 3 + k % 2) for k in range(20))
     rows = [(k, "\n".join((prose(rng, 60), menu, prose(rng, 60)))) for k in range(3)] + [(9, prose(rng, 200))]
     assert found_in(spark, rows) == ({1, 2}, {0, 1, 2})
+
+
+def test_near_copies_with_every_sentence_edited(spark):
+    """No 40 words in a row are equal, so that only bands of natural paragraphs can find them."""
+    rng = random.Random(11)
+    rows = [(k, prose(rng, 150)) for k in range(20)]
+    for k in range(15):
+        sentences = [sentence(rng, 40) for _ in range(3)]
+        changed = []
+        for said in sentences:
+            words = said.split()
+            words[20] = f"other{k}"
+            changed.append(" ".join(words))
+        rows += [(100 + k, "\n".join((prose(rng, 60), " ".join(sentences), prose(rng, 60)))), (200 + k, "\n".join((prose(rng, 60), " ".join(changed), prose(rng, 60))))]
+    removed, found = found_in(spark, rows)
+    assert removed == set(range(200, 215)) and found == removed | set(range(100, 115))
+
+
+def test_against_brute_force(spark):
+    """Every stretch of 51 words that two documents share is in what is reported; and what is reported holds 40 words that two
+    documents share. Passages stand anywhere, inside lines and across them; a common line and junk make no passages."""
+    rng = random.Random(12)
+    word = lambda: "w" + "".join(rng.choices("abcdefgh", k=5))
+    passages = [[word() for _ in range(n)] for n in (51, 51, 55, 60, 75, 90, 140, 200)]
+    common = " ".join(word() for _ in range(13))
+    rows = []
+    for k in range(160):
+        words = [word() for _ in range(rng.randrange(20, 250))]
+        for _ in range(rng.randrange(3) if k % 2 else 0):
+            at = rng.randrange(len(words) + 1)
+            words[at:at] = rng.choice(passages)
+        for at in range(len(words) - 1, 0, -11):
+            words[at] += rng.choice(("", "", ".", "\n", f"\n{common}\n"))
+        rows.append((k, " ".join(words)))
+    rows += [(500 + k, "tick tock " * (40 + k)) for k in range(5)]
+    split = {d: t.split() for d, t in rows}
+
+    def shared(n):
+        by = {}
+        for d, ws in split.items():
+            for i in range(len(ws) - n + 1):
+                by.setdefault(tuple(ws[i : i + n]), set()).add(d)
+        return {g: ds for g, ds in by.items() if len(ds) > 1}
+
+    found = {}
+    for r in P.repeated_passages(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(6)).collect():
+        found.setdefault(r.doc_id, []).append((r.first, r.last))
+    spans = {}
+    for d, t in rows:
+        at, spans[d] = 0, []
+        for w in split[d]:
+            at = t.index(w, at)
+            spans[d].append((at, at + len(w)))
+            at += len(w)
+    sure, maybe = shared(51), shared(40)
+    missed = total = 0
+    for d, ws in split.items():
+        for i in range(len(ws) - 50):
+            if d < 500 and tuple(ws[i : i + 51]) in sure:
+                total += 51
+                missed += sum(not any(a <= spans[d][j][0] and spans[d][j][1] <= b for a, b in found.get(d, [])) for j in range(i, i + 51))
+    assert total > 1000 and missed <= 0.002 * total, (missed, total)
+    assert set(found) <= {d for d, ws in split.items() if d < 500 and any(tuple(ws[i : i + 40]) in maybe for i in range(len(ws) - 39))}
