@@ -31,7 +31,7 @@ EXCERPTS, EXCERPT_CHARS = 150, 160
 LANE, PAD, BLANK, UNKNOWN = 512, 0, 1, 2
 UNDETERMINED = "und"
 #: Most cells of a table with a cell for each state and symbol.
-DENSE = 1 << 26
+DENSE = 1 << 25
 
 
 @dataclass

@@ -449,8 +449,7 @@ def without_repeats(docs: DataFrame) -> DataFrame:
     scratch = Scratch(docs.sparkSession, "cut")
     cuts = repeats(docs).filter("removed").groupBy("body", "doc_id").agg(F.array_sort(F.array_distinct(F.collect_list(F.struct("first", "last")))).alias("spans"))
     cuts = scratch.table(cuts.select(F.col("body").alias("cut_body"), F.col("doc_id").alias("cut_doc"), "spans"), "spans")
-    # As a place in the text is at most in one span of a document's list, spans take less room than their texts.
-    both = docs.join(simjoin.small(cuts), (F.xxhash64("text") == F.col("cut_body")) & docs["doc_id"].eqNullSafe(F.col("cut_doc")), "left")
+    both = docs.join(simjoin.small(cuts, "spans"), (F.xxhash64("text") == F.col("cut_body")) & docs["doc_id"].eqNullSafe(F.col("cut_doc")), "left")
     # What lies between the spans: from each one's end to the next one's start.
     reach = F.expr("transform(sequence(0, size(spans)), k -> CASE WHEN k = 0 THEN 0L ELSE array_max(transform(slice(spans, 1, k), s -> s.last)) END)")
     starts = F.concat(F.transform("spans", lambda s: s["first"]), F.array(F.length("text").cast("long")))

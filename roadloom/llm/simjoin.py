@@ -160,9 +160,13 @@ def linked(rows: DataFrame) -> DataFrame:
     return rows.repartition(*key).sortWithinPartitions(*key).mapInArrow(work, "a bigint, b bigint")
 
 
-def small(rows: DataFrame) -> DataFrame:
-    """rows, to be broadcast if there are BROADCAST_ROWS at most, else to be joined as Spark chooses."""
-    return F.broadcast(rows) if rows.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else rows
+def small(rows: DataFrame, lists: str | None = None) -> DataFrame:
+    """rows, to be broadcast if there are BROADCAST_ROWS at most (and as many elements of their ``lists``), else to be joined as
+    Spark chooses."""
+    few = rows.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    if few and lists:
+        few = (rows.agg(F.sum(F.size(lists))).first()[0] or 0) <= BROADCAST_ROWS
+    return F.broadcast(rows) if few else rows
 
 
 def stars(postings: DataFrame, scratch: Scratch, name: str = "stars") -> DataFrame:
