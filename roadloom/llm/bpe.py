@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import functools
 import json
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,7 +23,7 @@ from pyspark.sql import types as T
 from tokenizers import Tokenizer
 
 from roadloom.llm.scratch import Scratch
-from roadloom.llm.textops import chunks, gather, hash64, pieces
+from roadloom.llm.textops import chunks, flat, gather, hash64, pieces
 
 MAX_WORDS = 500_000
 MAX_WORD_CHARS = 64
@@ -57,30 +58,34 @@ def encoder(spec: str) -> Encoder:
 class Encoder:
     """Encodes string columns; the pieces met lately keep their ids."""
 
-    def __init__(self, spec: str, memo: int = 100_000):
+    def __init__(self, spec: str, memo: int = 120_000):
         tok = Tokenizer.from_str(spec)
-        self.model, self.limit, self.memo = tok.model, memo, {}
+        self.model, self.limit = tok.model, memo
+        self.recent: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         self.added = {t["content"]: t["id"] for t in json.loads(spec)["added_tokens"]}
         self.letters = dict(enumerate(byte_letters()))
+        self.known = {self.letters_of(w.encode()): array("I", [i]).tobytes() for w, i in self.added.items()}
 
-    def word(self, w: str) -> bytes:
-        """The ids of a piece, as little-endian unsigned 32-bit integers."""
-        if w in self.added:
-            return np.array([self.added[w]], "<u4").tobytes()
-        return np.array([t.id for t in self.model.tokenize(w.encode().decode("latin-1").translate(self.letters))], "<u4").tobytes()
+    def letters_of(self, raw: bytes) -> str:
+        """Bytes as the vocabulary writes them, a letter each."""
+        return raw.decode("latin-1").translate(self.letters)
 
-    def words(self, distinct: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    def words(self, distinct: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the pieces, one after the other, and how many each has."""
-        if len(self.memo) > self.limit:
-            self.memo.clear()
-        memo, out = self.memo, []
-        for w in distinct:
-            ids = memo.get(w)
+        raw, at = flat(distinct)
+        letters, ends = self.letters_of(raw), at.tolist()
+        recent, older, known, tokenize, out = self.recent, self.older, self.known, self.model.tokenize, []
+        for a, b in zip(ends[:-1], ends[1:], strict=True):
+            w = letters[a:b]
+            ids = recent.get(w)
             if ids is None:
-                ids = self.word(w)
-                if len(w) <= MAX_WORD_CHARS:
-                    memo[w] = ids
+                ids = known.get(w) or older.get(w) or array("I", [t.id for t in tokenize(w)]).tobytes()
+                if b - a <= MAX_WORD_CHARS:
+                    recent[w] = ids
             out.append(ids)
+        if len(recent) > self.limit:
+            self.recent, self.older = {}, recent
         return np.frombuffer(b"".join(out), "<u4"), np.fromiter(map(len, out), np.int64, len(out)) // 4
 
     def encode(self, column: pa.Array, table: tuple | None = None) -> tuple[np.ndarray, np.ndarray]:
@@ -89,7 +94,7 @@ class Encoder:
         coded = split.dictionary_encode()
         distinct, codes = coded.dictionary, np.asarray(coded.indices)
         if table is None or not len(table[0]):
-            pool, lengths = self.words(distinct.to_pylist())
+            pool, lengths = self.words(distinct)
             starts = np.cumsum(lengths) - lengths
         else:
             keys, at, known, said = table
@@ -97,7 +102,7 @@ class Encoder:
             slot = np.minimum(np.searchsorted(keys, h), len(keys) - 1)
             # Words are joined by the words themselves; hashes only find them.
             miss = np.flatnonzero(~np.asarray(pc.equal(said.take(pa.array(slot)), distinct.cast(pa.string()))))
-            more, sizes = self.words(distinct.take(pa.array(miss)).to_pylist())
+            more, sizes = self.words(distinct.take(pa.array(miss)))
             starts, lengths = at[slot], at[slot + 1] - at[slot]
             starts[miss], lengths[miss] = len(known) + np.cumsum(sizes) - sizes, sizes
             pool = np.concatenate((known, more)) if len(miss) else known
@@ -136,7 +141,7 @@ def word_table(counts: DataFrame, spec: str, max_words: int = MAX_WORDS) -> tupl
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = encoder(shared.value)
         for b in batches:
-            ids, sizes = own.words(b.column(0).to_pylist())
+            ids, sizes = own.words(b.column(0))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(sizes))).astype(np.int32)), pa.array(ids.astype(np.int32)))], ["word", "ids"])
 
     found = short.filter(level >= least).select("word").mapInArrow(encode, "word string, ids array<int>").toArrow().combine_chunks()

@@ -43,7 +43,7 @@ def test_words_are_joined_by_the_word(monkeypatch):
 
     monkeypatch.setattr(bpe, "hash64", lambda words, seed=0: np.full(len(words), 7, np.uint64))
     own = bpe.Encoder(bpe.tokenizer_json(PATH))
-    ids, sizes = own.words(["alpha"])
+    ids, sizes = own.words(pa.array(["alpha"]))
     table = np.array([7], np.uint64), np.array([0, len(ids)]), ids, pa.array(["alpha"])
     got, n = own.encode(pa.array(["alpha", "beta", "alpha"]), table)
     assert got.tolist() == [i for w in ("alpha", "beta", "alpha") for i in TOK.encode(w, add_special_tokens=False).ids] and n.sum() == len(got)
