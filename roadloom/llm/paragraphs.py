@@ -7,7 +7,7 @@ Paragraphs of two kinds are banded, of every distinct text and whatever others h
    band as a whole: windows meet if they are equal. Each is stretched, word by word, over what surrounds it in the first
    document that has it too; windows of a document that touch make a passage, which so ends at the very word.
 2. Natural paragraphs, for near copies: lines of MIN_WORDS words or more; shorter ones are joined until they have as many, and
-   a long one is cut at sentences chosen by their hash. Bands of a MinHash are tuned for recall at the threshold, paragraphs
+   a long one is a paragraph as a whole, and is also cut at sentences chosen by their first words. Bands of a MinHash are tuned for recall at the threshold, paragraphs
    that collide are joined, exact Jaccard similarity of five-word shingles is verified, and components make the clusters.
 
 The first document (least doc_id) that has a passage keeps it; the others' occurrences are removals. A copy of a whole text is one.
@@ -84,12 +84,13 @@ class Sentences:
         first[:n] |= long & (mix(self.hashes) % np.uint64(ONE_IN) == 0)
         self.unit = np.flatnonzero(first[:n])  # the first word of each sentence
         self.length = np.diff(np.append(self.unit, n))
-        place = np.arange(n) - np.repeat(self.unit, self.length)
         head = np.zeros(n + 1, bool)
         head[self.text_word] = True
         head[1:n] |= lines[self.start[1:]] > lines[self.end[:-1]]
         self.line = head[self.unit]  # whether a sentence begins a line
-        self.name = mix(np.add.reduceat(mix(self.hashes ^ mix(place.astype(np.uint64))), self.unit)) if n else np.zeros(0, np.uint64)
+        # A sentence is named by its first two words, so that changes in it don't move the cuts.
+        second = self.hashes[np.minimum(self.unit + 1, n - 1)] if n else self.hashes
+        self.name = mix(self.hashes[self.unit] ^ mix(np.where(self.length > 1, second, np.uint64(0))))
         self.text_unit = np.searchsorted(self.unit, self.text_word)
 
     def points(self, text: int, byte: int) -> int:
@@ -286,13 +287,14 @@ def blocks(s: Sentences, text: int) -> list[tuple[int, int]]:
             a, held = b, 0
         held += n
         if held >= MIN_WORDS:
-            out += pieces(s, a, z, held) if held >= 2 * PIECE else [(a, z)]
+            parts = pieces(s, a, z, held) if held >= 2 * PIECE else []
+            out += [*(parts if len(parts) > 1 else []), (a, z)]
             a, held = z, 0
     return out
 
 
 def pieces(s: Sentences, a: int, z: int, left: int) -> list[tuple[int, int]]:
-    """Sentences a to z, of left words in all, cut where a sentence's hash says so and PIECE words are on either side."""
+    """Sentences a to z, of left words in all, cut where a sentence's name says so and PIECE words are on either side."""
     out, held = [], 0
     for u, (n, name) in enumerate(zip(s.length[a:z].tolist(), (s.name[a:z] % np.uint64(4)).tolist(), strict=True), a):
         if held >= PIECE and left >= PIECE and name == 0:
