@@ -66,8 +66,8 @@ def test_ways_of_many_nodes(spark):
 
 
 def test_long_roundabout(spark):
-    """Exits of a roundabout of 150 points, against counting."""
-    n = 150
+    """Exits of a roundabout of 110 points, against counting."""
+    n = 110
     nodes = spark.range(2 * n).selectExpr("id", "0D AS lat", "0D AS lon")
     ring = [(1000, [*range(n), 0], {"highway": "primary", "junction": "roundabout"})]
     arms = [(k, [k, n + k], {"highway": "primary"}) for k in range(0, n, 7)]
