@@ -7,7 +7,7 @@ Paragraphs of two kinds are banded, of every distinct text and whatever others h
    band as a whole: windows meet if they are equal. Each is stretched, word by word, over what surrounds it in the first
    document that has it too; windows of a document that touch make a passage, which so ends at the very word.
 2. Natural paragraphs, for near copies: lines of MIN_WORDS words or more; shorter ones are joined until they have as many, and
-   a long one is a paragraph as a whole, and is also cut at sentences chosen by their first words. Bands of a MinHash are tuned for recall at the threshold, paragraphs
+   a long one is cut at sentences chosen by their first words. Bands of a MinHash are tuned for recall at the threshold, paragraphs
    that collide are joined, exact Jaccard similarity of five-word shingles is verified, and components make the clusters.
 
 The first document (least doc_id) that has a passage keeps it; the others' occurrences are removals. A copy of a whole text is one.
@@ -287,8 +287,7 @@ def blocks(s: Sentences, text: int) -> list[tuple[int, int]]:
             a, held = b, 0
         held += n
         if held >= MIN_WORDS:
-            parts = pieces(s, a, z, held) if held >= 2 * PIECE else []
-            out += [*(parts if len(parts) > 1 else []), (a, z)]
+            out += pieces(s, a, z, held) if held >= 2 * PIECE else [(a, z)]
             a, held = z, 0
     return out
 
