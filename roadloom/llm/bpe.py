@@ -58,7 +58,7 @@ def encoder(spec: str) -> Encoder:
 class Encoder:
     """Encodes string columns; the pieces met lately keep their ids."""
 
-    def __init__(self, spec: str, memo: int = 120_000):
+    def __init__(self, spec: str, memo: int = 50_000):
         tok = Tokenizer.from_str(spec)
         self.model, self.limit = tok.model, memo
         self.recent: dict[str, bytes] = {}
