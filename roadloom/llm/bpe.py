@@ -50,15 +50,19 @@ def byte_letters() -> list[str]:
     return [chr(b) if b in visible else chr(next(spare)) for b in range(256)]
 
 
+#: Pieces that an encoder remembers: by itself, and beside a table of the frequent ones.
+REMEMBERED, BESIDE_TABLE = 120_000, 40_000
+
+
 @functools.lru_cache(maxsize=2)
-def encoder(spec: str) -> Encoder:
-    return Encoder(spec)
+def encoder(spec: str, memo: int = REMEMBERED) -> Encoder:
+    return Encoder(spec, memo)
 
 
 class Encoder:
     """Encodes string columns; the pieces met lately keep their ids."""
 
-    def __init__(self, spec: str, memo: int = 50_000):
+    def __init__(self, spec: str, memo: int = REMEMBERED):
         tok = Tokenizer.from_str(spec)
         self.model, self.limit = tok.model, memo
         self.recent: dict[str, bytes] = {}
@@ -139,7 +143,7 @@ def word_table(counts: DataFrame, spec: str, max_words: int = MAX_WORDS) -> tupl
     shared = counts.sparkSession.sparkContext.broadcast(spec)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = encoder(shared.value)
+        own = encoder(shared.value, BESIDE_TABLE)
         for b in batches:
             ids, sizes = own.words(b.column(0))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(sizes))).astype(np.int32)), pa.array(ids.astype(np.int32)))], ["word", "ids"])
@@ -182,7 +186,8 @@ def encode_with(docs: DataFrame, spec: str, table: tuple | None, text: str = "te
     names = [*keep, out]
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, known = encoder(shared.value), words.value
+        known = words.value
+        own = encoder(shared.value, BESIDE_TABLE if known else REMEMBERED)
         for b in batches:
             texts = b.column("text_to_encode")
             for at, part in chunks(texts):
