@@ -160,6 +160,28 @@ def test_nearest(spark, load):
     assert proximity.nearest(spark.createDataFrame([("far", 48.5, 11.0)], q.schema), points).count() == 0  # over 20 cells away
 
 
+GRID = "id long, lat double, lon double, residential boolean, highway_all array<string>, surface_all array<string>, smoothness_all array<string>, cell_lat int, cell_lon int"
+
+
+def test_nearest_of_queries_whose_spread_is_unknown(spark, tmp_path):
+    """Queries and points on both sides of the antimeridian, many queries at one place; none of it is broadcast."""
+    rng = random.Random(4)
+    around = lambda: (10 + rng.random() * 0.5, (180 + (rng.random() - 0.5) * 0.9 + 180) % 360 - 180)
+    places, asked = {k: around() for k in range(60)}, [around() for _ in range(12)]
+    cell = lambda x: math.floor(x * 100 + 0.5) if x >= 0 else -math.floor(-x * 100 + 0.5)
+    points = spark.createDataFrame([(k, *p, False, ["primary"], [], [], cell(p[0]), cell(p[1])) for k, p in places.items()], GRID)
+    q = spark.createDataFrame([(str(k), *asked[k % 12]) for k in range(48)], "query_id string, lat double, lon double")
+    gap = lambda a, b: max(abs(cell(a[0]) - cell(b[0])), min(abs(cell(a[1]) - cell(b[1])), 36000 - abs(cell(a[1]) - cell(b[1]))))
+    want = {}
+    for k in range(48):
+        if near := [i for i in places if gap(asked[k % 12], places[i]) <= proximity.RINGS]:
+            want[str(k)] = min(near, key=lambda i: metres(asked[k % 12], places[i]))
+    assert len(want) > 40
+    assert {r.query_id: r.id for r in proximity.nearest(q, points).collect()} == want
+    q.write.parquet(str(tmp_path / "q"))  # a file's size is known, and small
+    assert "Broadcast" not in proximity.candidates(spark.read.parquet(str(tmp_path / "q")), points)._jdf.queryExecution().executedPlan().toString()
+
+
 def test_nearest_avoids(spark, load):
     places = spots(30, 3)
     kind = lambda i: ("trunk", "primary", "residential")[i % 3]
