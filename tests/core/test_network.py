@@ -3,6 +3,7 @@
 import json
 import math
 import random
+import re
 import threading
 import urllib.error
 import urllib.request
@@ -139,6 +140,15 @@ def test_legal_turns(load, relations, stops):
     assert {r.stop for r in turns.filter("start = 7 and via = 0").collect()} == stops
 
 
+def test_turns_are_not_moved(load):
+    """There are as many as the square of a crossing's lines: what comes after they are made needs no exchange."""
+    net = load(*CROSS, [(100, *turn("no_left_turn", 72)), (101, *turn("only_right_turn", 74))])
+    found = graph.lines(net.ways, net.nodes)
+    plan = graph.legal_turns(found, graph.restrictions(net.relations, found, net.nodes))._jdf.queryExecution().sparkPlan().toString()
+    joins = re.findall(r"Join \[([^\]]*)\]", plan)
+    assert len(joins) > 2 and re.fullmatch(r"via#\d+L?", joins[0])
+
+
 def metres(a, b):
     """By the law of cosines."""
     p, q, d = *(math.radians(x) for x in (a[0], b[0])), math.radians(b[1] - a[1])
