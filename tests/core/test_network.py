@@ -192,6 +192,15 @@ def test_nearest_of_queries_whose_spread_is_unknown(spark, tmp_path):
     assert "Broadcast" not in proximity.candidates(spark.read.parquet(str(tmp_path / "q")), points)._jdf.queryExecution().executedPlan().toString()
 
 
+def test_nearest_by_rules_broadcasts_no_spread(spark, tmp_path):
+    points = spark.createDataFrame([(1, 10.0, 20.0, True, ["trunk"], [], [], 1000, 2000), (2, 10.1, 20.0, False, ["trunk"], ["mud"], [], 1010, 2000), (3, 10.1, 20.1, False, ["trunk"], [], [], 1010, 2010)], GRID)
+    spark.createDataFrame([(str(k), 10.0, 20.0) for k in range(5)], "query_id string, lat double, lon double").write.parquet(str(tmp_path / "q"))
+    own = rules.from_dict({"surface": {"mud": {"action": "avoid"}}})
+    found = proximity.nearest(spark.read.parquet(str(tmp_path / "q")), points, own, True, ["trunk"])
+    assert not re.search(r"BroadcastHashJoin \[(cell|block)_lat", found._jdf.queryExecution().executedPlan().toString())
+    assert {(r.query_id, r.id) for r in found.collect()} == {(str(k), 3) for k in range(5)}
+
+
 def test_nearest_avoids(spark, load):
     places = spots(30, 3)
     kind = lambda i: ("trunk", "primary", "residential")[i % 3]
