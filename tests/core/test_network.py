@@ -403,6 +403,21 @@ def test_scores(spark):
     assert bends > 0 and abs(routes.scores(segments, own).first().score - 2 * bends) < 1e-9
 
 
+@pytest.mark.parametrize("measure", ["totals"])
+def test_lengths_add_up_in_any_order(spark, measure):
+    # Near half a centimetre, an order of additions may round the other way.
+    lengths = [0.1, 0.2, 0.3, 62871.0907, 188864.9337, 1e-7, 7.005] * 6
+    schema = "route_id bigint, seq bigint, len_m double, junction boolean, highway string, surface string, smoothness string"
+    found = set()
+    for seed in range(6):
+        random.Random(seed).shuffle(lengths)
+        rows = spark.createDataFrame([(1, i, x, False, "road", None, None) for i, x in enumerate(lengths)], schema).coalesce(1)
+        made = getattr(routes, measure)(rows)
+        found |= {r.len_m for r in made.collect()}
+    assert len(found) == 1
+    assert found.pop() == pytest.approx(math.fsum(lengths), abs=1e-10)
+
+
 def varint(n):
     out = bytearray()
     while n > 0x7F:
