@@ -403,7 +403,7 @@ def test_scores(spark):
     assert bends > 0 and abs(routes.scores(segments, own).first().score - 2 * bends) < 1e-9
 
 
-@pytest.mark.parametrize("measure", ["totals"])
+@pytest.mark.parametrize("measure", ["totals", "tag_shares"])
 def test_lengths_add_up_in_any_order(spark, measure):
     # Near half a centimetre, an order of additions may round the other way.
     lengths = [0.1, 0.2, 0.3, 62871.0907, 188864.9337, 1e-7, 7.005] * 6
