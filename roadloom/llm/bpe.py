@@ -23,7 +23,7 @@ from pyspark.sql import types as T
 from tokenizers import Tokenizer
 
 from roadloom.llm.scratch import Scratch
-from roadloom.llm.textops import chunks, flat, gather, hash64, pieces
+from roadloom.llm.textops import chunks, flat, freed, gather, hash64, large, pieces
 
 MAX_WORDS = 500_000
 MAX_WORD_CHARS = 64
@@ -124,7 +124,7 @@ def word_counts(docs: DataFrame, text: str = "text", special: tuple[str, ...] =
                 found = pc.value_counts(pieces(part, special)[0])
                 yield pa.RecordBatch.from_arrays([found.field(0).cast(pa.string()), found.field(1).cast(pa.int64())], ["word", "n"])
 
-    return docs.select(text).mapInArrow(count, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
+    return docs.select(text).mapInArrow(freed(count, encoder, vocabulary), "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
 
 
 def word_table(counts: DataFrame, spec: str, max_words: int = MAX_WORDS) -> tuple[np.ndarray, np.ndarray, np.ndarray, pa.Array]:
@@ -148,7 +148,7 @@ def word_table(counts: DataFrame, spec: str, max_words: int = MAX_WORDS) -> tupl
             ids, sizes = own.words(b.column(0))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(sizes))).astype(np.int32)), pa.array(ids.astype(np.int32)))], ["word", "ids"])
 
-    found = short.filter(level >= least).select("word").mapInArrow(encode, "word string, ids array<int>").toArrow().combine_chunks()
+    found = short.filter(level >= least).select("word").mapInArrow(freed(encode, encoder, vocabulary), "word string, ids array<int>").toArrow().combine_chunks()
     if not found.num_rows:
         return empty
     said, ids = (found.column(k).combine_chunks() for k in (0, 1))
@@ -200,7 +200,7 @@ def encode_with(docs: DataFrame, spec: str, table: tuple | None, text: str = "te
                 yield pa.RecordBatch.from_arrays([*(b.column(c).slice(at, len(part)) for c in keep), column], names)
 
     kind = T.BinaryType() if packed else T.ArrayType(T.IntegerType())
-    return docs.select(*(F.col(f"`{c}`") for c in keep), F.col(text).alias("text_to_encode")).mapInArrow(encode, replaced(docs, keep, out, kind))
+    return docs.select(*(F.col(f"`{c}`") for c in keep), F.col(text).alias("text_to_encode")).mapInArrow(freed(encode, encoder, vocabulary), replaced(docs, keep, out, kind))
 
 
 @functools.lru_cache(maxsize=2)
@@ -213,6 +213,9 @@ def vocabulary(spec: str) -> pa.Array:
     return pa.array([out.get(i) for i in range(max(out) + 2)], pa.large_binary())
 
 
+large += [encoder, vocabulary]
+
+
 def decode_corpus(df: DataFrame, tokenizer: str, ids: str = "ids", out: str = "text", keep: list[str] | None = None) -> DataFrame:
     """df with the text of its token ids (array or packed) in column ``out``, special tokens included.
 
@@ -242,7 +245,7 @@ def decode_corpus(df: DataFrame, tokenizer: str, ids: str = "ids", out: str = "t
                 texts = [str(raw[p:q], "utf-8", "replace") for p, q in zip(cut[:-1], cut[1:], strict=True)]
                 yield pa.RecordBatch.from_arrays([*(b.column(c).slice(at, step) for c in keep), pa.array(texts, pa.string())], names)
 
-    return df.select(*(F.col(f"`{c}`") for c in keep), F.col(ids).alias("ids_to_decode")).mapInArrow(decode, replaced(df, keep, out, T.StringType()))
+    return df.select(*(F.col(f"`{c}`") for c in keep), F.col(ids).alias("ids_to_decode")).mapInArrow(freed(decode, encoder, vocabulary), replaced(df, keep, out, T.StringType()))
 
 
 def digests(docs: DataFrame, tokenizer: str) -> DataFrame:

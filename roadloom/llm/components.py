@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from roadloom.llm.scratch import Scratch
+from roadloom.llm.textops import freed
 
 
 #: Links that one task may hold, of 16 bytes each.
@@ -55,7 +56,7 @@ def _shortened(edges: DataFrame) -> DataFrame:
             u, v = starred(*map(np.concatenate, zip(*held, strict=True)))
             yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], ["u", "v"])
 
-    return edges.mapInArrow(work, "u bigint, v bigint")
+    return edges.mapInArrow(freed(work), "u bigint, v bigint")
 
 
 def components(links: DataFrame, scratch: Scratch, name: str = "components") -> DataFrame:

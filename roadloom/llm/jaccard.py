@@ -25,7 +25,7 @@ from roadloom.llm.components import components
 from roadloom.llm.ranges import Postings, counted, enough
 from roadloom.llm.scratch import Scratch
 from roadloom.llm.simjoin import node_ids, sets
-from roadloom.llm.textops import OWNER_BITS, chunks
+from roadloom.llm.textops import OWNER_BITS, chunks, freed
 
 HASH_BITS = 64 - OWNER_BITS
 
@@ -48,7 +48,7 @@ def signatures(docs: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([*(b.column(k).slice(at, len(n)) for k in (0, 1)), pa.array(node_ids(h, n)), pa.array(n), pa.array(half)], names)
 
     names = ["doc_id", "mark", "node", "n", "half"]
-    return docs.select("doc_id", F.xxhash64("text").alias("mark"), "text").mapInArrow(work, "doc_id bigint, mark bigint, node bigint, n bigint, half bigint")
+    return docs.select("doc_id", F.xxhash64("text").alias("mark"), "text").mapInArrow(freed(work), "doc_id bigint, mark bigint, node bigint, n bigint, half bigint")
 
 
 def shared(docs: DataFrame, ranges: int) -> DataFrame:
@@ -73,7 +73,7 @@ def set_table(texts: DataFrame) -> DataFrame:
                 h, n = sets(part)
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(at, len(n)), pa.array(n), pa.array(simjoin.split(h, n), pa.binary())], ["node", "n", "hashes"])
 
-    return texts.select("node", "text").mapInArrow(work, "node bigint, n bigint, hashes binary")
+    return texts.select("node", "text").mapInArrow(freed(work), "node bigint, n bigint, hashes binary")
 
 
 def each_shingle(of: DataFrame) -> DataFrame:
@@ -86,7 +86,7 @@ def each_shingle(of: DataFrame) -> DataFrame:
                 h = np.frombuffer(b"".join(part.to_pylist()), np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(np.repeat(b.column(0).slice(at, len(part)).to_numpy(), n)), pa.array(np.repeat(n, n).astype(np.int32))], ["grp", "node", "n"])
 
-    return of.select("node", "n", "hashes").mapInArrow(work, "grp bigint, node bigint, n int")
+    return of.select("node", "n", "hashes").mapInArrow(freed(work), "grp bigint, node bigint, n int")
 
 
 def prefixes(of: DataFrame, scratch: Scratch) -> DataFrame:

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from roadloom.llm.textops import LETTER, chunks, classes, flat, small_batches
+from roadloom.llm.textops import LETTER, chunks, classes, flat, freed, small_batches
 
 #: The sample that a model is fitted on: so many excerpts of so many characters for each language.
 EXCERPTS, EXCERPT_CHARS = 150, 160
@@ -226,7 +226,7 @@ def predict(docs: DataFrame, model: Model, text: str = "text", keep: list[str] |
                 yield pa.RecordBatch.from_arrays([*(b.column(c).slice(at, n) for c in keep), pa.array(lang.tolist(), pa.string()), pa.array(score), pa.array(rate)], names)
 
     schema = T.StructType([docs.schema[c] for c in keep] + added.fields)
-    return docs.select(*(F.col(f"`{c}`") for c in keep), F.col(text).alias("text_to_parse")).mapInArrow(work, schema)
+    return docs.select(*(F.col(f"`{c}`") for c in keep), F.col(text).alias("text_to_parse")).mapInArrow(freed(work), schema)
 
 
 def train(docs: DataFrame) -> Model:

@@ -30,7 +30,7 @@ from roadloom.llm.components import components
 from roadloom.llm.ranges import Postings, common, enough, stars
 from roadloom.llm.scratch import Scratch
 from roadloom.llm.simjoin import node_ids
-from roadloom.llm.textops import CHUNK_BYTES, chunks, flat, gather, mix, powers, shingle_sets, word_hashes, words
+from roadloom.llm.textops import CHUNK_BYTES, chunks, flat, freed, gather, mix, powers, shingle_sets, word_hashes, words
 
 #: Words of a window, and that a natural paragraph has at least; words in a row that are sure to hold a window; words that
 #: choose where a window begins; words of a shingle.
@@ -194,7 +194,7 @@ def surroundings(texts: DataFrame) -> DataFrame:
                 raw = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(word), [None, pa.py_buffer(np.arange(len(word) + 1) * (around.shape[1] * 4)), pa.py_buffer(np.ascontiguousarray(around))]).cast(pa.binary())
                 yield pa.RecordBatch.from_arrays([pa.array(rolling(s.hashes, MIN_WORDS)[first].view(np.int64)), *(b.column(k).slice(at, len(part)).take(pa.array(owner)) for k in (0, 1)), pa.array(word.astype(np.int32)), raw], ["node", "body", "doc_id", "at", "around"])
 
-    return texts.select("body", "doc_id", "text", "hits").mapInArrow(work, "node bigint, body bigint, doc_id bigint, at int, around binary")
+    return texts.select("body", "doc_id", "text", "hits").mapInArrow(freed(work), "node bigint, body bigint, doc_id bigint, at int, around binary")
 
 
 def stretched(rows: DataFrame) -> DataFrame:
@@ -218,7 +218,7 @@ def stretched(rows: DataFrame) -> DataFrame:
 
     names = ["node", "body", "doc_id", "left", "right", "first", "last", "before", "after", "kept_doc", "kept_body"]
     kinds = ", ".join(f"{c} bigint" for c in names)
-    return rows.select("node", "body", "doc_id", "at", "around", "kept_doc", "kept_body", "other", "before", "after").mapInArrow(work, kinds)
+    return rows.select("node", "body", "doc_id", "at", "around", "kept_doc", "kept_body", "other", "before", "after").mapInArrow(freed(work), kinds)
 
 
 def spans(found: list[tuple]) -> list[tuple]:
@@ -271,7 +271,7 @@ def by_text(found: DataFrame, columns: list[str], make) -> DataFrame:
             if out:
                 yield as_rows(out)
 
-    return found.groupBy("body", "doc_id").agg(F.collect_set(F.struct(*columns)).alias("rows")).mapInArrow(work, ROWS)
+    return found.groupBy("body", "doc_id").agg(F.collect_set(F.struct(*columns)).alias("rows")).mapInArrow(freed(work), ROWS)
 
 
 def blocks(s: Sentences, text: int) -> list[tuple[int, int]]:
@@ -337,7 +337,7 @@ def paragraphs(texts: DataFrame, columns: str) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([made[c]() for c in wanted], wanted)
 
     kinds = ", ".join(f"{c} {({'hashes': 'binary'}).get(c, 'bigint')}" for c in wanted)
-    return texts.select("body", "text").mapInArrow(work, kinds)
+    return texts.select("body", "text").mapInArrow(freed(work), kinds)
 
 
 def body(text: str = "text") -> Column:

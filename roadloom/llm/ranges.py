@@ -14,6 +14,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from roadloom.llm.textops import freed
+
 #: Postings that a task packs at once, and that a range has about.
 PACKED, IN_RANGE = 1 << 19, 1 << 18
 
@@ -117,8 +119,8 @@ def meet(
             yield done(held)
 
     kinds = ", ".join(f"{c} bigint" for c in names)
-    packed = rows.mapInArrow(deal, f"r int, {kinds}, packed binary")
-    return packed.repartition("r").sortWithinPartitions("r").mapInArrow(gather, kinds)
+    packed = rows.mapInArrow(freed(deal), f"r int, {kinds}, packed binary")
+    return packed.repartition("r").sortWithinPartitions("r").mapInArrow(freed(gather), kinds)
 
 
 def tied(x: np.ndarray, owner: np.ndarray, place: np.ndarray) -> Columns:

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from roadloom.llm.components import components, starred
 from roadloom.llm.scratch import Scratch
-from roadloom.llm.textops import shingle_sets, word_hashes, words
+from roadloom.llm.textops import freed, shingle_sets, word_hashes, words
 
 #: Texts and shingles of a block; points of a leaf.
 BLOCK, BLOCK_SHINGLES, LEAF = 1024, 1 << 22, 16
@@ -157,7 +157,7 @@ def linked(rows: DataFrame) -> DataFrame:
 
     key = ["grp", "lo", "hi"]
     rows = rows.select(*key, "block", "node", "root", "n", "hashes")
-    return rows.repartition(*key).sortWithinPartitions(*key).mapInArrow(work, "a bigint, b bigint")
+    return rows.repartition(*key).sortWithinPartitions(*key).mapInArrow(freed(work), "a bigint, b bigint")
 
 
 def small(rows: DataFrame, lists: str | None = None) -> DataFrame:

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
 import functools
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -49,6 +50,37 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set(key, BATCH_ROWS)
 
 
+#: Cached functions whose results are large, and which only some kinds of tasks need.
+large: list = []
+
+Work = Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
+
+
+def release() -> None:
+    """Give memory that is free, but kept by allocators for later, back to the system."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not the GNU library
+        pass
+
+
+def freed(work: Work, *needs: Callable) -> Work:
+    """work, of which a Python worker keeps nothing afterwards but the caches it ``needs``. Workers are used again by all
+    stages of a session, so what one kind of task leaves behind counts beside all that come after it."""
+
+    def tidy(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for f in large:
+            if f not in needs:
+                f.cache_clear()
+        try:
+            yield from work(batches)
+        finally:
+            release()
+
+    return tidy
+
+
 def chunks(column: pa.Array, size: int = CHUNK_BYTES) -> Iterator[tuple[int, pa.Array]]:
     """Slices (offset, array) of a string column of about size bytes each."""
     if isinstance(column, pa.ChunkedArray):

@@ -71,3 +71,18 @@ def test_nothing(texts):
 
 def test_gather():
     assert T.gather(np.array([5, 0, 9]), np.array([2, 0, 3])).tolist() == [5, 6, 9, 10, 11]
+
+
+def test_workers_keep_no_caches_of_other_tasks():
+    import pyarrow as pa
+
+    from roadloom.llm import bpe, textops
+    from roadloom.llm.queries import BYTE_BPE
+
+    spec = bpe.tokenizer_json(BYTE_BPE)
+    batch = pa.RecordBatch.from_arrays([pa.array([1, 2])], ["x"])
+    own = bpe.encoder(spec)
+    assert list(textops.freed(lambda batches: batches, bpe.encoder)(iter([batch]))) == [batch]
+    assert bpe.encoder(spec) is own  # a task that needs it finds it again
+    assert list(textops.freed(lambda batches: batches)(iter([batch, batch]))) == [batch, batch]
+    assert bpe.encoder.cache_info().currsize == 0
