@@ -20,7 +20,7 @@ from roadloom.functions import geo
 from roadloom.functions import tags as T
 from roadloom.operators import areas, clusters, graph, itineraries, navigate, proximity, routes, trace
 from roadloom.plans.generate import NoRoad, Roads, generate, snap
-from roadloom.plans.networks import lattice
+from roadloom.plans.networks import lattice, order_network
 from roadloom.sources import cache, osm_json, pbf, rules, sinks
 from roadloom.streaming import trace_stream
 
@@ -393,6 +393,12 @@ def test_trace(spark, tmp_path):
     assert sum(r.n for r in rows.collect()) == navigate.trace_table(told, "step_results").count()
 
 
+def test_tags_of_ways_are_not_broadcast(spark):
+    """A file of 10 MB of orders is some hundred MB of tags in memory, however small its size makes it look."""
+    ways = order_network(spark, "/root/testdata/sf0.001").ways
+    assert "Broadcast" not in ways._jdf.queryExecution().executedPlan().toString()
+
+
 def test_scores(spark):
     rows = [("r", k, 57 + 0.01 * k, 24 + 0.001 * k * k) for k in range(6)]
     base = spark.createDataFrame(rows, "route_id string, seq int, start_lat double, start_lon double")
