@@ -174,6 +174,7 @@ def encode_corpus(docs: DataFrame, tokenizer: str, text: str = "text", out: str
     scratch = Scratch(spark, "bpe")
     counts = scratch.table(word_counts(docs, text, tuple(encoder(spec).added)), "words")
     table = word_table(counts, spec, max_words)
+    scratch.settle()
     scratch.close()
     return encode_with(docs, spec, table, text, out, packed, keep)
 

@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from roadloom.llm.scratch import give_back
 from roadloom.llm.textops import LETTER, chunks, classes, flat, freed, small_batches
 
 #: The sample that a model is fitted on: so many excerpts of so many characters for each language.
@@ -231,7 +232,9 @@ def predict(docs: DataFrame, model: Model, text: str = "text", keep: list[str] |
 
 def train(docs: DataFrame) -> Model:
     """Fit on a bounded sample of the labelled documents that aren't held out."""
-    return fit([(r["lang"], r["excerpt"]) for r in excerpts(docs).orderBy("lang", "n").collect()])
+    model = fit([(r["lang"], r["excerpt"]) for r in excerpts(docs).orderBy("lang", "n").collect()])
+    give_back(docs.sparkSession)
+    return model
 
 
 def identify(docs: DataFrame) -> DataFrame:

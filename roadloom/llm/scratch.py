@@ -3,15 +3,17 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import functools
 import gc
 import re
 import tempfile
 import uuid
 
+from py4j.protocol import Py4JError
 from pyspark.sql import DataFrame, SparkSession
 
-from roadloom.llm.textops import small_batches
+from roadloom.llm.textops import release, small_batches
 
 _open: list[Scratch] = []
 
@@ -32,6 +34,22 @@ def shared_folder(spark: SparkSession) -> str:
     return base.rstrip("/")
 
 
+def give_back(spark: SparkSession) -> None:
+    """Give memory that is free, but kept by allocators for later, of the driver's Python and JVM back to the system. Hundreds
+    of threads plan and compile a session's stages, and what each leaves behind counts beside all that come after it."""
+    release()
+    context = spark.sparkContext
+    jvm, array = context._jvm, context._gateway.new_array
+    named = jvm.java.lang.Class.forName
+    with contextlib.suppress(Py4JError):  # a JVM that is too old for it, or not on Linux
+        kinds, args = array(jvm.java.lang.Class, 4), array(jvm.java.lang.Object, 4)
+        for k, kind in enumerate(("javax.management.ObjectName", "java.lang.String", "[Ljava.lang.Object;", "[Ljava.lang.String;")):
+            kinds[k] = named(kind)
+        args[0], args[1] = jvm.javax.management.ObjectName("com.sun.management:type=DiagnosticCommand"), "systemTrimNativeHeap"
+        # By reflection, as the server's own class is in a package that is not exported.
+        named("javax.management.MBeanServer").getMethod("invoke", kinds).invoke(jvm.java.lang.management.ManagementFactory.getPlatformMBeanServer(), args)
+
+
 class Scratch:
     """Parquet tables that cut a plan's lineage: a lost executor costs the tasks it ran, not the stages before the table."""
 
@@ -49,6 +67,7 @@ class Scratch:
         at = f"{self.path}/{name}"
         self.names.add(name)
         df.write.mode("overwrite").parquet(at)
+        give_back(self.spark)
         return self.spark.read.schema(df.schema).parquet(at)
 
     def remove(self, name: str = "") -> None:
@@ -66,9 +85,10 @@ class Scratch:
 
     def settle(self) -> None:
         """Let Spark delete the shuffle files of plans that nothing refers to any more; it does so when the driver collects
-        its garbage, which a driver with little to do puts off."""
+        its garbage, which a driver with little to do puts off. What is free then goes back to the system."""
         gc.collect()
         self.spark.sparkContext._jvm.System.gc()
+        give_back(self.spark)
 
     def close(self) -> None:
         if self in _open:
